@@ -21,6 +21,7 @@ STOPWORDS = (
     "there when where why how all any both each few more most other some such no nor not only own "
     "same so than too very s t can will just don should now"
 ).split()
+MAX_CACHED_WORDS = 1_000_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -38,18 +39,22 @@ CONFIGS = {
 }
 
 
-@F.arrow_udf("array<string>")
-def stem_words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    stems: dict[str, str] = {}
-    for batch in batches:
-        rows = batch.to_pylist()
-        for words in rows:
-            for word in words or ():
-                if word not in stems:
-                    stems[word] = stem(word)
-        yield pa.array([words and [stems[w] for w in words] for words in rows], type=pa.list_(pa.string()))
-        if len(stems) > 1_000_000:
-            stems.clear()
+def stem_words(words: Column) -> Column:
+    """Stems of an array of words; a task stems each distinct word once."""
+
+    def stems_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        stems: dict[str, str] = {}
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                for word in row or ():
+                    if word not in stems:
+                        stems[word] = stem(word)
+            yield pa.array([row and [stems[w] for w in row] for row in rows], type=pa.list_(pa.string()))
+            if len(stems) > MAX_CACHED_WORDS:
+                stems.clear()
+
+    return F.arrow_udf(stems_of, "array<string>")(words)
 
 
 def lexeme_positions(text: Column, config: str = "english") -> Column:

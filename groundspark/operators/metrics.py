@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from groundspark import settings
 from groundspark.functions.text import strip
+from groundspark.runtime import skew_join
 
 
 def document_order(hits: DataFrame) -> DataFrame:
@@ -88,48 +89,55 @@ def confusion_counts(predictions: DataFrame) -> DataFrame:
     return counted.withColumn("total", total).withColumn("accuracy", F.try_divide(right, F.col("total")))
 
 
+def truth_rows(questions: DataFrame) -> DataFrame:
+    """(id, source_identifier) of questions that carry their truth as a list."""
+    return questions.select("id", F.explode(F.array_distinct("relevant_source_identifiers")).alias("source_identifier"))
+
+
 def question_problems(
-    questions: DataFrame, documents: DataFrame, expected: tuple[int, int, int] = settings.EXPECTED_QUESTIONS
+    questions: DataFrame,
+    truth: DataFrame,
+    documents: DataFrame,
+    expected: tuple[int, int, int] = settings.EXPECTED_QUESTIONS,
 ) -> DataFrame:
-    """(question_id, problem, detail) for every fault of a labelled question set."""
+    """(question_id, problem, detail) for every fault of a labelled question set.
+
+    Questions are (id, question, expect_answerable), truth is (id, source_identifier).
+    """
     answerable = F.col("expect_answerable")
-    has_truth = F.size("relevant_source_identifiers") > 0
+    counted = truth.groupBy("id").agg(F.count("*").alias("n_truth"))
+    with_truth = questions.join(counted, "id", "left").withColumn("has_truth", F.col("n_truth").isNotNull())
 
-    def where(condition: Column, problem: str) -> DataFrame:
-        return questions.filter(condition).select("id", F.lit(problem).alias("problem"), F.lit("").alias("detail"))
+    def where(rows: DataFrame, condition: Column, problem: str) -> DataFrame:
+        return rows.filter(condition).select("id", F.lit(problem).alias("problem"), F.lit("").alias("detail"))
 
     repeated = questions.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(
         "id", F.lit("duplicate_id").alias("problem"), F.col("n").cast("string").alias("detail")
     )
-    named = questions.select("id", F.explode(F.array_distinct("relevant_source_identifiers")).alias("source_identifier"))
-    used = named.select("source_identifier").distinct()
+    used = truth.select("source_identifier").distinct()
     unknown_ids = used.join(documents.select("source_identifier").distinct(), "source_identifier", "left_anti")
-    unknown = named.join(unknown_ids, "source_identifier").select(
+    unknown = skew_join(truth, unknown_ids, "source_identifier", "inner", ["id"]).select(
         "id", F.lit("unknown_identifier").alias("problem"), F.col("source_identifier").alias("detail")
     )
     totals = questions.agg(
         F.count("*").alias("total"), F.count_if(answerable).alias("answerable"), F.count_if(~answerable).alias("traps")
     )
-    counts = totals.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("name"), F.col(name).alias("found"), F.lit(wanted).cast("bigint").alias("wanted"))
-                    for name, wanted in zip(("total", "answerable", "traps"), expected)
-                ]
-            )
-        )
-    ).filter("found <> wanted").select(
+    rows = [
+        F.struct(F.lit(name).alias("name"), F.col(name).alias("found"), F.lit(wanted).cast("bigint").alias("wanted"))
+        for name, wanted in zip(("total", "answerable", "traps"), expected)
+    ]
+    counts = totals.select(F.inline(F.array(*rows))).filter("found <> wanted").select(
         F.lit(None).cast("string").alias("id"),
         F.concat(F.lit("count_"), F.col("name")).alias("problem"),
         F.concat_ws("/", "found", "wanted").alias("detail"),
     )
     parts = [
-        repeated.withColumn("id", F.col("id").cast("string")),
-        where(strip(F.col("question")) == "", "blank_question"),
-        where(answerable & ~has_truth, "answerable_without_truth"),
-        where(~answerable & has_truth, "trap_with_truth"),
+        repeated,
+        where(questions, strip(F.col("question")) == "", "blank_question"),
+        where(with_truth, answerable & ~F.col("has_truth"), "answerable_without_truth"),
+        where(with_truth, ~answerable & F.col("has_truth"), "trap_with_truth"),
         unknown,
         counts,
     ]
-    return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", "question_id")
+    texts = [part.withColumn("id", F.col("id").cast("string")) for part in parts]
+    return reduce(DataFrame.unionByName, texts).withColumnRenamed("id", "question_id")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import sha256_hex
-from groundspark.runtime import skew_join
+from groundspark.runtime import skew_join, write_table
 
 # Arrivals of one key are compared in steps of this many sequence numbers.
 SEQUENCE_STEP = 1_000_000
@@ -78,8 +78,12 @@ def merge_rows(written: DataFrame, existing: DataFrame | None, key: str, now: Co
 
 
 def upsert(arrivals: DataFrame, existing: DataFrame | None, key: str, now: Column | None = None) -> Upsert:
-    """Apply a batch: unchanged arrivals write nothing, the last change of a key wins."""
-    actions = classify(arrivals, existing, key)
+    """Apply a batch: unchanged arrivals write nothing, the last change of a key wins.
+
+    The slim action table is written out, so that the rows it selects are not
+    classified again by every use of the result.
+    """
+    actions = write_table(classify(arrivals, existing, key), "actions")
     changed = arrivals.join(actions.filter(F.col("action") != "unchanged").select(key, "seq"), [key, "seq"], "left_semi")
     snapshot = merge_rows(latest(changed, key), existing, key, now if now is not None else F.current_timestamp())
     return Upsert(actions, changed, snapshot)

@@ -9,69 +9,72 @@ from pyspark.sql import functions as F
 
 from groundspark import settings
 from groundspark.operators.grounding import citation_rows, generate_answers
-from groundspark.operators.metrics import (
-    citation_completeness,
-    citation_correctness,
-    confusion_columns,
-    document_order,
-    ordered_list,
-    question_problems,
-    recall_at_k,
-    reciprocal_rank,
-)
+from groundspark.operators.metrics import confusion_columns, document_order, question_problems
 from groundspark.plans.retrieval import Provider, search
+from groundspark.runtime import write_table
 
 SCRIPTED_NOTE = "Answers come from the scripted responder: only recall and reciprocal rank say something about quality."
 
 
-def question_results(observed: DataFrame) -> DataFrame:
-    """Adds the four metrics; null where a metric has no meaning for the question.
+def question_results(questions: DataFrame, truth: DataFrame, retrieved: DataFrame, cited: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row per question with its status and four metrics.
 
-    Input: (question_id, question, expect_answerable, relevant, retrieved, status, cited).
+    questions (id, question, expect_answerable), truth (id, source_identifier),
+    retrieved (query_id, place, source_identifier), cited (query_id,
+    source_identifier), answers (query_id, status). Everything is counted, so a
+    question may have any number of true documents. A metric is null where it
+    has no meaning: recall and rank without truth, citations without an answer.
     """
-    relevant, retrieved, cited = F.col("relevant"), F.col("retrieved"), F.col("cited")
-    has_truth, answered = F.size(relevant) > 0, F.col("status") == "answered"
-    return (
-        observed.withColumn("recall_at_5", F.when(has_truth, recall_at_k(retrieved, relevant, 5)))
-        .withColumn("reciprocal_rank", F.when(has_truth, reciprocal_rank(retrieved, relevant)))
-        .withColumn("citation_correctness", F.when(answered, citation_correctness(cited, relevant)))
-        .withColumn("citation_completeness", F.when(answered, citation_completeness(cited, relevant)))
+    true = truth.select(F.col("id").alias("query_id"), "source_identifier").distinct().withColumn("_true", F.lit(True))
+    pair = ["query_id", "source_identifier"]
+    n_true = true.groupBy("query_id").agg(F.count("*").alias("n_true"))
+    found = retrieved.join(true, pair).groupBy("query_id").agg(
+        F.count_if(F.col("place") <= 5).alias("found_in_5"), F.min("place").alias("first_place")
     )
-
-
-def observe(questions: DataFrame, evidence: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """What retrieval and answering did for each question, as one row."""
-    asked = questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    answers = generate_answers(asked, evidence, texts)
-    retrieved = ordered_list(document_order(evidence), "place", "source_identifier", "retrieved")
-    cited = ordered_list(citation_rows(answers, evidence), "position", "source_identifier", "cited")
-    none = F.array().cast("array<string>")
-    return (
-        questions.select(F.col("id").alias("query_id"), "question", "expect_answerable", F.col("relevant_source_identifiers").alias("relevant"))
-        .join(retrieved, "query_id", "left")
+    citations = cited.select(*pair).distinct().join(true, pair, "left").groupBy("query_id").agg(
+        F.count("*").alias("n_cited"), F.count("_true").alias("n_cited_true")
+    )
+    joined = (
+        questions.select(F.col("id").alias("query_id"), "question", "expect_answerable")
         .join(answers.select("query_id", "status"), "query_id")
-        .join(cited, "query_id", "left")
-        .select(
-            F.col("query_id").alias("question_id"),
-            "question",
-            "expect_answerable",
-            "relevant",
-            F.coalesce("retrieved", none).alias("retrieved"),
-            "status",
-            F.array_distinct(F.coalesce("cited", none)).alias("cited"),
-        )
+        .join(n_true, "query_id", "left")
+        .join(found, "query_id", "left")
+        .join(citations, "query_id", "left")
+        .fillna(0, ["n_true", "found_in_5", "n_cited", "n_cited_true"])
+    )
+    n_true_, n_cited, n_right = F.col("n_true"), F.col("n_cited"), F.col("n_cited_true")
+    answered = F.col("status") == "answered"
+    nothing_cited = F.when(n_true_ == 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return joined.select(
+        F.col("query_id").alias("question_id"),
+        "question",
+        "expect_answerable",
+        "status",
+        "n_true",
+        "n_cited",
+        F.try_divide("found_in_5", "n_true").alias("recall_at_5"),
+        F.when(n_true_ > 0, F.coalesce(F.lit(1.0) / F.col("first_place"), F.lit(0.0))).alias("reciprocal_rank"),
+        F.when(answered, F.coalesce(F.try_divide(n_right, n_cited), nothing_cited)).alias("citation_correctness"),
+        F.when(answered, F.coalesce(F.try_divide(n_right, n_true_), F.lit(1.0))).alias("citation_completeness"),
     )
 
 
-def check_questions(questions: DataFrame, documents: DataFrame, expected: tuple[int, int, int]) -> None:
+def cited_identifiers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(query_id, place, source_identifier): distinct cited sources in citation order."""
+    cited = citation_rows(answers, evidence).withColumn("rank", F.col("position"))
+    return document_order(cited)
+
+
+def check_questions(questions: DataFrame, truth: DataFrame, documents: DataFrame, expected: tuple[int, int, int]) -> None:
     """Raise with the first problems of the question set, if it has any."""
-    found = question_problems(questions, documents, expected).limit(20).collect()
+    found = question_problems(questions, truth, documents, expected).limit(20).collect()
     if found:
         raise ValueError("question set has problems: " + "; ".join(f"{r.question_id}: {r.problem} {r.detail}" for r in found))
 
 
 def run_evaluation(
     questions: DataFrame,
+    truth: DataFrame,
     index: DataFrame,
     documents: DataFrame,
     mode: str = "hybrid",
@@ -82,10 +85,12 @@ def run_evaluation(
 ) -> DataFrame:
     """Per-question results of one mode, for all questions in one job."""
     if expected is not None:
-        check_questions(questions, documents, expected)
+        check_questions(questions, truth, documents, expected)
     asked = questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    evidence = search(asked, index, documents, mode, settings.ANSWER_TOP_K, provider=provider, config=config)
-    return question_results(observe(questions, evidence, texts))
+    hits = search(asked, index, documents, mode, settings.ANSWER_TOP_K, provider=provider, config=config)
+    evidence = write_table(hits, "evidence")
+    answers = generate_answers(asked, evidence, texts)
+    return question_results(questions, truth, document_order(evidence), cited_identifiers(answers, evidence), answers)
 
 
 def summarize(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -103,9 +108,13 @@ def summarize(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def evaluate_modes(questions: DataFrame, index: DataFrame, documents: DataFrame, modes=settings.MODES, **options) -> DataFrame:
+def evaluate_modes(
+    questions: DataFrame, truth: DataFrame, index: DataFrame, documents: DataFrame, modes=settings.MODES, **options
+) -> DataFrame:
     """Per-question results of several retrieval modes, with a ``mode`` column."""
-    runs = [run_evaluation(questions, index, documents, mode, **options).withColumn("mode", F.lit(mode)) for mode in modes]
+    runs = [
+        run_evaluation(questions, truth, index, documents, mode, **options).withColumn("mode", F.lit(mode)) for mode in modes
+    ]
     return reduce(DataFrame.unionByName, runs)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.operators.upsert import Upsert, document_rows, link_publications, split_keyless, upsert
+from groundspark.runtime import write_table
 from groundspark.sources.articles import normalize_publications, publication_document_text, read_articles
 from groundspark.sources.studies import normalize_trials, read_study_pages, trial_document_text
 
@@ -43,7 +44,8 @@ def ingest_trials(
 
     A document keeps its title and text unless its key:text hash changed.
     """
-    rows, rejected = split_keyless(normalize_trials(studies, keep=("seq",)), "nct_id")
+    normalized = write_table(normalize_trials(studies, keep=("seq",)), "trial-batch")
+    rows, rejected = split_keyless(normalized, "nct_id")
     records = upsert(rows, trials, "nct_id", now)
     return Ingested(records, upsert(trial_documents(records.changed), documents, "document_id", now), rejected)
 
@@ -61,7 +63,7 @@ def ingest_publications(
     Only changed publications are linked again; ``relink`` resolves the links of
     the whole table against the trials now stored.
     """
-    normalized = normalize_publications(articles, keep=("seq",))
+    normalized = write_table(normalize_publications(articles, keep=("seq",)), "publication-batch")
     rows, keyless = split_keyless(normalized.filter("parsed").drop("parsed"), "pmid")
     rejected = normalized.filter(~F.col("parsed")).drop("parsed").unionByName(keyless)
     records = upsert(link_publications(rows, trials), publications, "pmid", now)

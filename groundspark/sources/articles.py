@@ -112,10 +112,14 @@ def parse_article(article_xml: str | None) -> dict | None:
     }
 
 
-@F.arrow_udf(PARSED_DDL)
-def parse_articles(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([parse_article(xml) for xml in batch.to_pylist()], type=PARSED)
+def parse_articles(article_xml: Column) -> Column:
+    """Leaves struct of each article, every article parsed once."""
+
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([parse_article(xml) for xml in batch.to_pylist()], type=PARSED)
+
+    return F.arrow_udf(parse, PARSED_DDL)(article_xml)
 
 
 def assemble_abstract(sections: Column) -> Column:
@@ -160,7 +164,7 @@ def linked_nct_ids(accessions: Column, secondary_ids: Column, title: Column, abs
 
 def normalize_publications(articles: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed publication rows; an article that cannot be parsed has ``parsed`` false."""
-    parsed = articles.select(*keep, "pmid", "article_xml", parse_articles("article_xml").alias("a"))
+    parsed = articles.select(*keep, "pmid", "article_xml", parse_articles(F.col("article_xml")).alias("a"))
     return project_publications(parsed, keep)
 
 
