@@ -126,7 +126,7 @@ def evaluation_notes(mode: str, scripted: bool) -> list[str]:
 
 
 def _shown(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", value), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value))
 
 
 def render_report(results: DataFrame, mode: str, generated_at: str, answer_source: str, provider: str, notes: list[str]) -> DataFrame:
