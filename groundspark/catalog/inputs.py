@@ -61,7 +61,7 @@ def question_truth(spark: SparkSession, folder: str) -> DataFrame:
         sentences = F.filter(split_sentences(F.col("text")), lambda s: F.char_length(s) >= 40)
         return rows.select(key, F.explode(F.array_distinct(sentences)).alias("sentence"))
 
-    told = long_sentences(documents(spark, folder), "source_identifier")
+    told = long_sentences(spread_input(documents(spark, folder), "document_id"), "source_identifier")
     asked = long_sentences(questions(spark, folder), "query_id")
     shared = skew_join(told, asked, "sentence", "inner", ["source_identifier"])
     return shared.select(F.col("query_id").alias("id"), "source_identifier").distinct()
@@ -130,7 +130,8 @@ def raw_studies(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("outcomesModule"),
     )
     study = F.to_json(F.struct(protocol.alias("protocolSection")))
-    return table(spark, folder, "documents").filter(is_trial(key)).select("doc_id", study.alias("raw"))
+    source = spread_input(table(spark, folder, "documents"), "doc_id")
+    return source.filter(is_trial(key)).select("doc_id", study.alias("raw"))
 
 
 def parsed_studies(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +195,8 @@ def raw_articles(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.when(key % 3 != 1, tag("ArticleId", F.concat(F.lit(" 10.1/"), key.cast("string")), ' IdType="doi"')), F.lit("")),
         F.lit("</ArticleIdList></PubmedData></PubmedArticle>"),
     )
-    return table(spark, folder, "documents").filter(~is_trial(key)).select(
+    source = spread_input(table(spark, folder, "documents"), "doc_id")
+    return source.filter(~is_trial(key)).select(
         "doc_id", key.cast("string").alias("pmid"), body.alias("article_xml")
     )
 

@@ -259,12 +259,13 @@ def d2_hash_collisions(spark, folder):
     return upsert.hash_collisions(hashes)
 
 
-def _first_trials(spark, folder):
-    return _once(spark, folder, "first-trials", lambda s, f: ingest.ingest_trials(inputs.parsed_studies(s, f), None, None, _when(FIRST_BATCH)).records.snapshot)
-
-
-def _first_trial_documents(spark, folder):
-    return _once(spark, folder, "first-trial-documents", lambda s, f: ingest.ingest_trials(inputs.parsed_studies(s, f), None, None, _when(FIRST_BATCH)).documents.snapshot)
+def _first_ingest(spark, folder):
+    """Trials and documents after the first batch, written once."""
+    key = (spark.sparkContext.applicationId, folder, "first-ingest")
+    if key not in _stored:
+        done = ingest.ingest_trials(inputs.parsed_studies(spark, folder), None, None, _when(FIRST_BATCH))
+        _stored[key] = write_table(done.records.snapshot, "trials"), write_table(done.documents.snapshot, "documents")
+    return _stored[key]
 
 
 def _second_studies(spark, folder):
@@ -280,7 +281,7 @@ def _second_studies(spark, folder):
 
 def _second_trial_ingest(spark, folder):
     return ingest.ingest_trials(
-        _second_studies(spark, folder), _first_trials(spark, folder), _first_trial_documents(spark, folder), _when(SECOND_BATCH)
+        _second_studies(spark, folder), *_first_ingest(spark, folder), _when(SECOND_BATCH)
     )
 
 
@@ -291,7 +292,7 @@ def d3_upsert_trials(spark, folder):
 
 def d4_upsert_publications(spark, folder):
     """Second batch changes every third article; only those are linked again."""
-    trials = _first_trials(spark, folder)
+    trials, _ = _first_ingest(spark, folder)
     first = _once(
         spark, folder, "first-publications",
         lambda s, f: ingest.ingest_publications(inputs.numbered_articles(s, f), None, trials.limit(0), None, _when(FIRST_BATCH)).records.snapshot,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundspark.functions.text import strip
+from groundspark.functions.text import bind, strip
 
 # Month abbreviations.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -13,18 +13,24 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:
     """Date of three number texts, null when any part is not a calendar value."""
-    number = r"^\s*[0-9]+\s*$"
-    parts = [F.when(p.rlike(number), strip(p).try_cast("int")) for p in (year, month, day)]
-    text = F.format_string("%04d-%02d-%02d", *parts)
-    in_range = parts[0].between(1, 9999) & parts[1].between(1, 12) & parts[2].between(1, 31)
-    return F.when(in_range, F.try_to_date(text, "yyyy-MM-dd"))
+
+    def number(part: Column) -> Column:
+        return bind(strip(part), lambda p: F.when(p.rlike("^[0-9]+$"), p.try_cast("int")))
+
+    def date(parts: Column) -> Column:
+        y, m, d = parts["y"], parts["m"], parts["d"]
+        in_range = y.between(1, 9999) & m.between(1, 12) & d.between(1, 31)
+        return F.when(in_range, F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd"))
+
+    return bind(F.struct(number(year).alias("y"), number(month).alias("m"), number(day).alias("d")), date)
 
 
 def parse_partial_date(value: Column) -> Column:
     """``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD`` (further parts ignored) to a date."""
-    parts = F.split(strip(value), "-")
-    return date_from_parts(
-        F.get(parts, 0), F.coalesce(F.get(parts, 1), F.lit("1")), F.coalesce(F.get(parts, 2), F.lit("1"))
+    one = F.lit("1")
+    return bind(
+        F.split(strip(value), "-"),
+        lambda parts: date_from_parts(F.get(parts, 0), F.coalesce(F.get(parts, 1), one), F.coalesce(F.get(parts, 2), one)),
     )
 
 

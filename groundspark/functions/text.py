@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ CITATION_GROUP = rf"\[([0-9]+(?:{BLANK_CLASS}*,{BLANK_CLASS}*[0-9]+)*)\]"
 SENTENCE_END = rf"(?<=[.!?]){BLANK_CLASS}+"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, also where lambdas use it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -34,7 +41,6 @@ def sha256_hex(text: Column) -> Column:
 
 def canonical_json(value: Column) -> Column:
     """Compact, key-sorted, ASCII-only JSON text of a VARIANT value."""
-    plain = F.to_json(value)
 
     def escape(piece: Column) -> Column:
         point = F.ascii(piece)
@@ -42,13 +48,16 @@ def canonical_json(value: Column) -> Column:
         low = F.lit(0xDC00) + point.bitwiseAND(0x3FF)
         unit = "\\u%04x"
         return (
-            F.when(piece.rlike("^[ -~]+$"), piece)
+            F.when(piece.rlike("^[ -~]"), piece)
             .when(point > 0xFFFF, F.format_string(unit + unit, high, low))
             .otherwise(F.format_string(unit, point))
         )
 
-    pieces = F.regexp_extract_all(plain, F.lit("([^ -~]|[ -~]+)"), F.lit(1))
-    return F.when(plain.rlike("[^ -~]"), F.array_join(F.transform(pieces, escape), "")).otherwise(plain)
+    def ascii_only(plain: Column) -> Column:
+        pieces = F.regexp_extract_all(plain, F.lit("([^ -~]|[ -~]+)"), F.lit(1))
+        return F.when(plain.rlike("[^ -~]"), F.array_join(F.transform(pieces, escape), "")).otherwise(plain)
+
+    return bind(F.to_json(value), ascii_only)
 
 
 def extract_nct_ids(text: Column) -> Column:
@@ -103,14 +112,17 @@ def format_score(score: Column) -> Column:
 
 def truncate_excerpt(text: Column, max_length: int) -> Column:
     """Cut at the last blank before ``max_length`` and add an ellipsis."""
-    trimmed = strip(text)
-    cut = F.substring(trimmed, 1, max_length)
-    tail = F.instr(F.reverse(cut), " ")  # 1-based distance of the last blank from the end
-    kept = F.char_length(cut) - tail
-    safe = F.when((tail > 0) & (kept > 0), F.substring(cut, F.lit(1), kept)).otherwise(cut)
-    return F.when(F.char_length(trimmed) <= max_length, trimmed).otherwise(
-        F.concat(F.rtrim(safe, F.lit(BLANKS)), F.lit(ELLIPSIS))
-    )
+
+    def shorten(trimmed: Column) -> Column:
+        cut = F.substring(trimmed, 1, max_length)
+        tail = F.instr(F.reverse(cut), " ")  # 1-based distance of the last blank from the end
+        kept = F.char_length(cut) - tail
+        safe = F.when((tail > 0) & (kept > 0), F.substring(cut, F.lit(1), kept)).otherwise(cut)
+        return F.when(F.char_length(trimmed) <= max_length, trimmed).otherwise(
+            F.concat(F.rtrim(safe, F.lit(BLANKS)), F.lit(ELLIPSIS))
+        )
+
+    return bind(strip(text), shorten)
 
 
 def answer_segments(text: Column) -> Column:
@@ -118,8 +130,7 @@ def answer_segments(text: Column) -> Column:
     none = F.lit(None).cast("array<bigint>")
     markers = F.regexp_extract_all(text, F.lit(CITATION_GROUP), F.lit(0))
 
-    def with_marker(plain: Column, position: Column) -> Column:
-        marker = F.get(markers, position)
+    def with_marker(plain: Column, marker: Column) -> Column:
         inner = F.substring(marker, F.lit(2), F.char_length(marker) - 2)
         numbers = F.transform(F.split(inner, ","), lambda n: strip(n).try_cast("bigint"))
         return F.array(
@@ -127,7 +138,7 @@ def answer_segments(text: Column) -> Column:
             F.struct(marker.alias("text"), numbers.alias("citation_indices")),
         )
 
-    pieces = F.flatten(F.transform(F.split(text, CITATION_GROUP), with_marker))
+    pieces = F.flatten(F.zip_with(F.split(text, CITATION_GROUP), markers, with_marker))
     return F.filter(pieces, lambda piece: F.coalesce(piece["text"], F.lit("")) != "")
 
 

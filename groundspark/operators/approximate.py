@@ -45,29 +45,41 @@ def approximate_search(
     """Like exact dense search, over the chunks that share a bucket with the question.
 
     Chunks are hashed where they are and met by the broadcast buckets of a
-    question set counted as small; a larger set is joined per bucket with full
-    buckets spread out. A chunk met in several tables is scored in the first one.
+    question set counted as small; for a larger set only keys and buckets are
+    joined, full buckets spread out, and vectors follow for the pairs that met.
+    A chunk met in several tables is scored in the first one.
     """
     buckets = hyperplane_buckets(tables, bits, seed)
     usable = (F.col("norm2") > 0) & F.col("vector").isNotNull()
+    few = rows_fit(queries, MAX_BROADCAST_QUERIES)
 
     def hashed(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        named = rows.filter(usable).select(
-            *keys, F.col("vector").alias(f"{prefix}_vector"), F.col("norm2").alias(f"{prefix}_norm2"),
-            buckets("vector").alias(f"{prefix}_buckets"),
-        )
+        named = rows.filter(usable).select(*keys, buckets("vector").alias(f"{prefix}_buckets"))
         return named.select("*", F.explode(f"{prefix}_buckets").alias("bucket"))
 
-    stored, asked = hashed(chunks, CHUNK_KEY, "chunk"), hashed(queries, ["query_id"], "query")
-    if rows_fit(queries, MAX_BROADCAST_QUERIES):
-        met = stored.join(F.broadcast(asked), "bucket")
+    def vectors(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+        return rows.select(*keys, F.col("vector").alias(f"{prefix}_vector"), F.col("norm2").alias(f"{prefix}_norm2"))
+
+    asked = hashed(queries, ["query_id"], "query")
+    asked_vectors = vectors(queries, ["query_id"], "query")
+    if few:
+        stored = chunks.filter(usable).select(*CHUNK_KEY, "vector", "norm2", buckets("vector").alias("chunk_buckets"))
+        stored = stored.select("*", F.explode("chunk_buckets").alias("bucket"))
+        met = stored.join(F.broadcast(asked), "bucket").withColumnsRenamed({"vector": "chunk_vector", "norm2": "chunk_norm2"})
     else:
-        met = skew_join(stored, asked, "bucket", "inner", CHUNK_KEY)
+        met = skew_join(hashed(chunks, CHUNK_KEY, "chunk"), asked, "bucket", "inner", CHUNK_KEY)
     first = met.filter(F.get(F.array_intersect("chunk_buckets", "query_buckets"), 0) == F.col("bucket"))
+    first = first.drop("chunk_buckets", "query_buckets", "bucket")
+    if few:
+        pairs = first.join(F.broadcast(asked_vectors), "query_id")
+    else:
+        pairs = skew_join(first, asked_vectors, "query_id", "inner", CHUNK_KEY).join(
+            vectors(chunks, CHUNK_KEY, "chunk"), CHUNK_KEY
+        )
     products = F.zip_with("chunk_vector", "query_vector", lambda a, b: (a * b).cast("double"))
     dot = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
     score = dot / F.sqrt(F.col("chunk_norm2") * F.col("query_norm2"))
-    return best_per_query(first.select("query_id", *CHUNK_KEY, score.alias("score")), limit)
+    return best_per_query(pairs.select("query_id", *CHUNK_KEY, score.alias("score")), limit)
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:

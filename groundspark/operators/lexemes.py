@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.stemming import stem
+from groundspark.functions.text import bind
 
 # English stop words of the Snowball project.
 STOPWORDS = (
@@ -78,14 +79,26 @@ def with_lexemes(rows: DataFrame, config: str = "english", text_column: str = "t
 
 
 def lexeme_entries(lexemes: Column, positions: Column) -> Column:
-    """array<struct<lexeme, tf, positions>> of one row, computed inside the row."""
-    occurrences = F.arrays_zip(lexemes.alias("lexeme"), positions.alias("position"))
+    """array<struct<lexeme, tf, positions>> of one row, as runs of its sorted occurrences."""
+    occurrences = F.sort_array(F.arrays_zip(lexemes.alias("lexeme"), positions.alias("position")))
 
-    def entry(lexeme: Column) -> Column:
-        at = F.transform(F.filter(occurrences, lambda o: o["lexeme"] == lexeme), lambda o: o["position"])
-        return F.struct(lexeme.alias("lexeme"), F.size(at).alias("tf"), at.alias("positions"))
+    def runs(found: Column) -> Column:
+        places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(
+            places, lambda i: (i == 0) | (F.get(found, i)["lexeme"] != F.get(found, i - 1)["lexeme"])
+        )
 
-    return F.transform(F.array_distinct(lexemes), entry)
+        def entries(starts: Column) -> Column:
+            def entry(start: Column, i: Column) -> Column:
+                tf = F.coalesce(F.get(starts, i + 1), F.size(found)) - start
+                at = F.transform(F.slice(found, start + 1, tf), lambda o: o["position"])
+                return F.struct(F.get(found, start)["lexeme"].alias("lexeme"), tf.alias("tf"), at.alias("positions"))
+
+            return F.transform(starts, entry)
+
+        return bind(first, entries)
+
+    return bind(occurrences, runs)
 
 
 def postings(chunks: DataFrame) -> DataFrame:

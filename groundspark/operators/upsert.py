@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import sha256_hex
-from groundspark.runtime import skew_join, write_table
+from groundspark.runtime import narrow, skew_join, without_keys, write_table
 
 # Arrivals of one key are compared in steps of this many sequence numbers.
 SEQUENCE_STEP = 1_000_000
@@ -47,7 +47,7 @@ def classify(arrivals: DataFrame, existing: DataFrame | None, key: str, step: in
     lasts = slim.groupBy(key, "_step").agg(F.max_by("content_hash", "seq").alias("_last"))
     carried = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(key).orderBy("_step"))).drop("_last")
     if existing is not None:
-        stored = existing.select(key, F.col("content_hash").alias("_stored"))
+        stored = narrow(existing.select(key, F.col("content_hash").alias("_stored")), arrivals, key)
         carried = carried.join(stored, key, "left").withColumn("_carried", F.coalesce("_carried", "_stored"))
     joined = within.join(carried.select(key, "_step", "_carried"), [key, "_step"])
     before = F.coalesce("_previous", "_carried")
@@ -61,20 +61,18 @@ def latest(arrivals: DataFrame, key: str) -> DataFrame:
 
 
 def merge_rows(written: DataFrame, existing: DataFrame | None, key: str, now: Column) -> DataFrame:
-    """Snapshot after writing one row per key of ``written`` over ``existing``."""
+    """Snapshot after writing one row per key of ``written`` over ``existing``.
+
+    Rows of ``existing`` that are not written pass through by an anti join, which
+    moves none of them when the batch is small; written rows keep the creation
+    time of the row they replace.
+    """
     rows = written.drop("seq")
     if existing is None:
         return rows.withColumn("created_at", now).withColumn("updated_at", now)
-    columns = [c for c in rows.columns if c != key]
-    new = rows.select(key, F.struct(*columns).alias("_new"))
-    old = existing.select(key, F.struct(*columns).alias("_old"), "created_at", "updated_at")
-    chosen = F.coalesce("_new", "_old")
-    return new.join(old, key, "full_outer").select(
-        key,
-        *[chosen[c].alias(c) for c in columns],
-        F.coalesce("created_at", now).alias("created_at"),
-        F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
-    )
+    replaced = narrow(existing.select(key, "created_at"), rows, key)
+    fresh = rows.join(replaced, key, "left").withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now)
+    return without_keys(existing, rows, key).select(*fresh.columns).unionByName(fresh)
 
 
 def upsert(arrivals: DataFrame, existing: DataFrame | None, key: str, now: Column | None = None) -> Upsert:

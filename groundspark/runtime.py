@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # A side is broadcast only when its text was measured to be below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Likewise for tables of keys alone.
+BROADCAST_KEYS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,13 +72,29 @@ def frequent_values(df: DataFrame, key: str, support: float = 1e-3) -> DataFrame
     )
 
 
+def narrow(rows: DataFrame, keys: DataFrame, key: str, limit_rows: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` whose key is in ``keys`` when those are counted as few, else all rows.
+
+    A small batch then meets a large table by a broadcast, and the table is
+    scanned without being shuffled. Callers still join on the key.
+    """
+    wanted = keys.select(key).distinct()
+    return rows.join(F.broadcast(wanted), key, "left_semi") if rows_fit(wanted, limit_rows) else rows
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str, limit_rows: int = BROADCAST_KEYS) -> DataFrame:
+    """``rows`` whose key is not in ``keys``; few keys are broadcast, more are shuffled."""
+    wanted = keys.select(key).distinct()
+    return rows.join(F.broadcast(wanted) if rows_fit(wanted, limit_rows) else wanted, key, "left_anti")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str,
     spread_by: list[str],
-    spread: int = 256,
+    spread: int | None = None,
     support: float = 1e-3,
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``spread`` sub-keys.
@@ -85,8 +103,11 @@ def skew_join(
     only their right rows are repeated. ``spread_by`` names left columns that
     differ between rows of one key; their hash is the sub-key, which stays the
     same when a task is run again. Keys that are null match nothing and are
-    spread as well.
+    spread as well. By default a hot key is spread over as many sub-keys as the
+    session has shuffle partitions.
     """
+    if spread is None:
+        spread = max(256, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = F.broadcast(frequent_values(left, key, support).withColumn("_hot", F.lit(True)))
     sub_key = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(spread)).cast("int")
     salted_left = left.join(hot, key, "left").withColumn(

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from groundspark import runtime
 from groundspark.operators import integrity, upsert
 from groundspark.plans import ingest
 from groundspark.sources import articles, questions, snapshots, studies
@@ -168,7 +169,7 @@ def test_questions(spark, tmp_path):
     assert row.asDict() == {"id": "a", "question": "Why?", "expect_answerable": True, "relevant_source_identifiers": ["x"], "ground_truth_basis": ""}
 
 
-def test_classify_matches_one_by_one(spark):
+def test_classify_matches_one_by_one(spark, monkeypatch):
     rng = random.Random(3)
     stored = {f"k{i}": rng.choice("ab") for i in range(6)}
     arrivals = [(rng.choice(["k0", "k0", "k0", *[f"k{i}" for i in range(12)]]), i * 3, rng.choice("ab")) for i in range(300)]
@@ -182,6 +183,9 @@ def test_classify_matches_one_by_one(spark):
         assert {r.seq: r.action for r in upsert.classify(batch, existing, "key", step).collect()} == want
     merged = upsert.upsert(batch, existing.withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("updated_at", F.lit(None).cast("timestamp")), "key")
     assert {r.key: r.content_hash for r in merged.snapshot.collect()} == state
+    monkeypatch.setattr(runtime, "rows_fit", lambda *_: False)  # the same without broadcasts
+    wide = upsert.upsert(batch, existing.withColumn("created_at", F.lit(None).cast("timestamp")).withColumn("updated_at", F.lit(None).cast("timestamp")), "key")
+    assert {r.key: r.content_hash for r in wide.snapshot.collect()} == state
     counts = upsert.action_counts(merged.actions).first().asDict()
     assert counts == {a: list(want.values()).count(a) for a in ("new", "updated", "unchanged")}
 

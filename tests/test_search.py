@@ -242,7 +242,7 @@ def test_grouping(spark):
     ]
 
 
-def test_approximate_search(spark, corpus):
+def test_approximate_search(spark, corpus, monkeypatch):
     _, table, _, queries = corpus
     asked = embedding.hashing(32)(queries)
     exact = dense.dense_search(asked, table, 5)
@@ -251,6 +251,7 @@ def test_approximate_search(spark, corpus):
     assert recall > 0.8
     truth = {(r.query_id, r.document_id, r.chunk_index): r.score for r in dense.dense_search(asked, table, 1000).collect()}
     assert all(abs(truth[(r.query_id, r.document_id, r.chunk_index)] - r.score) < 1e-9 for r in found.collect())
+    monkeypatch.setattr(approximate, "rows_fit", lambda *_: False)
     spread = approximate.approximate_search(asked, table, 5, tables=16, bits=4)
     assert as_set(spread) == as_set(found)
 
