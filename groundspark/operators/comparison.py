@@ -70,7 +70,7 @@ def check_pairs(pairs: DataFrame, trials: DataFrame) -> DataFrame:
 
     def flagged(rows: DataFrame, column: str, flag: str) -> DataFrame:
         side = known.select(F.col("nct_id").alias(column), F.col("_known").alias(flag))
-        return skew_join(rows, side, column, "left", ["pair_id"])
+        return skew_join(rows, side, column, "left", ["pair_id"], slim_right=True)
 
     return flagged(flagged(pairs, "nct_a", "_a"), "nct_b", "_b").select(
         "pair_id",

@@ -81,11 +81,11 @@ def cascade_delete(
     gone_trials = gone.filter(F.col("source_type") == "trial").select(F.col("source_identifier").alias("linked_trial_id"))
     gone_publications = gone.filter(F.col("source_type") == "publication").select(F.col("source_identifier").alias("pmid"))
     kept = publications.join(gone_publications, "pmid", "left_anti")
-    unlinked = skew_join(kept, gone_trials.withColumn("_gone", F.lit(True)), "linked_trial_id", "left", ["pmid"])
+    unlinked = skew_join(kept, gone_trials.withColumn("_gone", F.lit(True)), "linked_trial_id", "left", ["pmid"], slim_right=True)
     link = F.when(F.col("_gone").isNull(), F.col("linked_trial_id"))
     return {
         "publications": unlinked.withColumn("linked_trial_id", link).select(*publications.columns),
         "documents": documents.join(gone, source, "left_anti").select(*documents.columns),
-        "chunks": skew_join(chunks, dead, "document_id", "left_anti", ["chunk_index"]).select(*chunks.columns),
-        "citations": skew_join(citations, dead, "document_id", "left_anti", ["query_id", "citation_index"]).select(*citations.columns),
+        "chunks": skew_join(chunks, dead, "document_id", "left_anti", ["chunk_index"], slim_right=True).select(*chunks.columns),
+        "citations": skew_join(citations, dead, "document_id", "left_anti", ["query_id", "citation_index"], slim_right=True).select(*citations.columns),
     }

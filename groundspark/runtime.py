@@ -96,6 +96,7 @@ def skew_join(
     spread_by: list[str],
     spread: int | None = None,
     support: float = 1e-3,
+    slim_right: bool = False,
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``spread`` sub-keys.
 
@@ -104,8 +105,11 @@ def skew_join(
     differ between rows of one key; their hash is the sub-key, which stays the
     same when a task is run again. Keys that are null match nothing and are
     spread as well. By default a hot key is spread over as many sub-keys as the
-    session has shuffle partitions.
+    session has shuffle partitions. ``slim_right`` says that right rows are
+    little more than keys: when counted as few they are broadcast instead.
     """
+    if slim_right and rows_fit(right, BROADCAST_KEYS):
+        return left.join(F.broadcast(right), key, how)
     if spread is None:
         spread = max(256, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     hot = F.broadcast(frequent_values(left, key, support).withColumn("_hot", F.lit(True)))
