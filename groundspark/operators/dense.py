@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +53,15 @@ def _score_pass(chunks: DataFrame, ids: list, vectors: np.ndarray, norms: np.nda
                 if part.num_rows > limit:
                     place = part.num_rows - limit
                     cutoff = np.maximum(cutoff, np.partition(scores, place, axis=0)[place])
-                row, query = np.nonzero(scores >= cutoff)
-                picked = part.select(CHUNK_KEY).take(pa.array(row))
+                hit = scores >= cutoff
+                keys = part.select(CHUNK_KEY)
+                if np.count_nonzero(hit) > 4 * limit * len(ids):
+                    # Many copies tie at the cut: only the first ``limit`` by key can stay.
+                    order = pc.sort_indices(keys, sort_keys=[(k, "ascending") for k in CHUNK_KEY]).to_numpy()
+                    tied = scores[order] == cutoff
+                    hit[order] &= ~(tied & (np.cumsum(tied, axis=0) > limit))
+                row, query = np.nonzero(hit)
+                picked = keys.take(pa.array(row))
                 found = pa.table(
                     {
                         "query": pa.array(query.astype(np.int32)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from groundspark.operators.upsert import Upsert, document_rows, link_publications, split_keyless, upsert
 from groundspark.runtime import write_table
-from groundspark.sources.articles import normalize_publications, publication_document_text, read_articles
+from groundspark.sources.articles import ARRIVAL, normalize_publications, publication_document_text, read_articles
 from groundspark.sources.studies import normalize_trials, read_study_pages, trial_document_text
 
 
@@ -76,5 +76,5 @@ def seed_corpus(spark: SparkSession, study_path: str, article_path: str, now: Co
     """Read fixture files through the same steps as any other batch."""
     studies = number_arrivals(read_study_pages(spark, study_path), ["page_file", "position"])
     trials = ingest_trials(studies, None, None, now)
-    articles = number_arrivals(read_articles(spark, article_path), ["pmid", "article_xml"])
+    articles = number_arrivals(read_articles(spark, article_path), ARRIVAL)
     return trials, ingest_publications(articles, None, trials.records.snapshot, None, now)

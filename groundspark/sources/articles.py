@@ -14,6 +14,7 @@ from groundspark.functions.text import extract_nct_ids, sha256_hex, strip
 
 ARTICLE_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 ARTICLE_END = "</PubmedArticle>"
+ARRIVAL = ["page_file", "page_block", "position"]
 SEARCH_RESULT = "esearchresult struct<idlist: array<string>>"
 
 DATE_NODE = pa.struct([(name, pa.string()) for name in ("year", "month", "day", "medline_date")])
@@ -51,17 +52,26 @@ def read_article_ids(spark: SparkSession, path: str, retmax: int | None = None)
 
 
 def read_articles(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
-    """Raw articles (pmid, article_xml) of landed article sets, optionally only ``ids``.
+    """Raw articles of landed article sets, optionally only ``ids``.
 
     Files are split at the closing article tag, so one large set is read by many
-    tasks and each article keeps its exact text for hashing.
+    tasks and each article keeps its exact text for hashing. ARRIVAL names the
+    columns that hold the order of the articles in their files.
     """
-    pieces = spark.read.option("lineSep", ARTICLE_END).text(path)
+    pieces = spark.read.option("lineSep", ARTICLE_END).text(path).select(
+        "value", F.col("_metadata.file_path").alias("page_file"), F.col("_metadata.file_block_start").alias("page_block")
+    )
+    articles = cut_articles(pieces)
+    return articles if ids is None else articles.join(ids.select("pmid").distinct(), "pmid", "left_semi")
+
+
+def cut_articles(pieces: DataFrame) -> DataFrame:
+    """(ARRIVAL, pmid, article_xml) of (value, page_file, page_block) lines ending at closing tags."""
     start = F.regexp_instr("value", F.lit(r"<PubmedArticle[\s>]"))
     body = F.concat(F.substring(F.col("value"), start, F.char_length("value")), F.lit(ARTICLE_END))
-    articles = pieces.filter(start > 0).select(body.alias("article_xml"))
-    articles = articles.select(article_key(F.col("article_xml")).alias("pmid"), "article_xml")
-    return articles if ids is None else articles.join(ids.select("pmid").distinct(), "pmid", "left_semi")
+    placed = pieces.withColumn("position", F.monotonically_increasing_id())
+    articles = placed.filter(start > 0).select(*ARRIVAL, body.alias("article_xml"))
+    return articles.select(*ARRIVAL, article_key(F.col("article_xml")).alias("pmid"), "article_xml")
 
 
 def article_key(article_xml: Column) -> Column:

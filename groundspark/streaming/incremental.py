@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundspark.operators.chunking import apply_index_diff, chunk_documents, diff_chunks
-from groundspark.plans.ingest import ingest_trials, number_arrivals
+from groundspark.plans.ingest import Ingested, ingest_publications, ingest_trials, number_arrivals
 from groundspark.plans.retrieval import enrich_chunks
 from groundspark.runtime import write_table
+from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles
 from groundspark.sources.snapshots import read_snapshot, write_snapshot
 from groundspark.sources.studies import split_pages
 
@@ -24,36 +25,60 @@ def refresh_index(documents: DataFrame, touched: DataFrame, stored: DataFrame |
     return stored.join(touched, "document_id", "left_anti").unionByName(renewed.select(*stored.columns))
 
 
+def store_batch(spark: SparkSession, root: str, name: str, done: Ingested, tables: dict[str, DataFrame], config: str) -> None:
+    """Re-index the documents a batch changed and make all its tables current together."""
+    touched = write_table(done.documents.changed.select("document_id").distinct(), "touched")
+    documents = write_table(done.documents.snapshot, "documents")
+    chunks = refresh_index(documents, touched, tables.get("chunks"), enrich_chunks(config=config))
+    write_snapshot(
+        spark, root, {name: done.records.snapshot, "documents": documents, "chunks": chunks}, {"documents": ["source_type"]}
+    )
+
+
 def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> None:
-    """Upsert one batch of (page_file, value) pages into the tables under ``root``.
+    """Upsert one batch of (page_file, value) study pages into the tables under ``root``.
 
-    All tables become current together, and a key is compared by hash, so running
-    a batch again leaves the tables as they are.
+    A key is compared by hash, so running a batch again leaves the tables as they are.
     """
     spark = pages.sparkSession
     tables = read_snapshot(spark, root)
     parsed = pages.select("page_file", F.try_parse_json("value").alias("page"))
     studies = number_arrivals(split_pages(parsed, ["page_file"]), ["page_file", "position"])
-    now = F.current_timestamp()
-    batch = ingest_trials(studies, tables.get("trials"), tables.get("documents"), now)
-    touched = write_table(batch.documents.changed.select("document_id").distinct(), "touched")
-    documents = write_table(batch.documents.snapshot, "documents")
-    chunks = refresh_index(documents, touched, tables.get("chunks"), enrich_chunks(config=config))
-    write_snapshot(
-        spark, root, {"trials": batch.records.snapshot, "documents": documents, "chunks": chunks},
-        {"documents": ["source_type"]},
-    )
+    done = ingest_trials(studies, tables.get("trials"), tables.get("documents"), F.current_timestamp())
+    store_batch(spark, root, "trials", done, tables, config)
 
 
-def stream_studies(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
-    """Ingest every page not seen before, then stop; start again at any time."""
-    pages = (
-        spark.readStream.schema("value string").option("wholetext", True).text(landing)
-        .select(F.col("_metadata.file_path").alias("page_file"), "value")
+def apply_article_batch(articles: DataFrame, root: str, config: str = "english") -> None:
+    """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
+    spark = articles.sparkSession
+    tables = read_snapshot(spark, root)
+    trials = tables["trials"] if "trials" in tables else spark.createDataFrame([], "nct_id string")
+    done = ingest_publications(
+        number_arrivals(articles, ARRIVAL), tables.get("publications"), trials, tables.get("documents"), F.current_timestamp()
     )
+    store_batch(spark, root, "publications", done, tables, config)
+
+
+def _run(rows: DataFrame, apply, root: str, checkpoint: str) -> StreamingQuery:
     return (
-        pages.writeStream.foreachBatch(lambda batch, number: apply_study_batch(batch, root))
+        rows.writeStream.foreachBatch(lambda batch, number: apply(batch, root))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_studies(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Ingest every study page not seen before, then stop; start again at any time."""
+    pages = (
+        spark.readStream.schema("value string").option("wholetext", True).text(landing)
+        .select(F.col("_metadata.file_path").alias("page_file"), "value")
+    )
+    return _run(pages, apply_study_batch, root, checkpoint)
+
+
+def stream_articles(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Ingest every article set not seen before, then stop; start again at any time."""
+    pieces = spark.readStream.schema("value string").option("lineSep", ARTICLE_END).text(landing)
+    placed = pieces.select("value", F.col("_metadata.file_path").alias("page_file"), F.col("_metadata.file_block_start").alias("page_block"))
+    return _run(placed, lambda batch, target: apply_article_batch(cut_articles(batch), target), root, checkpoint)

@@ -315,3 +315,18 @@ def test_incremental_equals_batch(spark, tmp_path):
     incremental.apply_study_batch(pages, root)  # the same batch again
     again = snapshots.read_snapshot(spark, root)
     assert {n: t.count() for n, t in again.items()} == before
+
+
+def test_incremental_articles(spark, tmp_path):
+    landing, root, checkpoint = tmp_path / "landing", str(tmp_path / "tables"), str(tmp_path / "checkpoint")
+    landing.mkdir()
+    pages = spark.createDataFrame([("p", json.dumps({"studies": [study("NCT00000001")]}))], "page_file string, value string")
+    incremental.apply_study_batch(pages, root)
+    first, second = article("1", "NCT00000001", title="Old"), article("1", "NCT00000001", title="New")
+    (landing / "a.xml").write_text(f"<PubmedArticleSet>{first}{article('2')}{second}</PubmedArticleSet>")
+    incremental.stream_articles(spark, str(landing), root, checkpoint).awaitTermination(120)
+    tables = snapshots.read_snapshot(spark, root)
+    assert {(r.pmid, r.title, r.linked_trial_id) for r in tables["publications"].collect()} == {("1", "New", "NCT00000001"), ("2", "T", None)}
+    assert {r.document_id for r in tables["chunks"].collect()} == {"trial:NCT00000001", "publication:1", "publication:2"}
+    # The title alone changed between the two copies, so the document kept the first one.
+    assert tables["documents"].filter("source_identifier = '1'").first().title == "Old"

@@ -76,6 +76,18 @@ def test_dense_small_slices(corpus, monkeypatch):
     assert as_set(hits) == brute_dense(rows, asked, 32, 5)
 
 
+def test_dense_with_many_copies(spark):
+    """Most chunks tie at the cut, in any order of arrival."""
+    rng = random.Random(11)
+    rows = [(d, i, "same words here" if rng.random() < 0.9 else "other words there") for d in range(80) for i in range(5)]
+    rng.shuffle(rows)
+    asked = [(1, "same"), (2, "there words"), (3, "")]
+    chunks = embedding.hashing(32)(spark.createDataFrame(rows, "document_id long, chunk_index int, text string").coalesce(2))
+    queries = embedding.hashing(32)(spark.createDataFrame(asked, "query_id long, text string"))
+    for limit in (3, 20):
+        assert as_set(dense.dense_search(queries, chunks, limit)) == brute_dense(rows, asked, 32, limit)
+
+
 def test_dense_skips_missing_vectors(spark, corpus):
     _, table, _, queries = corpus
     partly = table.withColumn("vector", F.when(F.col("document_id") != 101, F.col("vector")))
