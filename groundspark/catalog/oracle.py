@@ -546,4 +546,8 @@ firsts AS (SELECT f.query_id, source_identifier, min(position) AS position FROM
 SELECT query_id, array_to_string(list(source_identifier ORDER BY position), '|') AS sources FROM firsts GROUP BY query_id""",
     "e14_mode_sweep": all_modes(),
     "e15_report_lines": report_sql(),
+    "g10_citation_table": f"""WITH {ANSWERS}, {CHECKED}, flat AS (SELECT query_id, unnest(cited) AS citation_index FROM final WHERE status = 'answered')
+SELECT f.query_id, citation_index, document_id || ':' || chunk_index AS chunk_id, source_identifier, md5(excerpt) AS excerpt_md5, CAST(NULL AS INTEGER) AS excerpt_char_start
+FROM flat f JOIN evidence e ON e.query_id = f.query_id AND e.rank = citation_index""",
 }
+ORACLE_SQL["r8_fulltext_postings"] = ORACLE_SQL["r8_fulltext"]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark import settings
+from groundspark import schemas, settings
 from groundspark.catalog import inputs
 from groundspark.catalog.inputs import FIRST_BATCH, SECOND_BATCH, nct_of, table
 from groundspark.functions import dates, text
@@ -486,11 +486,18 @@ def r6_lexemes_english(spark, folder):
     return stemmed.select("document_id", F.explode("lexemes").alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("tf"))
 
 
+def _postings(spark, folder):
+    """The inverted index, clustered by lexeme, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "postings")
+    if key not in _stored:
+        path = _fresh_path(spark, "postings")
+        lexemes.write_postings(lexemes.postings(inputs.index(spark, folder)), path)
+        _stored[key] = spark.read.parquet(path)
+    return _stored[key]
+
+
 def r7_postings(spark, folder):
-    path = _fresh_path(spark, "postings")
-    lexemes.write_postings(lexemes.postings(inputs.index(spark, folder)), path)
-    stored = spark.read.parquet(path)
-    return stored.groupBy("lexeme").agg(
+    return _postings(spark, folder).groupBy("lexeme").agg(
         F.count("*").alias("n_chunks"), F.sum("tf").alias("total_tf"), F.min(F.get("positions", 0)).cast("bigint").alias("first_position")
     )
 
@@ -516,6 +523,12 @@ def r8_fulltext_words(spark, folder):
     return hits.select("query_id", "document_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
+def r8_fulltext_postings(spark, folder):
+    """The same keyword search answered from the inverted index."""
+    hits = fulltext.fulltext_from_postings(_asked(spark, folder), _postings(spark, folder), settings.CANDIDATE_POOL)
+    return hits.select("query_id", "document_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
 def r8_fulltext_english(spark, folder):
     hits = fulltext.fulltext_search(_asked(spark, folder, "english"), inputs.index(spark, folder, "english"), settings.CANDIDATE_POOL)
     return hits.select("query_id", "document_id", "chunk_index", "rank")
@@ -675,6 +688,13 @@ def g10_finalize(spark, folder):
     return _final(spark, folder).select("query_id", "status", F.md5("answer").alias("answer_md5"), _joined(F.col("cited"), ",").alias("cited"))
 
 
+def g10_citation_table(spark, folder):
+    """The stored citations of the answered questions."""
+    cited = grounding.citation_rows(_final(spark, folder), inputs.turn_evidence(spark, folder))
+    stored = schemas.conform(grounding.citation_table(cited), "citations")
+    return stored.select("query_id", "citation_index", "chunk_id", "source_identifier", F.md5("excerpt_text").alias("excerpt_md5"), "excerpt_char_start")
+
+
 def g11_warnings(spark, folder):
     return _final(spark, folder).select("query_id", F.explode("warnings").alias("warning"))
 

@@ -7,24 +7,41 @@ from pyspark.sql import functions as F
 
 from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.operators.dense import best_per_query
-from groundspark.runtime import skew_join, text_fits_broadcast
+from groundspark.runtime import skew_join, text_fits_broadcast, write_table
 
 # Fixed value: weights are whole billionths, so that sums do not depend on order.
 WEIGHT_UNIT = 1_000_000_000
+# So many lexeme names are at most sent to the files as a filter.
+MAX_PUSHED_LEXEMES = 10_000
+
+
+def saturated_weight(tf: Column) -> Column:
+    """1 + 1/4 + ... + 1/tf^2 in whole billionths."""
+    shares = F.transform(F.sequence(F.lit(1), tf), lambda j: F.floor(F.lit(WEIGHT_UNIT) / (j * j)).cast("bigint"))
+    return F.aggregate(shares, F.lit(0).cast("bigint"), lambda total, share: total + share)
 
 
 def frequency_score(wanted: Column, lexemes: Column) -> Column:
-    """Sum over wanted lexemes of 1 + 1/4 + ... + 1/tf^2: grows with frequency, saturates."""
+    """Sum of the weights of all wanted lexemes: grows with frequency, saturates."""
 
     def weight(lexeme: Column) -> Column:
-        tf = F.size(F.filter(lexemes, lambda found: found == lexeme))
-        terms = F.transform(F.sequence(F.lit(1), tf), lambda j: F.expr(f"{WEIGHT_UNIT}L").cast("bigint") / (j * j))
-        return F.aggregate(terms, F.lit(0).cast("bigint"), lambda total, w: total + F.floor(w).cast("bigint"))
+        return saturated_weight(F.size(F.filter(lexemes, lambda found: found == lexeme)))
 
     units = F.aggregate(F.transform(wanted, weight), F.lit(0).cast("bigint"), lambda total, w: total + w)
     return units / F.lit(float(WEIGHT_UNIT))
 
 
+def rarest_lexemes(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(query_id, lexeme): the least frequent lexeme of each question that knows all of its own."""
+    return (
+        terms.join(frequencies, "lexeme", "left")
+        .groupBy("query_id")
+        .agg(F.min(F.struct("n", "lexeme")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all_known"))
+        .filter("all_known")
+        .select("query_id", F.col("least.lexeme").alias("lexeme"))
+    )
+
+
 def document_frequencies(chunks: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """(lexeme, n): in how many chunks each searched lexeme occurs."""
     searched = terms.select("lexeme").distinct()
@@ -35,6 +52,16 @@ def document_frequencies(chunks: DataFrame, terms: DataFrame, small: bool) -> Da
     return counted if small else counted.join(searched, "lexeme", "left_semi")
 
 
+def _wanted(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """Distinct lexemes per question, and whether they were measured as small.
+
+    A large table is written out, as the search reads it several times.
+    """
+    wanted = queries.select("query_id", F.array_distinct("lexemes").alias("wanted")).filter(F.size("wanted") > 0)
+    small = text_fits_broadcast(wanted.select(F.array_join("wanted", " ").alias("words")), "words")
+    return (wanted if small else write_table(wanted, "wanted")), small
+
+
 def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     """(query_id, document_id, chunk_index, score, rank), best ``limit`` per question.
 
@@ -44,17 +71,9 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
     question table measured as small is broadcast and chunks are not shuffled;
     a larger one is joined on the lexeme with frequent lexemes spread out.
     """
-    wanted = queries.select("query_id", F.array_distinct("lexemes").alias("wanted")).filter(F.size("wanted") > 0)
-    small = text_fits_broadcast(wanted.select(F.array_join("wanted", " ").alias("words")), "words")
+    wanted, small = _wanted(queries)
     terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"))
-    frequencies = document_frequencies(chunks, terms, small)
-    rarest = (
-        terms.join(frequencies, "lexeme", "left")
-        .groupBy("query_id")
-        .agg(F.min(F.struct("n", "lexeme")).alias("least"), F.bool_and(F.col("n").isNotNull()).alias("all_known"))
-        .filter("all_known")
-        .select("query_id", F.col("least.lexeme").alias("lexeme"))
-    )
+    rarest = rarest_lexemes(terms, document_frequencies(chunks, terms, small))
     drivers = rarest.join(wanted, "query_id")
     if small:
         candidates = chunks.select(*CHUNK_KEY, "lexemes", F.explode(F.array_distinct("lexemes")).alias("lexeme")).join(
@@ -68,3 +87,37 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
     hits = candidates.filter(F.size(F.array_except("wanted", "lexemes")) == 0)
     scored = hits.select("query_id", *CHUNK_KEY, frequency_score(F.col("wanted"), F.col("lexemes")).alias("score"))
     return best_per_query(scored, limit)
+
+
+def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
+    """The same hits from an inverted index of (lexeme, document_id, chunk_index, tf).
+
+    Only postings of searched lexemes are read: with up to MAX_PUSHED_LEXEMES of
+    them their names are pushed down to the files, which are clustered by lexeme.
+    Candidates come from each question's rarest lexeme and then meet the postings
+    of its other lexemes on the whole key.
+    """
+    wanted, small = _wanted(queries)
+    terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"), F.size("wanted").alias("n_wanted"))
+    names = [row["lexeme"] for row in terms.select("lexeme").distinct().limit(MAX_PUSHED_LEXEMES + 1).collect()]
+    slim = postings.select("lexeme", *CHUNK_KEY, "tf")
+    if len(names) <= MAX_PUSHED_LEXEMES:
+        searched = slim.filter(F.col("lexeme").isin(names))
+    else:
+        listed = terms.select("lexeme").distinct()
+        searched = slim.join(F.broadcast(listed), "lexeme", "left_semi") if small else slim
+    frequencies = searched.groupBy("lexeme").agg(F.count("*").alias("n"))
+    rarest = rarest_lexemes(terms, frequencies)
+    found = searched.select("lexeme", *CHUNK_KEY)
+    if small:
+        candidates = found.join(F.broadcast(rarest), "lexeme").drop("lexeme").join(F.broadcast(terms), "query_id")
+    else:
+        candidates = skew_join(found, rarest, "lexeme", "inner", CHUNK_KEY).drop("lexeme")
+        candidates = skew_join(candidates, terms, "query_id", "inner", CHUNK_KEY)
+    hits = (
+        candidates.join(searched, ["lexeme", *CHUNK_KEY])
+        .groupBy("query_id", *CHUNK_KEY)
+        .agg(F.count("*").alias("n_found"), F.first("n_wanted").alias("n_wanted"), F.sum(saturated_weight(F.col("tf"))).alias("units"))
+        .filter(F.col("n_found") == F.col("n_wanted"))
+    )
+    return best_per_query(hits.select("query_id", *CHUNK_KEY, (F.col("units") / F.lit(float(WEIGHT_UNIT))).alias("score")), limit)

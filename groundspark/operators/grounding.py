@@ -148,6 +148,22 @@ def citation_rows(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def citation_table(citations: DataFrame) -> DataFrame:
+    """Stored form of citation rows; the excerpt is the whole chunk, so its range is null."""
+    return citations.select(
+        "query_id",
+        "citation_index",
+        "chunk_id",
+        "document_id",
+        F.col("excerpt").alias("excerpt_text"),
+        F.lit(None).cast("int").alias("excerpt_char_start"),
+        F.lit(None).cast("int").alias("excerpt_char_end"),
+        "source_type",
+        "source_identifier",
+        "source_url",
+    )
+
+
 def answer_response(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """One row per question with its citations nested in order."""
     fields = ["citation_index", "chunk_id", "document_id", "source_type", "source_identifier", "source_url", "title", "excerpt"]

@@ -12,7 +12,7 @@ from groundspark.functions.text import strip
 from groundspark.operators.chunking import CHUNK_KEY, chunk_documents
 from groundspark.operators.dense import dense_search
 from groundspark.operators.embedding import hashing
-from groundspark.operators.fulltext import fulltext_search
+from groundspark.operators.fulltext import fulltext_from_postings, fulltext_search
 from groundspark.operators.fusion import matched_by, reciprocal_rank_fusion
 from groundspark.operators.lexemes import with_lexemes
 from groundspark.runtime import rows_fit
@@ -54,12 +54,16 @@ def fused_hits(
     rrf_k: int,
     provider: Provider | None,
     config: str,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Fused ranking of chunk keys with the names of the lists that found them."""
     asked = queries.filter(strip(F.col("text")) != "").select("query_id", "text")
     rankings, labels = [], []
     if mode in ("hybrid", "fulltext"):
-        rankings.append(fulltext_search(with_lexemes(asked, config), index, pool))
+        keywords = with_lexemes(asked, config)
+        rankings.append(
+            fulltext_search(keywords, index, pool) if postings is None else fulltext_from_postings(keywords, postings, pool)
+        )
         labels.append("fulltext")
     if mode in ("hybrid", "dense"):
         rankings.append(dense_search((provider or hashing())(asked), index, pool))
@@ -94,13 +98,16 @@ def search(
     rrf_k: int = settings.RRF_K,
     provider: Provider | None = None,
     config: str = "english",
+    postings: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked evidence rows for every question of (query_id, text).
 
     Blank questions give no rows. ``score`` is the fused score in every mode.
+    With an inverted index in ``postings`` keyword search reads that instead of
+    the lexeme column of the chunks.
     """
     check_search(mode, top_k)
-    hits = fused_hits(queries, index, mode, top_k, pool, rrf_k, provider, config)
+    hits = fused_hits(queries, index, mode, top_k, pool, rrf_k, provider, config, postings)
     return load_results(hits, index, documents, rows_fit(queries, BROADCAST_HITS // top_k))
 
 

@@ -10,6 +10,7 @@ from groundspark.operators.chunking import apply_index_diff, chunk_documents, di
 from groundspark.plans.ingest import Ingested, ingest_publications, ingest_trials, number_arrivals
 from groundspark.plans.retrieval import enrich_chunks
 from groundspark.runtime import write_table
+from groundspark.schemas import empty
 from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles
 from groundspark.sources.snapshots import read_snapshot, write_snapshot
 from groundspark.sources.studies import split_pages
@@ -52,7 +53,7 @@ def apply_article_batch(articles: DataFrame, root: str, config: str = "english")
     """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
     spark = articles.sparkSession
     tables = read_snapshot(spark, root)
-    trials = tables["trials"] if "trials" in tables else spark.createDataFrame([], "nct_id string")
+    trials = tables["trials"] if "trials" in tables else empty(spark, "trials")
     done = ingest_publications(
         number_arrivals(articles, ARRIVAL), tables.get("publications"), trials, tables.get("documents"), F.current_timestamp()
     )

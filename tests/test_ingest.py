@@ -8,9 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from groundspark import runtime
+from groundspark import runtime, schemas
 from groundspark.operators import integrity, upsert
 from groundspark.plans import ingest
+from groundspark.plans.retrieval import build_index
 from groundspark.sources import articles, questions, snapshots, studies
 from groundspark.streaming import incremental
 
@@ -218,6 +219,19 @@ def test_trial_batches(spark):
     assert document.created_at < document.updated_at
 
 
+def test_table_schemas(spark):
+    done = ingest.ingest_trials(as_studies(spark, [FULL, study("NCT00000001")]), None, None)
+    articles_done = ingest.ingest_publications(as_articles(spark, [("1", article("1"))]), None, schemas.empty(spark, "trials"), None)
+    index = build_index(done.documents.snapshot)
+    for name, table in {"trials": done.records.snapshot, "documents": done.documents.snapshot, "publications": articles_done.records.snapshot, "chunks": index}.items():
+        wanted = schemas.TABLES[name]()
+        assert {f.name: f.dataType.simpleString() for f in wanted} == {f.name: f.dataType.simpleString() for f in table.schema if f.name != "parsed"}
+        assert schemas.conform(table, name).count() == table.count()
+        assert schemas.empty(spark, name).schema == wanted
+    with pytest.raises(Exception, match="documents.text must not be null"):
+        schemas.conform(done.documents.snapshot.withColumn("text", F.lit(None).cast("string")), "documents").collect()
+
+
 def test_same_key_twice_in_a_batch(spark):
     batch = [study("NCT00000001", "A", "x"), study("NCT00000001", "B", "x"), study("NCT00000001", "B", "x"), study("NCT00000001", "C", "y"), study("NCT00000001", "D", "y")]
     done = ingest.ingest_trials(as_studies(spark, batch), None, None)

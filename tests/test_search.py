@@ -129,6 +129,27 @@ def test_fulltext_equals_brute_force(corpus, monkeypatch, small):
     assert as_set(hits) == brute_fulltext(rows, asked, 10)
 
 
+@pytest.mark.parametrize("small,pushed", [(True, 1000), (True, 0), (False, 1000), (False, 0)])
+def test_postings_search_equals_brute_force(corpus, monkeypatch, tmp_path, small, pushed):
+    rows, table, asked, queries = corpus
+    lexemes.write_postings(lexemes.postings(table), str(tmp_path / "postings"))
+    monkeypatch.setattr(fulltext, "text_fits_broadcast", lambda *_: small)
+    monkeypatch.setattr(fulltext, "MAX_PUSHED_LEXEMES", pushed)
+    stored = table.sparkSession.read.parquet(str(tmp_path / "postings"))
+    hits = fulltext.fulltext_from_postings(lexemes.with_lexemes(queries, "simple"), stored, 10)
+    assert as_set(hits) == brute_fulltext(rows, asked, 10)
+    if pushed:
+        assert "In(lexeme" in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_through_postings(spark, library):
+    documents, index = library
+    queries = spark.createDataFrame([(1, "tirbonib lung cancer"), (2, "sleep")], "query_id long, text string")
+    plain = retrieval.search(queries, index, documents)
+    indexed = retrieval.search(queries, index, documents, postings=lexemes.postings(index))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, indexed.collect()))
+
+
 def test_fulltext_equal_single_occurrences_tie(spark):
     chunks = spark.createDataFrame([(2, 0, "red sky"), (1, 0, "red sea and much other text"), (3, 0, "red red")], "document_id long, chunk_index int, text string")
     queries = spark.createDataFrame([(1, "red")], "query_id long, text string")
