@@ -67,9 +67,9 @@ def question_truth(spark: SparkSession, folder: str) -> DataFrame:
     return shared.select(F.col("query_id").alias("id"), "source_identifier").distinct()
 
 
-def labelled_questions(spark: SparkSession, folder: str) -> DataFrame:
+def labelled_questions(spark: SparkSession, folder: str, truth: DataFrame) -> DataFrame:
     """(id, question, expect_answerable): benchmark items, answerable when they have truth."""
-    has_truth = question_truth(spark, folder).select("id").distinct().withColumn("_true", F.lit(True))
+    has_truth = truth.select("id").distinct().withColumn("_true", F.lit(True))
     asked = questions(spark, folder).select(F.col("query_id").alias("id"), F.col("text").alias("question"))
     return asked.join(has_truth, "id", "left").select("id", "question", F.col("_true").isNotNull().alias("expect_answerable"))
 

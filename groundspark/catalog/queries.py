@@ -539,10 +539,21 @@ def r9_dense(spark, folder):
     return hits.select("query_id", "document_id", "chunk_index", F.round("score", 9).alias("score"), "rank")
 
 
+def _lists(spark, folder):
+    """Clustered vector lists of the index, written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder, "lists")
+    if key not in _stored:
+        path = _fresh_path(spark, "lists")
+        centres = approximate.train_lists(inputs.index(spark, folder))
+        approximate.write_lists(inputs.index(spark, folder), centres, path)
+        _stored[key] = spark.read.parquet(path), centres
+    return _stored[key]
+
+
 def r10_approximate(spark, folder):
     """Share of the exact top ten that the approximate search finds, per question."""
     asked = embedding.hashing()(inputs.questions(spark, folder))
-    found = approximate.approximate_search(asked, inputs.index(spark, folder), 10)
+    found = approximate.approximate_search(asked, *_lists(spark, folder), 10)
     return approximate.recall_against(dense.dense_search(asked, inputs.index(spark, folder), 10), found)
 
 
@@ -803,7 +814,8 @@ def p8_citation_sides(spark, folder):
 
 
 def _labelled(spark, folder):
-    return _once(spark, folder, "labelled", inputs.labelled_questions), _once(spark, folder, "truth", inputs.question_truth)
+    truth = _once(spark, folder, "truth", inputs.question_truth)
+    return inputs.labelled_questions(spark, folder, truth), truth
 
 
 def _results(mode):
@@ -832,7 +844,7 @@ def e2_document_order(spark, folder):
     return metrics.document_order(_evidence(spark, folder))
 
 
-def _lists(spark, folder):
+def _identifier_lists(spark, folder):
     """Retrieved and relevant identifier lists, derived from the conversations."""
     turns = F.sequence(F.lit(0), F.col("turn").cast("int"))
     spin = F.col("conv_id") % 5
@@ -846,15 +858,15 @@ def _lists(spark, folder):
 
 
 def e3_recall_at_k(spark, folder):
-    return _lists(spark, folder).select("query_id", *[F.round(metrics.recall_at_k(F.col("retrieved"), F.col("relevant"), k), 9).alias(f"recall_{k}") for k in (0, 3, 5)])
+    return _identifier_lists(spark, folder).select("query_id", *[F.round(metrics.recall_at_k(F.col("retrieved"), F.col("relevant"), k), 9).alias(f"recall_{k}") for k in (0, 3, 5)])
 
 
 def e4_reciprocal_rank(spark, folder):
-    return _lists(spark, folder).select("query_id", F.round(metrics.reciprocal_rank(F.col("retrieved"), F.col("relevant")), 9).alias("rr"))
+    return _identifier_lists(spark, folder).select("query_id", F.round(metrics.reciprocal_rank(F.col("retrieved"), F.col("relevant")), 9).alias("rr"))
 
 
 def e5_means(spark, folder):
-    rows = _lists(spark, folder)
+    rows = _identifier_lists(spark, folder)
     values = rows.agg(
         metrics.mean_or_error(metrics.recall_at_k(F.col("retrieved"), F.col("relevant"), 5), "recall").alias("mean_recall"),
         metrics.mean_or_error(metrics.reciprocal_rank(F.col("retrieved"), F.col("relevant")), "rank").alias("mrr"),
@@ -863,11 +875,11 @@ def e5_means(spark, folder):
 
 
 def e6_citation_correctness(spark, folder):
-    return _lists(spark, folder).select("query_id", F.round(metrics.citation_correctness(F.col("cited"), F.col("relevant")), 9).alias("correctness"))
+    return _identifier_lists(spark, folder).select("query_id", F.round(metrics.citation_correctness(F.col("cited"), F.col("relevant")), 9).alias("correctness"))
 
 
 def e7_citation_completeness(spark, folder):
-    return _lists(spark, folder).select("query_id", F.round(metrics.citation_completeness(F.col("cited"), F.col("relevant")), 9).alias("completeness"))
+    return _identifier_lists(spark, folder).select("query_id", F.round(metrics.citation_completeness(F.col("cited"), F.col("relevant")), 9).alias("completeness"))
 
 
 def e8_abstention_accuracy(spark, folder):

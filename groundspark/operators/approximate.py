@@ -1,4 +1,4 @@
-"""Approximate nearest chunks by random hyperplanes, re-ranked exactly."""
+"""Approximate nearest chunks: vectors stored in clustered lists, few lists probed."""
 
 from __future__ import annotations
 
@@ -6,80 +6,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.operators.chunking import CHUNK_KEY
-from groundspark.operators.dense import best_per_query
-from groundspark.runtime import rows_fit, skew_join
+from groundspark.operators.dense import QUERIES_PER_PASS, Block, no_hits, score_pass, search_in_blocks
+from groundspark.operators.embedding import unit_vector
 
-MAX_BROADCAST_QUERIES = 20_000
+TRAINING_ROWS_PER_LIST = 256
 
 
-def hyperplane_buckets(tables: int, bits: int, seed: int):
-    """Column function: vector to one bucket number per table (array<bigint>).
+def _usable(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("vector").isNotNull() & (F.col("norm2") > 0))
 
-    A bucket is the side of ``bits`` seeded hyperplanes the vector lies on, so
-    vectors at a small angle often share it whatever their length.
+
+def train_lists(chunks: DataFrame, n_lists: int = 64, seed: int = 42) -> np.ndarray:
+    """Unit centres of ``n_lists`` clusters of chunk vectors.
+
+    Centres are learnt from a sample of fixed expected size, distinct vectors
+    only, so that copies do not pull them; every chunk is assigned afterwards.
     """
+    usable = _usable(chunks).select("vector", "norm2")
+    share = min(1.0, n_lists * TRAINING_ROWS_PER_LIST / max(1, usable.count()))
+    sample = usable.sample(share, seed).dropDuplicates(["vector"])
+    units = sample.select(array_to_vector(unit_vector(F.col("vector"), F.col("norm2"))).alias("features"))
+    model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", initMode="random").fit(units)
+    centres = np.array(model.clusterCenters())
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
+def nearest_list(centres: np.ndarray):
+    """Column function: vector to the number of its list."""
 
-    @F.arrow_udf("array<bigint>")
-    def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        planes = None
+    @F.arrow_udf("int")
+    def assign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = flat.reshape(len(batch), -1)
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(matrix.shape[1], tables * bits))
-            sides = (matrix @ planes > 0).reshape(len(batch), tables, bits)
-            numbers = (sides * (1 << np.arange(bits))).sum(axis=2) * tables + np.arange(tables)
-            offsets = np.arange(0, numbers.size + 1, tables, dtype=np.int32)
-            yield pa.ListArray.from_arrays(offsets, numbers.astype(np.int64).ravel())
+            matrix = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
+            yield pa.array((matrix @ centres.T).argmax(axis=1).astype(np.int32))
 
-    return buckets
+    return assign
+
+
+def write_lists(chunks: DataFrame, centres: np.ndarray, path: str, files_per_list: int = 8) -> None:
+    """Store the vectors with one folder per list; a full list spans several files."""
+    assigned = _usable(chunks).select(*CHUNK_KEY, "vector", "norm2", nearest_list(centres)("vector").alias("list"))
+    spread = F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(files_per_list))
+    assigned.repartition("list", spread).write.partitionBy("list").parquet(path)
 
 
 def approximate_search(
-    queries: DataFrame, chunks: DataFrame, limit: int, tables: int = 12, bits: int = 8, seed: int = 42
+    queries: DataFrame,
+    lists: DataFrame,
+    centres: np.ndarray,
+    limit: int,
+    probes: int = 8,
+    queries_per_pass: int = QUERIES_PER_PASS,
 ) -> DataFrame:
-    """Like exact dense search, over the chunks that share a bucket with the question.
+    """Like exact dense search, over the ``probes`` lists nearest to each question.
 
-    Chunks are hashed where they are and met by the broadcast buckets of a
-    question set counted as small; for a larger set only keys and buckets are
-    joined, full buckets spread out, and vectors follow for the pairs that met.
-    A chunk met in several tables is scored in the first one.
+    Scores are exact. Only folders of probed lists are read, and a chunk is
+    compared with the questions that probe its list; chunks are not shuffled.
     """
-    buckets = hyperplane_buckets(tables, bits, seed)
-    usable = (F.col("norm2") > 0) & F.col("vector").isNotNull()
-    few = rows_fit(queries, MAX_BROADCAST_QUERIES)
-
-    def hashed(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        named = rows.filter(usable).select(*keys, buckets("vector").alias(f"{prefix}_buckets"))
-        return named.select("*", F.explode(f"{prefix}_buckets").alias("bucket"))
-
-    def vectors(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-        return rows.select(*keys, F.col("vector").alias(f"{prefix}_vector"), F.col("norm2").alias(f"{prefix}_norm2"))
-
-    asked = hashed(queries, ["query_id"], "query")
-    asked_vectors = vectors(queries, ["query_id"], "query")
-    if few:
-        stored = chunks.filter(usable).select(*CHUNK_KEY, "vector", "norm2", buckets("vector").alias("chunk_buckets"))
-        stored = stored.select("*", F.explode("chunk_buckets").alias("bucket"))
-        met = stored.join(F.broadcast(asked), "bucket").withColumnsRenamed({"vector": "chunk_vector", "norm2": "chunk_norm2"})
-    else:
-        met = skew_join(hashed(chunks, CHUNK_KEY, "chunk"), asked, "bucket", "inner", CHUNK_KEY)
-    first = met.filter(F.get(F.array_intersect("chunk_buckets", "query_buckets"), 0) == F.col("bucket"))
-    first = first.drop("chunk_buckets", "query_buckets", "bucket")
-    if few:
-        pairs = first.join(F.broadcast(asked_vectors), "query_id")
-    else:
-        pairs = skew_join(first, asked_vectors, "query_id", "inner", CHUNK_KEY).join(
-            vectors(chunks, CHUNK_KEY, "chunk"), CHUNK_KEY
-        )
-    products = F.zip_with("chunk_vector", "query_vector", lambda a, b: (a * b).cast("double"))
-    dot = F.aggregate(products, F.lit(0.0), lambda total, p: total + p)
-    score = dot / F.sqrt(F.col("chunk_norm2") * F.col("query_norm2"))
-    return best_per_query(pairs.select("query_id", *CHUNK_KEY, score.alias("score")), limit)
+    id_type = queries.schema["query_id"].dataType
+
+    def one_pass(block: Block) -> DataFrame:
+        nearest = np.argsort(-(block.vectors @ centres.T), axis=1, kind="stable")[:, :probes]
+        asking = {int(number): np.nonzero((nearest == number).any(axis=1))[0] for number in np.unique(nearest)}
+        return score_pass(lists.filter(F.col("list").isin(list(asking))), block, id_type, limit, asking)
+
+    found = search_in_blocks(queries.filter(F.col("norm2") > 0), limit, queries_per_pass, one_pass)
+    return no_hits(queries, lists) if found is None else found
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:

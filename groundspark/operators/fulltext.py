@@ -84,7 +84,7 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
         candidates = skew_join(slim, drivers, "lexeme", "inner", CHUNK_KEY).join(
             chunks.select(*CHUNK_KEY, "lexemes"), CHUNK_KEY
         )
-    hits = candidates.filter(F.size(F.array_except("wanted", "lexemes")) == 0)
+    hits = candidates.filter((F.size("wanted") == 1) | (F.size(F.array_except("wanted", "lexemes")) == 0))
     scored = hits.select("query_id", *CHUNK_KEY, frequency_score(F.col("wanted"), F.col("lexemes")).alias("score"))
     return best_per_query(scored, limit)
 

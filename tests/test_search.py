@@ -275,18 +275,24 @@ def test_grouping(spark):
     ]
 
 
-def test_approximate_search(spark, corpus, monkeypatch):
+def test_approximate_search(spark, corpus, tmp_path):
     _, table, _, queries = corpus
     asked = embedding.hashing(32)(queries)
-    exact = dense.dense_search(asked, table, 5)
-    found = approximate.approximate_search(asked, table, 5, tables=16, bits=4)
-    recall = approximate.recall_against(exact.filter("score is not null"), found).agg(F.avg("recall")).first()[0]
-    assert recall > 0.8
+    centres = approximate.train_lists(table, 6)
+    assert centres.shape[1] == 32
+    approximate.write_lists(table, centres, str(tmp_path / "lists"))
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    exact = dense.dense_search(asked, table, 5).filter("score is not null")
+    # All lists probed: the same hits as exact search.
+    assert as_set(approximate.approximate_search(asked, lists, centres, 5, probes=6)) == as_set(exact)
+    few = approximate.approximate_search(asked, lists, centres, 5, probes=2)
+    assert approximate.recall_against(exact, few).agg(F.avg("recall")).first()[0] > 0.5
     truth = {(r.query_id, r.document_id, r.chunk_index): r.score for r in dense.dense_search(asked, table, 1000).collect()}
-    assert all(abs(truth[(r.query_id, r.document_id, r.chunk_index)] - r.score) < 1e-9 for r in found.collect())
-    monkeypatch.setattr(approximate, "rows_fit", lambda *_: False)
-    spread = approximate.approximate_search(asked, table, 5, tables=16, bits=4)
-    assert as_set(spread) == as_set(found)
+    assert all(abs(truth[(r.query_id, r.document_id, r.chunk_index)] - r.score) < 1e-9 for r in few.collect())
+    assert as_set(approximate.approximate_search(asked, lists, centres, 5, probes=2, queries_per_pass=4)) == as_set(few)
+    one = approximate.approximate_search(asked.limit(1), lists, centres, 5, probes=1)
+    assert "PartitionFilters: [isnotnull(list" in one._jdf.queryExecution().executedPlan().toString()
+    assert approximate.approximate_search(asked.limit(0), lists, centres, 5).count() == 0
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
