@@ -551,3 +551,9 @@ SELECT f.query_id, citation_index, document_id || ':' || chunk_index AS chunk_id
 FROM flat f JOIN evidence e ON e.query_id = f.query_id AND e.rank = citation_index""",
 }
 ORACLE_SQL["r8_fulltext_postings"] = ORACLE_SQL["r8_fulltext"]
+ORACLE_SQL["g12_ask"] = f"""WITH RECURSIVE {EVIDENCE}
+SELECT a.query_id, CASE WHEN count(f.rank) > 0 THEN 'answered' ELSE 'insufficient_evidence' END AS status, array_to_string(list(source_identifier ORDER BY rank) FILTER (f.rank IS NOT NULL), '|') AS sources
+FROM asked a LEFT JOIN found f USING (query_id) GROUP BY a.query_id"""
+ORACLE_SQL["g16_compare"] = f"""WITH RECURSIVE {DOCS}, {CHUNKS}, {PAIRS}
+SELECT p.pair_id, status, CASE WHEN status = 'ok' THEN count_if(side = 'A') END AS n_a, CASE WHEN status = 'ok' THEN count_if(side = 'B') END AS n_b
+FROM checked_pairs p LEFT JOIN numbered n ON n.pair_id = p.pair_id GROUP BY p.pair_id, status"""

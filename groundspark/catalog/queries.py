@@ -13,7 +13,7 @@ from groundspark.catalog.inputs import FIRST_BATCH, SECOND_BATCH, nct_of, table
 from groundspark.functions import dates, text
 from groundspark.operators import approximate, chunking, comparison, dense, embedding, fulltext, fusion, grounding
 from groundspark.operators import grouping, integrity, lexemes, metrics, upsert
-from groundspark.plans import evaluation, ingest, retrieval
+from groundspark.plans import answering, evaluation, ingest, retrieval
 from groundspark.runtime import shared_folder, spread_input, write_table
 from groundspark.sources import articles, questions, snapshots, studies
 
@@ -716,6 +716,13 @@ def g12_generate_answers(spark, folder):
     return answers.select("query_id", "status", "answer", F.size("cited").cast("bigint").alias("n_cited"))
 
 
+def g12_ask(spark, folder):
+    """Questions to validated answers and their cited sources, end to end."""
+    done = answering.ask(inputs.questions(spark, folder), inputs.index(spark, folder), inputs.documents(spark, folder), config="simple")
+    sources = metrics.ordered_list(done.citations, "position", "source_identifier", "sources")
+    return done.answers.join(sources, "query_id", "left").select("query_id", "status", _joined(F.col("sources")).alias("sources"))
+
+
 def g13_trial_chunks(spark, folder):
     found = comparison.trial_chunks(inputs.documents(spark, folder), inputs.index(spark, folder))
     return found.select("nct_id", "place", "chunk_index", F.md5("excerpt").alias("excerpt_md5"))
@@ -746,6 +753,15 @@ def g16_pair_status(spark, folder):
     return pairs.select("pair_id", "status", "question")
 
 
+def g16_compare(spark, folder):
+    """Comparison requests end to end: refused ones, and citations per side of the others."""
+    requests, done = answering.compare(inputs.trial_pairs(spark, folder), inputs.documents(spark, folder), inputs.index(spark, folder), limit=3)
+    sides = done.citations.groupBy(F.col("query_id").alias("pair_id")).agg(
+        F.count_if(F.col("side") == "A").alias("n_a"), F.count_if(F.col("side") == "B").alias("n_b")
+    )
+    return requests.join(sides, "pair_id", "left").select("pair_id", "status", "n_a", "n_b")
+
+
 def g17_answer_response(spark, folder):
     evidence = inputs.turn_evidence(spark, folder)
     answers = _final(spark, folder)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundspark.operators import comparison, grounding, metrics
-from groundspark.plans import evaluation, retrieval
+from groundspark.plans import answering, evaluation, retrieval
 from groundspark.runtime import write_table
 from groundspark.sources.snapshots import write_report
 
@@ -248,3 +248,25 @@ def test_question_problems(spark, golden):
 def test_document_order(spark):
     hits = spark.createDataFrame([(1, 1, "b"), (1, 2, "a"), (1, 3, "b"), (1, 4, "c")], "query_id long, rank int, source_identifier string")
     assert [r.source_identifier for r in metrics.document_order(hits).orderBy("place").collect()] == ["b", "a", "c"]
+
+
+def test_ask(spark, golden):
+    docs, asked, _, index = golden
+    questions = asked.limit(3).select(F.col("id").alias("query_id"), F.col("question").alias("text"))
+    done = answering.ask(questions, index, docs, top_k=2)
+    assert {r.status for r in done.answers.collect()} == {"answered"}
+    assert done.evidence.count() == 6 and done.citations.count() == 6
+    texts = questions.select("query_id", F.lit(f"{LONG} [2].").alias("text"))
+    assert [r.citation_index for r in answering.ask(questions, index, docs, texts, top_k=2).citations.collect()] == [2, 2, 2]
+    assert answering.ask(questions, index, docs, texts, top_k=1).answers.filter("status = 'validation_failed'").count() == 3
+    for top_k in (0, 31):
+        with pytest.raises(ValueError):
+            answering.ask(questions, index, docs, top_k=top_k)
+
+
+def test_compare(spark, two_trials):
+    documents, chunks, _ = two_trials
+    requests, done = answering.compare(pairs(spark, ("NCT00000001", "NCT00000002", None), ("NCT00000001", "NCT7", None)), documents, chunks, limit=2)
+    assert {r.pair_id: r.status for r in requests.collect()} == {0: "ok", 1: "not_found_b"}
+    assert [(r.query_id, r.status) for r in done.answers.collect()] == [(0, "answered")]
+    assert [(r.citation_index, r.side) for r in done.citations.orderBy("position").collect()] == [(1, "A"), (2, "A"), (3, "B")]
