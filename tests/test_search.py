@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from groundspark.functions.stemming import stem
 from groundspark.operators import approximate, dense, embedding, fulltext, fusion, grouping, lexemes
 from groundspark.plans import retrieval
 from groundspark.runtime import frequent_values, skew_join, write_table
@@ -142,6 +143,24 @@ def test_postings_search_equals_brute_force(corpus, monkeypatch, tmp_path, small
         assert "In(lexeme" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_stemmed_search_equals_brute_force(spark):
+    rng = random.Random(5)
+    forms = ["trial", "trials", "dose", "dosing", "doses", "patients", "patient", "the", "of", "improved", "improving", "Survival"]
+    rows = [(d, 0, " ".join(rng.choices(forms, k=rng.randint(1, 12)))) for d in range(50)]
+    asked = [(q, " ".join(rng.choices(forms, k=rng.randint(1, 4)))) for q in range(20)]
+
+    def stemmed(text):
+        return " ".join(stem(w) for w in text.lower().split() if w not in lexemes.STOPWORDS)
+
+    chunks = lexemes.with_lexemes(spark.createDataFrame(rows, "document_id long, chunk_index int, text string"))
+    queries = lexemes.with_lexemes(spark.createDataFrame(asked, "query_id long, text string"))
+    want = brute_fulltext([(d, i, stemmed(t)) for d, i, t in rows], [(q, stemmed(t)) for q, t in asked], 10)
+    assert as_set(fulltext.fulltext_search(queries, chunks, 10)) == want
+    counts = Counter(w for _, _, t in rows for w in stemmed(t).split())
+    got = chunks.select(F.explode("lexemes").alias("lexeme")).groupBy("lexeme").count().collect()
+    assert {r.lexeme: r["count"] for r in got} == counts
+
+
 def test_search_through_postings(spark, library):
     documents, index = library
     queries = spark.createDataFrame([(1, "tirbonib lung cancer"), (2, "sleep")], "query_id long, text string")
