@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.llm import packing, token_files
+from groundspark.llm import langid, minhash, packing, token_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,7 +25,17 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer, size=4096, with_ids=False)
 
 
+def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "component_id", "kept")
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = langid.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "lang_accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_packing)
+    f.__name__: f for f in (op2_token_files, op3_packing, op5_minhash_dedup, op9_language_id)
 }
 ORACLE_SQL: dict[str, str] = {}
