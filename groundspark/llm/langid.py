@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from groundspark.llm.sampling import hash_sample
 from groundspark.llm.tokens import row_blocks
 
 UNKNOWN = "und"
@@ -139,8 +140,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     Without any labelled row the model knows no language and predicts ``und``.
     """
     usable = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.length("text") <= SAMPLE_CHARS)
-    drawn = usable.select(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("h"), "doc_id", "text", "lang")
-    rows = drawn.orderBy("h", "doc_id", "text", "lang").limit(sample_rows).collect()
+    rows = hash_sample(usable, ["doc_id", "lang"], sample_rows).collect()
     rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
     if not rows:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)

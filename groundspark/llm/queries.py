@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.llm import langid, minhash, packing, token_files
+from groundspark.llm import itq, langid, minhash, packing, pivots, token_files
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +35,15 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "lang_accepted")
 
 
+def op6_itq_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_vectors(table(spark, folder, "embeddings"), cosine=0.93)
+
+
+def op10_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.exact_search(table(spark, folder, "embeddings"), every=20, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_packing, op5_minhash_dedup, op9_language_id)
+    f.__name__: f for f in (op2_token_files, op3_packing, op5_minhash_dedup, op6_itq_dedup, op9_language_id, op10_pivot_search)
 }
 ORACLE_SQL: dict[str, str] = {}
