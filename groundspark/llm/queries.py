@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from groundspark.llm import itq, langid, minhash, packing, pivots, token_files
+from groundspark.llm import itq, langid, linededup, minhash, mixing, packing, pivots, token_files
+
+
+# An upsampled source is read at most this often.
+MAX_REPEATS = 2.0
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,11 +30,21 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer, size=4096, with_ids=False)
 
 
+def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    uses = mixing.schedule(table(spark, folder, "documents"), max_repeats=MAX_REPEATS)
+    return uses.select("doc_id", "source", "tokens", "epoch", "place")
+
+
 def op5_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "component_id", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = langid.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "lang_accepted")
@@ -44,6 +59,6 @@ def op10_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_packing, op5_minhash_dedup, op6_itq_dedup, op9_language_id, op10_pivot_search)
+    f.__name__: f for f in (op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op9_language_id, op10_pivot_search)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(MAX_REPEATS), "op7_line_dedup": linededup.oracle()}
