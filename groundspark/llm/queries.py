@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import itq, langid, linededup, minhash, mixing, packing, pivots, token_files
+from groundspark.llm import itq, langid, linededup, lm, minhash, mixing, packing, pivots, token_files
 
 
 # An upsampled source is read at most this often.
@@ -45,6 +45,10 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op8_window_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, folder, "documents"))
+
+
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     found = langid.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "lang_accepted")
@@ -59,6 +63,6 @@ def op10_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op9_language_id, op10_pivot_search)
+    f.__name__: f for f in (op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op8_window_scoring, op9_language_id, op10_pivot_search)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(MAX_REPEATS), "op7_line_dedup": linededup.oracle()}
