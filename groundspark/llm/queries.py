@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import itq, langid, linededup, lm, minhash, mixing, packing, pivots, token_files
+from groundspark.llm import itq, langid, linededup, lm, minhash, mixing, packing, pivots, secrets, token_files
 
 
 # An upsampled source is read at most this often.
@@ -19,6 +19,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, folder, "documents"))
+    return found.select("doc_id", "word_no", "part", F.md5("candidate").alias("candidate_md5"), "probability", "is_secret")
+
+
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     written = token_files.write_token_files(table(spark, folder, "documents"), tokenizer)
@@ -63,6 +68,6 @@ def op10_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op8_window_scoring, op9_language_id, op10_pivot_search)
+    f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op8_window_scoring, op9_language_id, op10_pivot_search)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(MAX_REPEATS), "op7_line_dedup": linededup.oracle()}
