@@ -164,14 +164,14 @@ def logits_of(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sums / np.maximum(sizes, 1)[:, None] + model.bias, lettered
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred, score and lang_accepted added (columns of these names are replaced).
+def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """``docs`` with lang_pred, score and lang_accepted added, after ``prefix`` (columns of these names are replaced).
 
     A null text, one without letters, and every text under a model that knows no
     language is ``und`` with score 0 and not accepted. Repeated rows are predicted
     alike; other columns, nulls among them, pass through.
     """
-    added = {"lang_pred": pa.string(), "score": pa.float64(), "lang_accepted": pa.bool_()}
+    added = [prefix + name for name in ("lang_pred", "score", "lang_accepted")]
     kept = docs.drop(*added)
     share = docs.sparkSession.sparkContext.broadcast((model.languages, model.logits, model.bias, model.temperature, model.threshold))
     text_at = next(k for k, c in enumerate(kept.columns) if c.lower() == "text")
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 columns = [*batch.columns, pa.array(names, pa.string()), pa.array(top), pa.array(accepted)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
 
-    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_accepted", BooleanType())]
+    new = [StructField(name, kind) for name, kind in zip(added, (StringType(), DoubleType(), BooleanType()), strict=True)]
     schema = StructType([*kept.schema.fields, *new])
     return kept.mapInArrow(score, schema)
 

@@ -202,12 +202,12 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     names=["doc_key", "text_key", "class", "bands"],
                 )
 
-    return write_table(keyed(docs).select("doc_key", "text_key", F.col("text").cast("string")).mapInArrow(run, "doc_key long, text_key long, class binary, bands array<long>"), "signatures")
+    return write_table(keyed(docs).select("doc_key", "text_key", "text").mapInArrow(run, "doc_key long, text_key long, class binary, bands array<long>"), "signatures")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with doc_key (a null id comes last) and a hash of the text."""
-    return docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("text_key", F.xxhash64("text"))
+    """doc_key (a null id comes last), text_key (a hash of the text), text, and the whole row as a struct."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_key"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
 
 
 def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -226,7 +226,7 @@ def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFr
 
     # The keys of candidates alone: broadcast where they are counted as few.
     few = F.broadcast(wanted) if rows_fit(wanted, BROADCAST_KEYS) else wanted
-    texts = keyed(docs).select("doc_key", "text_key", F.col("text").cast("string").alias("text")).join(few, ["doc_key", "text_key"]).select("class", "text")
+    texts = keyed(docs).select("doc_key", "text_key", "text").join(few, ["doc_key", "text_key"]).select("class", "text")
     return write_table(texts.mapInArrow(run, "class binary, elements binary, weights binary").dropDuplicates(["class"]), "weighted-sets")
 
 
@@ -340,9 +340,9 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = write_table(near_duplicates(docs, similarity), "near-duplicates")
     gone = found.filter("NOT kept").select("doc_key", "text_key").distinct()
     gone = F.broadcast(gone) if rows_fit(gone, BROADCAST_KEYS) else gone
-    left = keyed(docs).join(gone, ["doc_key", "text_key"], "left_anti")
+    left = keyed(docs).select("doc_key", "text_key", "row").join(gone, ["doc_key", "text_key"], "left_anti")
     repeated = found.filter("kept AND grouped AND copies > 1").select("doc_key", "text_key").distinct()
     if not repeated.isEmpty():
         again = left.join(repeated, ["doc_key", "text_key"], "left_semi").dropDuplicates(["doc_key", "text_key"])
         left = left.join(repeated, ["doc_key", "text_key"], "left_anti").unionByName(again)
-    return left.select(*docs.columns)
+    return left.select("row.*")

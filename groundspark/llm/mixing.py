@@ -131,13 +131,13 @@ def mix(docs: DataFrame, **limits) -> DataFrame:
     uses = schedule(docs, **limits)
     # Equal rows share a key: their uses are counted together and dealt back evenly.
     uses = uses.groupBy("doc_key", "text_md5").agg(F.count("*").alias("_uses"))
-    key = docs.withColumn("doc_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("text_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_key"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"), F.struct("*").alias("row"))
     same = key.groupBy("doc_key", "text_md5").agg(F.count("*").alias("_same"))
     times = uses.join(same, ["doc_key", "text_md5"])
     single = key.join(times, ["doc_key", "text_md5"])
     copies = F.floor(F.col("_uses") / F.col("_same")).cast("int")
     repeated = single.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return repeated.select(*docs.columns)
+    return repeated.select("row.*")
 
 
 def oracle(max_repeats: float) -> str:
