@@ -49,6 +49,8 @@ def learn_rotation(centred: np.ndarray, bits: int, seed: int, iterations: int =
 def learn(sample: np.ndarray, bits: int, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection to ``tables * bits`` code bits; several rotations where one has too few."""
     mean = sample.mean(axis=0) if len(sample) else np.zeros(sample.shape[1])
+    if not sample.shape[1]:  # no vector at all
+        return mean, np.zeros((0, tables * bits))
     parts, seed = [], 0
     while sum(p.shape[1] for p in parts) < tables * bits:
         parts.append(learn_rotation(sample - mean, bits * tables, seed))
