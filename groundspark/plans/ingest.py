@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from groundspark.operators.upsert import Upsert, document_rows, link_publications, split_keyless, upsert
 from groundspark.runtime import write_table
 from groundspark.sources.articles import ARRIVAL, normalize_publications, publication_document_text, read_articles
-from groundspark.sources.studies import normalize_trials, read_study_pages, trial_document_text
+from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
+from groundspark.sources.studies import normalize_trials, read_study_pages, take_first, trial_document_text
 
 
 @dataclass(frozen=True)
@@ -72,9 +73,11 @@ def ingest_publications(
     return Ingested(records, upsert(publication_documents(records.changed), documents, "document_id", now), rejected)
 
 
-def seed_corpus(spark: SparkSession, study_path: str, article_path: str, now: Column | None = None) -> tuple[Ingested, Ingested]:
-    """Read fixture files through the same steps as any other batch."""
-    studies = number_arrivals(read_study_pages(spark, study_path), ["page_file", "position"])
+def seed_corpus(
+    spark: SparkSession, study_path: str, article_path: str, now: Column | None = None, max_results: int | None = None
+) -> tuple[Ingested, Ingested]:
+    """Read fixture files through the same steps as any other batch; at most the first ``max_results`` studies."""
+    studies = number_arrivals(take_first(read_study_pages(spark, study_path), max_results, STUDY_ARRIVAL), STUDY_ARRIVAL)
     trials = ingest_trials(studies, None, None, now)
     articles = number_arrivals(read_articles(spark, article_path), ARRIVAL)
     return trials, ingest_publications(articles, None, trials.records.snapshot, None, now)

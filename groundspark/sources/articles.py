@@ -43,9 +43,9 @@ PARSED_DDL = (
 
 
 def read_article_ids(spark: SparkSession, path: str, retmax: int | None = None) -> DataFrame:
-    """Ids of landed search results, in result order; a missing list gives none."""
+    """Ids of landed search results, in result order; a missing list gives none, a broken file fails."""
     found = (
-        spark.read.schema(SEARCH_RESULT).option("multiLine", True).json(path)
+        spark.read.schema(SEARCH_RESULT).option("multiLine", True).option("mode", "FAILFAST").json(path)
         .select(F.col("_metadata.file_path").alias("page_file"), F.posexplode("esearchresult.idlist").alias("position", "pmid"))
     )
     return found if retmax is None else found.orderBy("page_file", "position").limit(retmax)

@@ -12,9 +12,9 @@ QUESTIONS = (
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """(id, question, expect_answerable, relevant_source_identifiers, ground_truth_basis)."""
+    """(id, question, expect_answerable, relevant_source_identifiers, ground_truth_basis); fails on a broken file."""
     return (
-        spark.read.schema(QUESTIONS).option("multiLine", True).json(path)
+        spark.read.schema(QUESTIONS).option("multiLine", True).option("mode", "FAILFAST").json(path)
         .select(F.inline("questions"))
         .withColumn("ground_truth_basis", F.coalesce("ground_truth_basis", F.lit("")))
         .withColumn(

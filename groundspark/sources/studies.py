@@ -2,31 +2,123 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.functions.dates import parse_registry_date
 from groundspark.functions.text import canonical_json, sha256_hex
 
+SPACE = re.compile(r"[ \t\r\n]*")
 STUDY_URL = "https://clinicaltrials.gov/study/"
 OUTCOMES = "array<struct<measure:string,description:string,timeFrame:string>>"
 
 
+ARRIVAL = ["page_number", "page_file", "position"]
+CUT = "page_file string, position int, raw string, reason string"
+
+
+def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
+    """(position, study text, reason) for each element of a page's ``studies`` list.
+
+    The page is walked element by element, so its size does not matter. Of a key
+    that a study repeats the last value counts. What cannot be read gives one row
+    with a reason at the position where reading ended.
+    """
+    repeats: list[str] = []
+
+    def as_object(pairs: list) -> dict:
+        made = dict(pairs)
+        if len(made) < len(pairs):
+            repeats.append("key")
+        return made
+
+    decoder, position = json.JSONDecoder(object_pairs_hook=as_object), 0
+
+    def skip(at: int) -> int:
+        return SPACE.match(text, at).end()
+
+    try:
+        at = skip(0)
+        if text[at : at + 1] != "{":
+            raise ValueError("page is not an object")
+        at, seen = skip(at + 1), False
+        while text[at : at + 1] != "}":
+            key, at = decoder.raw_decode(text, at)
+            at = skip(at)
+            if text[at : at + 1] != ":":
+                raise ValueError(f"no value for key {key!r}")
+            at = skip(at + 1)
+            if key == "studies" and text[at : at + 1] == "[":
+                seen, at = True, skip(at + 1)
+                while text[at : at + 1] != "]":
+                    repeats.clear()
+                    study, end = decoder.raw_decode(text, at)
+                    yield position, json.dumps(study, ensure_ascii=False) if repeats else text[at:end], None
+                    position, at = position + 1, skip(end)
+                    if text[at : at + 1] == ",":
+                        at = skip(at + 1)
+                    elif text[at : at + 1] != "]":
+                        raise ValueError("studies list is cut off")
+                at += 1
+            else:
+                _, at = decoder.raw_decode(text, at)
+            at = skip(at)
+            if text[at : at + 1] == ",":
+                at = skip(at + 1)
+            elif text[at : at + 1] != "}":
+                raise ValueError("page is cut off")
+        if not seen:
+            raise ValueError("page has no list of studies")
+    except ValueError as error:
+        yield position, None, str(error)
+
+
+def split_pages(pages: DataFrame) -> DataFrame:
+    """ARRIVAL, study and reason of every study of (page_file, value) pages.
+
+    ``study`` is a VARIANT, parsed one study at a time; ``reason`` is set where
+    there is none. Pages sort by the last number in their name, then by name.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, value in zip(batch.column("page_file").to_pylist(), batch.column("value"), strict=True):
+                for position, raw, reason in cut_page(value.as_py() or ""):
+                    columns = [pa.array([file]), pa.array([position], pa.int32()), pa.array([raw], pa.string()), pa.array([reason], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["page_file", "position", "raw", "reason"])
+
+    rows = pages.select("page_file", "value").mapInArrow(cut, CUT).withColumn("study", F.try_parse_json("raw"))
+    unread = F.when(F.col("study").isNull(), F.coalesce("reason", F.lit("study is not readable")))
+    number = F.regexp_extract("page_file", r"(\d+)\D*$", 1).try_cast("decimal(38,0)")
+    return rows.select(F.coalesce(number, F.lit(0)).alias("page_number"), "page_file", "position", "study", unread.alias("reason"))
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page_file"), "value")
+
+
+def only_readable(rows: DataFrame) -> DataFrame:
+    """Studies alone; fails on the first row that could not be read."""
+    failure = F.raise_error(F.concat(F.lit("unreadable study page "), "page_file", F.lit(" at "), F.col("position").cast("string"), F.lit(": "), "reason"))
+    return rows.filter(F.when(F.col("reason").isNull(), True).otherwise(failure.cast("boolean"))).drop("reason")
+
+
 def read_study_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Studies of landed result pages, in arrival order (page_file, position).
+    """Studies of landed result pages, in arrival order (ARRIVAL); fails on unreadable input.
 
-    A page is one file holding a JSON object with a ``studies`` list.
+    A page is one file holding a JSON object with a ``studies`` list; a file of no bytes is no page.
     """
-    pages = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("page_file"), F.try_parse_json("value").alias("page")
-    )
-    return split_pages(pages, ["page_file"])
+    return only_readable(split_pages(landed_pages(spark, path)))
 
 
-def split_pages(pages: DataFrame, page_keys: list[str]) -> DataFrame:
-    """One row per study of a ``page`` VARIANT column, with its position."""
-    studies = F.try_variant_get("page", "$.studies", "array<variant>")
-    return pages.select(*page_keys, F.posexplode(studies).alias("position", "study"))
+def rejected_studies(spark: SparkSession, path: str) -> DataFrame:
+    """(page_file, position, reason) of what ``read_study_pages`` fails on."""
+    return split_pages(landed_pages(spark, path)).filter("reason IS NOT NULL").select("page_file", "position", "reason")
 
 
 def take_first(studies: DataFrame, max_results: int | None, order: list[str]) -> DataFrame:

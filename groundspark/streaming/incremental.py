@@ -13,7 +13,8 @@ from groundspark.runtime import write_table
 from groundspark.schemas import empty
 from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles
 from groundspark.sources.snapshots import read_snapshot, write_snapshot
-from groundspark.sources.studies import split_pages
+from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
+from groundspark.sources.studies import only_readable, split_pages
 
 
 def refresh_index(documents: DataFrame, touched: DataFrame, stored: DataFrame | None, enrich) -> DataFrame:
@@ -40,11 +41,11 @@ def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> N
     """Upsert one batch of (page_file, value) study pages into the tables under ``root``.
 
     A key is compared by hash, so running a batch again leaves the tables as they are.
+    A page that cannot be read fails the batch; nothing of it is stored.
     """
     spark = pages.sparkSession
     tables = read_snapshot(spark, root)
-    parsed = pages.select("page_file", F.try_parse_json("value").alias("page"))
-    studies = number_arrivals(split_pages(parsed, ["page_file"]), ["page_file", "position"])
+    studies = number_arrivals(only_readable(split_pages(pages)), STUDY_ARRIVAL)
     done = ingest_trials(studies, tables.get("trials"), tables.get("documents"), F.current_timestamp())
     store_batch(spark, root, "trials", done, tables, config)
 
