@@ -13,7 +13,7 @@ from groundspark.operators.metrics import confusion_columns, document_order, que
 from groundspark.plans.retrieval import Provider, search
 from groundspark.runtime import write_table
 
-SCRIPTED_NOTE = "Answers come from the scripted responder: only recall and reciprocal rank say something about quality."
+SCRIPTED_NOTE = "The responder was scripted, so citation figures show its rules, not a model."
 
 
 def question_results(questions: DataFrame, truth: DataFrame, retrieved: DataFrame, cited: DataFrame, answers: DataFrame) -> DataFrame:
@@ -67,9 +67,11 @@ def cited_identifiers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def check_questions(questions: DataFrame, truth: DataFrame, documents: DataFrame, expected: tuple[int, int, int]) -> None:
     """Raise with the first problems of the question set, if it has any."""
-    found = question_problems(questions, truth, documents, expected).limit(20).collect()
+    problems = write_table(question_problems(questions, truth, documents, expected), "question-problems")
+    found = problems.limit(20).collect()
     if found:
-        raise ValueError("question set has problems: " + "; ".join(f"{r.question_id}: {r.problem} {r.detail}" for r in found))
+        first = "; ".join(f"{r.question_id}: {r.problem} {r.detail}" for r in found)
+        raise ValueError(f"question set has {problems.count()} problems, all in {problems.inputFiles()[0].rpartition('/')[0]}; first: {first}")
 
 
 def run_evaluation(
@@ -121,7 +123,7 @@ def evaluate_modes(
 def evaluation_notes(mode: str, scripted: bool) -> list[str]:
     notes = [SCRIPTED_NOTE] if scripted else []
     if mode != "hybrid":
-        notes.append(f"Retrieval mode was {mode}, not hybrid.")
+        notes.append(f"Only {mode} search was used.")
     return notes
 
 
@@ -129,40 +131,28 @@ def _shown(value: Column) -> Column:
     return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value))
 
 
+MEANS = {"recall within 5": "mean_recall_at_5", "first true rank, reciprocal": "mrr", "cited that is true": "mean_citation_correctness", "true that is cited": "mean_citation_completeness", "right to answer or decline": "abstention_accuracy"}
+COUNTS = {"answered with truth": "true_positive", "declined with truth": "false_negative", "answered without truth": "false_positive", "declined without truth": "true_negative"}
+CELLS = {"r5": "recall_at_5", "rr": "reciprocal_rank", "cited": "citation_correctness", "covered": "citation_completeness"}
+
+
 def render_report(results: DataFrame, mode: str, generated_at: str, answer_source: str, provider: str, notes: list[str]) -> DataFrame:
-    """Markdown report as rows (section, position, line): a summary, then a line per question."""
-    head = [
-        "# Evaluation report", "", f"Generated: {generated_at}", f"Answers: {answer_source}",
-        f"Embedding provider: {provider}", f"Retrieval mode: {mode}",
-    ]
-    tail = ["", "## Notes", *[f"- {note}" for note in notes]] if notes else []
-    table = ["", "## Per-question results", "", "| ID | Answerable | Status | Recall@5 | RR | Correctness | Completeness |", "|---|---|---|---|---|---|---|"]
-    traps = F.col("questions") - F.col("answerable")
-    summary = [
-        F.format_string("Questions evaluated: %d (%d answerable, %d traps)", "questions", "answerable", traps),
-        F.lit(""),
-        F.lit("## Summary metrics"),
-        F.lit(""),
-        F.concat(F.lit("- Recall@5, answerable questions: "), _shown(F.col("mean_recall_at_5"))),
-        F.concat(F.lit("- Mean reciprocal rank, answerable questions: "), _shown(F.col("mrr"))),
-        F.concat(F.lit("- Citation correctness, answered questions: "), _shown(F.col("mean_citation_correctness"))),
-        F.concat(F.lit("- Citation completeness, answered questions: "), _shown(F.col("mean_citation_completeness"))),
-        F.concat(F.lit("- Abstention accuracy, all questions: "), _shown(F.col("abstention_accuracy"))),
-        F.format_string("  - Answered, answerable: %d", "true_positive"),
-        F.format_string("  - Answered a trap: %d", "false_positive"),
-        F.format_string("  - Abstained on a trap: %d", "true_negative"),
-        F.format_string("  - Abstained, answerable: %d", "false_negative"),
-    ]
-    lines = F.array(*[F.lit(line) for line in head], *summary, *[F.lit(line) for line in tail + table])
-    top = summarize(results).select(
-        F.lit(0).alias("section"), F.posexplode(lines).alias("number", "line")
-    ).select("section", F.format_string("%05d", "number").alias("position"), "line")
-    cells = ["question_id", F.initcap(F.col("expect_answerable").cast("string")), "status"] + [
-        _shown(F.col(c)) for c in ("recall_at_5", "reciprocal_rank", "citation_correctness", "citation_completeness")
-    ]
+    """Report as rows (section, position, line): 0 the run, 1 its figures, 2 a line per question.
+
+    Questions are placed by id, ids of digits by their number.
+    """
+    run = [f"run of {generated_at}", f"search: {mode}, vectors: {provider}", f"responder: {answer_source}", *[f"note: {note}" for note in notes]]
+    figures = [F.format_string("questions = %d", "questions"), F.format_string("questions with truth = %d", "answerable")]
+    figures += [F.format_string(f"{name} = %d", column) for name, column in COUNTS.items()]
+    figures += [F.concat(F.lit(f"{name} = "), _shown(F.col(column))) for name, column in MEANS.items()]
+    totals = summarize(results)
+    place = lambda lines: F.posexplode(F.array(*lines)).alias("number", "line")
+    parts = [totals.select(F.lit(k).alias("section"), place(lines)) for k, lines in enumerate(([F.lit(line) for line in run], figures))]
+    top = [part.select("section", F.format_string("%05d", "number").alias("position"), "line") for part in parts]
+    key = F.col("question_id").cast("string")
+    cells = [F.concat(F.lit(f"{name} "), _shown(F.col(column))) for name, column in CELLS.items()]
     body = results.select(
-        F.lit(1).alias("section"),
-        F.col("question_id").cast("string").alias("position"),
-        F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"),
+        F.lit(2).alias("section"), F.concat(F.when(key.rlike("^[0-9]{1,20}$"), F.lpad(key, 20, "0")).otherwise(F.lit("")), F.lit(":"), key).alias("position"),
+        F.concat_ws("; ", F.concat(key, F.when(F.col("expect_answerable"), F.lit(" with truth")).otherwise(F.lit(" without truth"))), "status", *cells).alias("line"),
     )
-    return top.unionByName(body)
+    return top[0].unionByName(top[1]).unionByName(body)
