@@ -7,7 +7,7 @@ from groundspark.catalog.inputs import FIRST_BATCH, SECOND_BATCH
 from groundspark.operators import comparison as cmp
 from groundspark.operators import grounding as gr
 from groundspark.operators.lexemes import STOPWORDS
-from groundspark.plans.evaluation import evaluation_notes
+from groundspark.plans import evaluation
 
 BLANK = r"E' \n\t\r'"
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -251,7 +251,7 @@ checked_pairs AS (
   SELECT *, CASE WHEN nct_a NOT IN (SELECT nct_id FROM known) THEN 'not_found_a' WHEN nct_b NOT IN (SELECT nct_id FROM known) THEN 'not_found_b' ELSE 'ok' END AS status FROM pairs),
 heads AS (
   SELECT source_identifier AS nct_id, chunk_index AS place, chunks.text AS excerpt, source_identifier FROM chunks JOIN docs USING (document_id)
-  WHERE source_type = 'trial' AND chunk_index < 3),
+  WHERE source_type = 'trial' AND chunk_index < {settings.MAX_CHUNKS_PER_TRIAL}),
 numbered AS (
   SELECT pair_id, side, nct_a, nct_b, source_identifier, excerpt, row_number() OVER (PARTITION BY pair_id ORDER BY side, place) AS rank FROM (
     SELECT p.*, 'A' AS side, h.* FROM checked_pairs p JOIN heads h ON h.nct_id = p.nct_a UNION ALL
@@ -307,24 +307,21 @@ def shown(value: str) -> str:
     return f"coalesce(printf('%.3f', {value}), 'n/a')"
 
 
-TABLE_ROW = f"""'| ' || question_id || ' | ' || CASE WHEN expect_answerable THEN 'True' ELSE 'False' END || ' | ' || status || ' | ' || {shown('recall_at_5')} || ' | ' || {shown('reciprocal_rank')} || ' | ' || {shown('citation_correctness')} || ' | ' || {shown('citation_completeness')} || ' |'"""
-TABLE_HEAD = "| ID | Answerable | Status | Recall@5 | RR | Correctness | Completeness |"
+TABLE_ROW = "question_id || CASE WHEN expect_answerable THEN ' with truth' ELSE ' without truth' END || '; ' || status || " + " || ".join(
+    f"'; {name} ' || {shown(column)}" for name, column in evaluation.CELLS.items()
+)
 
 
 def report_sql() -> str:
-    head = ["# Evaluation report", "", f"Generated: {FIRST_BATCH}", "Answers: scripted", "Embedding provider: hashing", "Retrieval mode: dense"]
-    tail = ["", "## Notes", *[f"- {n}" for n in evaluation_notes("dense", True)], "", "## Per-question results", "", TABLE_HEAD, "|---|---|---|---|---|---|---|"]
-    middle = [
-        "'Questions evaluated: ' || questions || ' (' || answerable || ' answerable, ' || (questions - answerable) || ' traps)'", "''", "'## Summary metrics'", "''",
-        f"'- Recall@5, answerable questions: ' || {shown('mean_recall_at_5')}", f"'- Mean reciprocal rank, answerable questions: ' || {shown('mrr')}",
-        f"'- Citation correctness, answered questions: ' || {shown('mean_citation_correctness')}", f"'- Citation completeness, answered questions: ' || {shown('mean_citation_completeness')}",
-        f"'- Abstention accuracy, all questions: ' || {shown('abstention_accuracy')}", "'  - Answered, answerable: ' || true_positive", "'  - Answered a trap: ' || false_positive",
-        "'  - Abstained on a trap: ' || true_negative", "'  - Abstained, answerable: ' || false_negative",
-    ]
-    lines = ", ".join([quoted(line) for line in head] + middle + [quoted(line) for line in tail])
+    run = [f"run of {FIRST_BATCH}", "search: dense, vectors: hashing", "responder: scripted", *[f"note: {n}" for n in evaluation.evaluation_notes("dense", True)]]
+    figures = ["'questions = ' || questions", "'questions with truth = ' || answerable", *(f"'{n} = ' || {c}" for n, c in evaluation.COUNTS.items()), *(f"'{n} = ' || {shown(c)}" for n, c in evaluation.MEANS.items())]
+
+    def listed(section: int, lines: list[str]) -> str:
+        return f"SELECT {section} AS section, lpad(CAST(i - 1 AS VARCHAR), 5, '0') AS position, lines[i] AS line FROM (SELECT [{', '.join(lines)}] AS lines FROM totals), range(1, {len(lines) + 1}) r(i)"
+
     return results_sql("dense") + f""", totals AS (SELECT {SUMMARY_COLUMNS} FROM results)
-SELECT 0 AS section, lpad(CAST(i - 1 AS VARCHAR), 5, '0') AS position, lines[i] AS line FROM (SELECT [{lines}] AS lines FROM totals), range(1, {len(head) + len(middle) + len(tail) + 1}) r(i)
-UNION ALL SELECT 1, CAST(question_id AS VARCHAR), {TABLE_ROW} FROM results"""
+{listed(0, [quoted(line) for line in run])} UNION ALL {listed(1, figures)}
+UNION ALL SELECT 2, CASE WHEN regexp_full_match(CAST(question_id AS VARCHAR), '[0-9]{{1,20}}') THEN lpad(CAST(question_id AS VARCHAR), 20, '0') ELSE '' END || ':' || question_id, {TABLE_ROW} FROM results"""
 
 
 LISTS = """lists AS (
@@ -391,6 +388,7 @@ diff AS (SELECT document_id, chunk_index, CASE WHEN c.text IS NULL THEN 'created
   FROM fresh f FULL JOIN chunks c USING (document_id, chunk_index))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "s1_rejected_studies": "SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS position, CASE WHEN doc_id % 3 = 0 THEN 'studies list is cut off' ELSE 'page has no list of studies' END AS reason, count(*) AS n_pages FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY ALL",
     "s1_study_pages": "SELECT lang || ' ' || source AS brief_title, n_chars, (doc_id % 400) // 2 AS position FROM documents WHERE doc_id % 2 = 0",
     "s2_study_filter": f"WITH {STUDIES} SELECT doc_id AS seq, nct_id, overall_status FROM studies WHERE overall_status = 'COMPLETED' AND source LIKE '%src1%' AND doc_id % 3 = 0 AND doc_id % 10 <> 0",
     "s3_article_ids": "SELECT doc_id, CAST(doc_id AS VARCHAR) AS pmid FROM documents WHERE doc_id % 2 = 1 AND lang = 'fr'",
@@ -399,7 +397,7 @@ ORACLE_SQL: dict[str, str] = {
     "s6_seed_corpus": f"""WITH {STUDIES}, {ARTICLES} SELECT 'trial:' || nct_id AS document_id, 'trial' AS source_type, nct_id AS source_identifier, md5(concat_ws(chr(10) || chr(10), brief_summary, text)) AS text_md5 FROM studies WHERE nct_id <> ''
 UNION ALL SELECT 'publication:' || pmid, 'publication', pmid, md5(coalesce({ABSTRACT}, '')) FROM articles""",
     "s7_snapshot_table": f"WITH {DOCS} SELECT document_id, source_type, source_identifier, sha256(source_identifier || ':' || text) AS content_hash FROM docs WHERE length(text) < 3000",
-    "s8_report_file": results_sql("dense") + f"SELECT {TABLE_ROW} AS line FROM results UNION ALL SELECT {quoted(TABLE_HEAD)}",
+    "s8_report_file": results_sql("dense") + f"SELECT {TABLE_ROW} AS line FROM results",
     "n1_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "n2_canonical_json": r"""SELECT doc_id, '{"a":[true,null,{"x":"a\nb","y":1.5}],"n":' || n_chars || ',"z":{"lang":"' || lang || '","source":"' || source || '"}}' AS canonical FROM documents""",
     "n3_partial_dates": f"SELECT doc_id, {parsed_date('doc_id')} AS parsed FROM documents",

@@ -67,6 +67,17 @@ def s1_study_pages(spark, folder):
     )
 
 
+def s1_rejected_studies(spark, folder):
+    """Pages of one document each, of which every third is cut off and every fifth has no list."""
+    path, key = _fresh_path(spark, "broken-pages"), F.col("doc_id")
+    whole = F.to_json(F.struct(F.array(F.struct(F.struct("text").alias("study"))).alias("studies"), key.alias("page")))
+    text = F.when(key % 3 == 0, F.expr("substring(whole, 1, position('\"page\"' IN whole) - 3)")).when(key % 5 == 0, F.expr("replace(whole, '\"studies\"', '\"others\"')")).otherwise(F.col("whole"))
+    landed = table(spark, folder, "documents").withColumn("whole", whole).select(text.alias("value"))
+    landed.write.option("maxRecordsPerFile", 1).text(path)
+    rejected = studies.rejected_studies(spark, path)
+    return rejected.groupBy(F.col("position").cast("bigint").alias("position"), "reason").agg(F.count_distinct("page_file").alias("n_pages"))
+
+
 def _trials(spark, folder):
     return _once(spark, folder, "trial-rows", lambda s, f: studies.normalize_trials(inputs.parsed_studies(s, f), keep=("seq",)))
 
@@ -646,7 +657,7 @@ def g2_prompts(spark, folder):
 def _pair_inputs(spark, folder):
     documents = inputs.documents(spark, folder)
     trials = documents.filter(F.col("source_type") == "trial").select(F.col("source_identifier").alias("nct_id"))
-    evidence = comparison.trial_chunks(documents, inputs.index(spark, folder), 3)
+    evidence = comparison.trial_chunks(documents, inputs.index(spark, folder), settings.MAX_CHUNKS_PER_TRIAL)
     pairs = comparison.check_pairs(inputs.trial_pairs(spark, folder), trials)
     return trials, evidence, pairs
 
@@ -755,7 +766,7 @@ def g16_pair_status(spark, folder):
 
 def g16_compare(spark, folder):
     """Comparison requests end to end: refused ones, and citations per side of the others."""
-    requests, done = answering.compare(inputs.trial_pairs(spark, folder), inputs.documents(spark, folder), inputs.index(spark, folder), limit=3)
+    requests, done = answering.compare(inputs.trial_pairs(spark, folder), inputs.documents(spark, folder), inputs.index(spark, folder))
     sides = done.citations.groupBy(F.col("query_id").alias("pair_id")).agg(
         F.count_if(F.col("side") == "A").alias("n_a"), F.count_if(F.col("side") == "B").alias("n_b")
     )
@@ -949,7 +960,7 @@ def s8_report_file(spark, folder):
     """Write the report and read its lines back."""
     path = _fresh_path(spark, "report")
     snapshots.write_report(e15_report_lines(spark, folder), path)
-    return spark.read.text(path).filter(F.col("value").startswith("| ")).select(F.col("value").alias("line"))
+    return spark.read.text(path).filter(F.col("value").contains(" truth; ")).select(F.col("value").alias("line"))
 
 
 def evidence_for_questions(spark: SparkSession, folder: str) -> DataFrame:
