@@ -396,7 +396,7 @@ ORACLE_SQL: dict[str, str] = {
     "s5_question_set": "SELECT CAST(item_id AS VARCHAR) AS id, md5(text) AS question_md5, item_id % 2 = 0 AS expect_answerable, CAST(1 - item_id % 2 AS BIGINT) AS n_relevant, CASE WHEN item_id % 3 = 0 THEN 'shared text' ELSE '' END AS ground_truth_basis FROM benchmark",
     "s6_seed_corpus": f"""WITH {STUDIES}, {ARTICLES} SELECT 'trial:' || nct_id AS document_id, 'trial' AS source_type, nct_id AS source_identifier, md5(concat_ws(chr(10) || chr(10), brief_summary, text)) AS text_md5 FROM studies WHERE nct_id <> ''
 UNION ALL SELECT 'publication:' || pmid, 'publication', pmid, md5(coalesce({ABSTRACT}, '')) FROM articles""",
-    "s7_snapshot_table": f"WITH {DOCS} SELECT document_id, source_type, source_identifier, sha256(source_identifier || ':' || text) AS content_hash FROM docs WHERE length(text) < 3000",
+    "s7_snapshot_table": f"WITH {DOCS} SELECT document_id, source_type, source_identifier, upper(title) AS title, sha256(source_identifier || ':' || text) AS content_hash FROM docs",
     "s8_report_file": results_sql("dense") + f"SELECT {TABLE_ROW} AS line FROM results",
     "n1_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "n2_canonical_json": r"""SELECT doc_id, '{"a":[true,null,{"x":"a\nb","y":1.5}],"n":' || n_chars || ',"z":{"lang":"' || lang || '","source":"' || source || '"}}' AS canonical FROM documents""",
@@ -419,7 +419,7 @@ UNION ALL SELECT 'publication:' || pmid, 'publication', pmid, md5(coalesce({ABST
     "n14_mesh_terms": f"WITH {ARTICLES} SELECT doc_id AS seq, lang AS mesh_terms FROM articles",
     "n15_linked_ids": f"WITH {ARTICLES} SELECT doc_id AS seq, array_to_string({LINKED}, '|') AS linked_nct_ids FROM articles",
     "n16_publications": f"WITH {ARTICLES} SELECT doc_id AS seq, pmid, 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' AS source_url, 'On ' || source AS title, CASE WHEN doc_id % 3 <> 1 THEN '10.1/' || doc_id END AS doi, true AS parsed, true AS hash_of_raw FROM articles",
-    "n17_publication_text": f"WITH {ARTICLES} SELECT doc_id AS seq, coalesce(length({ABSTRACT}), 0) AS n FROM articles",
+    "n17_publication_text": f"WITH {ARTICLES} SELECT doc_id AS seq, md5(coalesce({ABSTRACT}, '')) AS text_md5 FROM articles",
     "d1_classify": "SELECT doc_id, CASE WHEN lang <> 'en' THEN 'new' WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM documents",
     "d2_hash_collisions": "SELECT sha256(text) AS content_hash, count(*) OVER (PARTITION BY text) AS n_ids, doc_id AS source_id FROM documents QUALIFY n_ids > 1",
     "d3_upsert_trials": f"""WITH {STUDIES}, {SECOND} SELECT nct_id, coalesce(s.brief_title, f.brief_title) AS brief_title, coalesce(s.overall_status, f.overall_status) AS overall_status,
@@ -466,9 +466,9 @@ SELECT CAST(label AS BIGINT) AS query_id, vec_id AS document_id, round(score, 6)
 SELECT lexeme, count(DISTINCT (document_id, chunk_index)) AS n_chunks, count(*) AS total_tf, min(position) AS first_position FROM words WHERE lexeme NOT IN ({STOP}) GROUP BY lexeme""",
     "r8_fulltext": f"WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {CHUNK_LEXEMES}, {QUESTION_LEXEMES}, {fulltext_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 6) AS score, rank FROM ft",
     "r8_fulltext_words": f"""WITH RECURSIVE {CHUNKS}, asked AS (SELECT DISTINCT w AS query_id, w AS text FROM (SELECT unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[\\p{{L}}]{{4,}}')) AS w FROM pages)),
-{CHUNK_LEXEMES}, {QUESTION_LEXEMES}, {fulltext_cte(10)} SELECT query_id, document_id, chunk_index, round(score, 6) AS score, rank FROM ft""",
+{CHUNK_LEXEMES}, {QUESTION_LEXEMES}, {fulltext_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 6) AS score, rank FROM ft""",
     "r9_dense": f"WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {CHUNK_VECTORS}, {QUESTION_VECTORS}, {dense_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 9) AS score, rank FROM de",
-    "r11_fusion": """WITH ranks AS (SELECT lang AS query_id, doc_id AS item, 0 AS source, n_chars % 97 + 1 AS rank FROM documents UNION ALL SELECT lang, doc_id % 50, 1, doc_id % 211 + 1 FROM documents),
+    "r11_fusion": """WITH ranks AS (SELECT doc_id // 40 AS query_id, doc_id AS item, 0 AS source, n_chars % 97 + 1 AS rank FROM documents UNION ALL SELECT doc_id // 40, doc_id % 50, 1, doc_id % 211 + 1 FROM documents),
 firsts AS (SELECT query_id, item, min(rank) FILTER (source = 0) AS rank_0, min(rank) FILTER (source = 1) AS rank_1 FROM ranks GROUP BY ALL)
 SELECT query_id, item, round(coalesce(1.0::DOUBLE / (60 + rank_0), 0) + coalesce(1.0::DOUBLE / (60 + rank_1), 0), 9) AS score, rank_0, rank_1 FROM firsts""",
     "r12_search_hybrid": search_sql("hybrid"),

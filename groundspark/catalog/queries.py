@@ -143,14 +143,14 @@ def s6_seed_corpus(spark, folder):
 
 
 def s7_snapshot_table(spark, folder):
-    """Write documents, then a second version without long ones; read the current one."""
+    """Write documents, then a second version with other titles; read the current one."""
     root = _fresh_path(spark, "snapshots")
     all_documents = inputs.documents(spark, folder)
     snapshots.write_snapshot(spark, root, {"documents": all_documents}, {"documents": ["source_type"]})
     first = snapshots.read_snapshot(spark, root)["documents"]
-    snapshots.write_snapshot(spark, root, {"documents": first.filter(F.char_length("text") < 3000)}, {"documents": ["source_type"]})
+    snapshots.write_snapshot(spark, root, {"documents": first.withColumn("title", F.upper("title"))}, {"documents": ["source_type"]})
     current = snapshots.read_snapshot(spark, root)["documents"]
-    return current.select("document_id", "source_type", "source_identifier", "content_hash")
+    return current.select("document_id", "source_type", "source_identifier", "title", "content_hash")
 
 
 # Normalisation
@@ -246,7 +246,7 @@ def n16_publications(spark, folder):
 
 def n17_publication_text(spark, folder):
     body = articles.publication_document_text(F.col("abstract"))
-    return _publications(spark, folder).select("seq", F.char_length(body).cast("bigint").alias("n"))
+    return _publications(spark, folder).select("seq", F.md5(F.coalesce(body, F.lit(""))).alias("text_md5"))
 
 
 # Upserts and integrity
@@ -530,7 +530,7 @@ def r8_fulltext_words(spark, folder):
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     words = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
     asked = table(spark, folder, "pages").select(F.explode(words).alias("query_id")).distinct().withColumn("text", F.col("query_id"))
-    hits = fulltext.fulltext_search(lexemes.with_lexemes(asked, "simple"), inputs.index(spark, folder), 10)
+    hits = fulltext.fulltext_search(lexemes.with_lexemes(asked, "simple"), inputs.index(spark, folder), settings.CANDIDATE_POOL)
     return hits.select("query_id", "document_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
@@ -569,8 +569,8 @@ def r10_approximate(spark, folder):
 
 
 def r11_fusion(spark, folder):
-    """Documents ranked per language by length and by id, the second list with repeats."""
-    docs = table(spark, folder, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("item"), "n_chars")
+    """Forty documents to a query, ranked by length and by id, the second list with repeats."""
+    docs = table(spark, folder, "documents").select(F.expr("doc_id div 40").alias("query_id"), F.col("doc_id").alias("item"), "n_chars")
     by_length = docs.select("query_id", "item", (F.col("n_chars") % 97 + 1).alias("rank"))
     by_id = docs.select("query_id", (F.col("item") % 50).alias("item"), (F.col("item") % 211 + 1).alias("rank"))
     fused = fusion.reciprocal_rank_fusion([by_length, by_id], ["item"], 60)
