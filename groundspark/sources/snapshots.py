@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +13,35 @@ from pyspark.sql import functions as F
 LOG = "version bigint, name string, path string"
 
 
+class SnapshotConflict(RuntimeError):
+    """Another writer made a version current since this one read its tables."""
+
+
+def _folder(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_log")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version, 0 when there is none."""
+    path, files = _folder(spark, root)
+    names = [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+    return max((int(found[1]) for name in names if (found := re.fullmatch(r"(\d+)\.json", name))), default=0)
+
+
+def _claim(spark: SparkSession, root: str, version: int, entries: list[tuple]) -> None:
+    """Create the log file of ``version``; only one writer can."""
+    path, files = _folder(spark, root)
+    try:
+        out = files.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"{version:012d}.json"), False)
+    except Exception as error:
+        if "AlreadyExists" in str(error) or "already exists" in str(error):
+            raise SnapshotConflict(f"version {version} under {root} was written by another job") from error
+        raise
+    out.write(bytearray("".join(json.dumps(dict(zip(("version", "name", "path"), e, strict=True))) + "\n" for e in entries).encode()))
+    out.close()
+
+
 def _log(spark: SparkSession, root: str) -> list:
     """The newest (version, name, path) of each table; one small row per table."""
     try:
@@ -26,23 +59,25 @@ def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def write_snapshot(
-    spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None
+    spark: SparkSession, root: str, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None, base: int | None = None
 ) -> dict[str, DataFrame]:
     """Write new versions of ``tables`` and make them current together.
 
     Tables not given keep their version. The log entry is the last write, so a
-    batch that fails half-way changes nothing and can be run again.
+    batch that fails half-way changes nothing and can be run again. ``base`` is the
+    version the tables were made from; if another writer has followed it since, its
+    work is kept and this call raises SnapshotConflict.
     """
-    version = max((row["version"] for row in _log(spark, root)), default=0) + 1
+    version = (current_version(spark, root) if base is None else base) + 1
     entries = []
     for name, table in tables.items():
-        path = f"{root}/v={version}/{name}"
-        writer = table.write.mode("overwrite")
+        path = f"{root}/v={version}-{uuid.uuid4().hex}/{name}"
+        writer = table.write
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
         writer.parquet(path)
         entries.append((version, name, path))
-    spark.createDataFrame(entries, LOG).coalesce(1).write.mode("append").json(f"{root}/_log")
+    _claim(spark, root, version, entries)
     return read_snapshot(spark, root)
 
 

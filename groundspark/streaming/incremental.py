@@ -12,7 +12,7 @@ from groundspark.plans.retrieval import enrich_chunks
 from groundspark.runtime import write_table
 from groundspark.schemas import empty
 from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles
-from groundspark.sources.snapshots import read_snapshot, write_snapshot
+from groundspark.sources.snapshots import current_version, read_snapshot, write_snapshot
 from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
 from groundspark.sources.studies import only_readable, split_pages
 
@@ -27,13 +27,13 @@ def refresh_index(documents: DataFrame, touched: DataFrame, stored: DataFrame |
     return stored.join(touched, "document_id", "left_anti").unionByName(renewed.select(*stored.columns))
 
 
-def store_batch(spark: SparkSession, root: str, name: str, done: Ingested, tables: dict[str, DataFrame], config: str) -> None:
+def store_batch(spark: SparkSession, root: str, base: int, name: str, done: Ingested, tables: dict[str, DataFrame], config: str) -> None:
     """Re-index the documents a batch changed and make all its tables current together."""
     touched = write_table(done.documents.changed.select("document_id").distinct(), "touched")
     documents = write_table(done.documents.snapshot, "documents")
     chunks = refresh_index(documents, touched, tables.get("chunks"), enrich_chunks(config=config))
     write_snapshot(
-        spark, root, {name: done.records.snapshot, "documents": documents, "chunks": chunks}, {"documents": ["source_type"]}
+        spark, root, {name: done.records.snapshot, "documents": documents, "chunks": chunks}, {"documents": ["source_type"]}, base
     )
 
 
@@ -44,21 +44,23 @@ def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> N
     A page that cannot be read fails the batch; nothing of it is stored.
     """
     spark = pages.sparkSession
+    base = current_version(spark, root)
     tables = read_snapshot(spark, root)
     studies = number_arrivals(only_readable(split_pages(pages)), STUDY_ARRIVAL)
     done = ingest_trials(studies, tables.get("trials"), tables.get("documents"), F.current_timestamp())
-    store_batch(spark, root, "trials", done, tables, config)
+    store_batch(spark, root, base, "trials", done, tables, config)
 
 
 def apply_article_batch(articles: DataFrame, root: str, config: str = "english") -> None:
     """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
     spark = articles.sparkSession
+    base = current_version(spark, root)
     tables = read_snapshot(spark, root)
     trials = tables["trials"] if "trials" in tables else empty(spark, "trials")
     done = ingest_publications(
         number_arrivals(articles, ARRIVAL), tables.get("publications"), trials, tables.get("documents"), F.current_timestamp()
     )
-    store_batch(spark, root, "publications", done, tables, config)
+    store_batch(spark, root, base, "publications", done, tables, config)
 
 
 def _run(rows: DataFrame, apply, root: str, checkpoint: str) -> StreamingQuery:

@@ -106,6 +106,17 @@ def test_a_page_may_be_larger_than_one_value(spark, tmp_path):
     assert studies.read_study_pages(spark, str(tmp_path)).count() == 1_450
 
 
+def test_two_writers_cannot_take_one_version(spark, tmp_path):
+    root, rows = str(tmp_path / "t"), spark.range(3)
+    base = snapshots.current_version(spark, root)
+    snapshots.write_snapshot(spark, root, {"a": rows}, base=base)
+    with pytest.raises(snapshots.SnapshotConflict):
+        snapshots.write_snapshot(spark, root, {"a": rows.limit(1), "b": rows}, base=base)
+    assert snapshots.read_snapshot(spark, root)["a"].count() == 3 and snapshots.current_version(spark, root) == 1
+    snapshots.write_snapshot(spark, root, {"b": rows})
+    assert {n: t.count() for n, t in snapshots.read_snapshot(spark, root).items()} == {"a": 3, "b": 3}
+
+
 def test_broken_json_files_fail(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"questions": [{"id": "q1", "question": "Q"}], "esearchresult": {"idlist": ["1"]}}')
     assert questions.read_questions(spark, str(tmp_path)).count() == 1 and articles.read_article_ids(spark, str(tmp_path)).count() == 1
@@ -304,7 +315,7 @@ def test_snapshots(spark, tmp_path):
     snapshots.write_snapshot(spark, root, {"a": tables["a"].filter("id > 0")})
     now = snapshots.read_snapshot(spark, root)
     assert (now["a"].count(), now["b"].count(), tables["a"].count()) == (2, 5, 3)
-    assert (tmp_path / "tables" / "v=1" / "b" / "kind=0").is_dir()
+    assert list((tmp_path / "tables").glob("v=1-*/b/kind=0"))
 
 
 def test_violations_and_cascade(spark):
