@@ -49,7 +49,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = pa.array([], pa.string())
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -57,48 +57,52 @@ class WordEncoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words that each begin with a blank or line feed and hold more."""
-        done = []
+    def _joined(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and counts of ids of words that each begin with a blank or line feed and hold more."""
+        ids, sizes = [], []
         for at in range(0, len(words), JOINED_WORDS):
             some = words[at : at + JOINED_WORDS]
-            begins = np.cumsum([0] + [len(w) for w in some])[:-1]
+            begins = np.cumsum([0, *map(len, some)])[:-1]
             encoding = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids = np.array(encoding.ids, np.uint32)
-            offsets = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(offsets, begins[1:], "left")
-            done += np.split(ids, cuts)
-        return done
-
-    def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if len(w) > 1 and w[0] in " \n"]
-        apart = [w for w in words if not (len(w) > 1 and w[0] in " \n")]
-        known = len(self.memo)
-        arrays = self._joined(joined) + self._whole(apart)
-        for place, word in enumerate(joined + apart):
-            self.memo[word] = known + place
-        sizes = np.array([len(a) for a in arrays], np.int64)
-        total = self.used + int(sizes.sum())
+            ids.append(np.array(encoding.ids, np.uint32))
+            offsets = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids[-1]))
+            sizes.append(np.diff(np.searchsorted(offsets, begins, "left"), append=len(offsets)))
+        return ids, sizes
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Remember new words; returns their places."""
+        listed = words.to_pylist()
+        joined = np.fromiter((len(w) > 1 and w[0] in " \n" for w in listed), bool, len(listed))
+        order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
+        arrays, counts = self._joined([w for w, j in zip(listed, joined, strict=True) if j])
+        whole = self._whole([w for w, j in zip(listed, joined, strict=True) if not j])
+        sizes = np.concatenate([*counts, [len(a) for a in whole]]).astype(np.int64)
+        known, total = len(self.memo), self.used + int(sizes.sum())
+        self.memo = pa.concat_arrays([self.memo, words.take(pa.array(order))])
         if total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(total, np.uint32)])
-        self.ids[self.used : total] = np.concatenate(arrays)
-        if known + len(arrays) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(known + len(arrays) + 1, np.int64)])
-        self.starts[known + 1 : known + len(arrays) + 1] = self.used + np.cumsum(sizes)
+        self.ids[self.used : total] = np.concatenate(arrays + whole)
+        if known + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(known + len(sizes) + 1, np.int64)])
+        self.starts[known + 1 : known + len(sizes) + 1] = self.used + np.cumsum(sizes)
         self.used = total
+        places = np.empty(len(order), np.int64)
+        places[order] = known + np.arange(len(order))
+        return places
 
     def _by_words(self, texts: pa.Array) -> list[np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", MARK + " "), "\n", MARK + "\n")
         lists = pc.split_pattern(marked, MARK)
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary
         if len(self.memo) + len(words) > self.memo_words:
             self._forget()
-        fresh = [w for w in words if w not in self.memo]
-        if fresh:
-            self._learn(fresh)
-        place = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        found = pc.index_in(words, value_set=self.memo)
+        place = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            place[fresh] = self._learn(words.take(pa.array(fresh)))
         place = place[coded.indices.to_numpy(zero_copy_only=False)]
         starts = self.starts[place]
         sizes = self.starts[place + 1] - starts
