@@ -276,6 +276,33 @@ def test_training_beats_word_shares_on_new_texts(spark, odd_docs, no_docs):
     assert lm.pseudo_likelihood(no_docs).count() == 0
 
 
+def test_vocabulary_follows_the_corpus(spark):
+    texts = [" ".join(f"w{(k * 300 + j) % 1500}" for j in range(300)) for k in range(120)]
+    known, frequency = lm.vocabulary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert len(known) == 1500 and frequency.sum() == 36_000 and len(lm.start(frequency)) > len(lm.start(np.ones(lm.WORDS)))
+
+
+@pytest.mark.parametrize("listed", [1 << 18, 3, 0])
+def test_shared_entries_are_split_by_counts(spark, monkeypatch, listed):
+    monkeypatch.setattr(lm, "LISTED", listed)
+    hashes = {f"rare{k}": lm.word_hashes(pa.array([f"rare{k}"]))[0] for k in range(3000)}
+    cell = {w: int(lm.word_ids(h, np.zeros(0, np.int64))[0]) for w, h in hashes.items()}
+    common, once, never = [w for w in cell if cell[w] == cell["rare0"]][:3]
+    known = np.sort(np.concatenate([lm.word_hashes(pa.array([f"own{k}"]))[0] for k in range(700)]))
+    counted = [(int(h), 20) for h in known] + [(int(hashes[common][0]), 9), (int(hashes[once][0]), 1)] + [(int(hashes[f"rare{k}"][0]), 2) for k in range(2000, 2004)]
+    counts = spark.createDataFrame(counted, "word long, n long")
+    frequency = np.ones(lm.WORDS, np.int64)
+    docs = spark.createDataFrame([(1, common), (2, once), (3, never), (4, f"own0 {common} {once}"), (5, "own1"), (6, None)], "doc_id long, text string")
+    flat = lm.start(frequency)
+    got = {r["doc_id"]: r["log_prob"] for r in lm.score(docs, known, flat, counts).collect()}
+    whole = {r["doc_id"]: r["log_prob"] for r in lm.score(docs, known, flat).collect()}
+    others = sum(3 for k in range(2000, 2004) if cell[f"rare{k}"] == cell["rare0"])
+    total = 10 + 2 + others + 1
+    # The three are one entry; single words have the same context.
+    assert [math.exp(got[k] - whole[k]) * total for k in (1, 2, 3)] == pytest.approx([10, 2, 1], rel=1e-5)
+    assert got[4] - whole[4] == pytest.approx(math.log(20 / total**2), abs=1e-5) and got[5] == whole[5] and got[6] == 0
+
+
 # 6 and 10: vectors
 
 
