@@ -136,6 +136,16 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("longer", ["one two three four five six seven eight nine", "zero one two three four five six seven eight"])
+def test_a_line_of_four_shingles_meets_one_of_five(spark, longer):
+    short = "one two three four five six seven eight"
+    for first, later in ((short, longer), (longer, short)):
+        docs = spark.createDataFrame([(1, first), (2, f"{later}\nstays")], "doc_id long, text string")
+        assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {1: first, 2: "stays"}
+    three = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")
+    assert [r["text"] for r in linededup.dedup_lines(three).orderBy("doc_id").collect()] == ["a b c d e f g", "a b c d e f g h"]
+
+
 def test_line_dedup_of_odd_documents(spark, odd_docs, no_docs):
     got = linededup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns
