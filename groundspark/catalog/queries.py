@@ -564,8 +564,10 @@ def _lists(spark, folder):
 def r10_approximate(spark, folder):
     """Share of the exact top ten that the approximate search finds, per question."""
     asked = embedding.hashing()(inputs.questions(spark, folder))
-    found = approximate.approximate_search(asked, *_lists(spark, folder), 10)
-    return approximate.recall_against(dense.dense_search(asked, inputs.index(spark, folder), 10), found)
+    (lists, centres), index = _lists(spark, folder), inputs.index(spark, folder)
+    probes = approximate.choose_probes(asked, index, lists, centres, 10)
+    found = approximate.approximate_search(asked, lists, centres, 10, probes=probes)
+    return approximate.recall_against(dense.dense_search(asked, index, 10), found)
 
 
 def r11_fusion(spark, folder):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,24 +13,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.operators.chunking import CHUNK_KEY
-from groundspark.operators.dense import QUERIES_PER_PASS, Block, no_hits, score_pass, search_in_blocks
+from groundspark.operators.dense import QUERIES_PER_PASS, Block, dense_search, no_hits, score_pass, search_in_blocks
 from groundspark.operators.embedding import unit_vector
 
 TRAINING_ROWS_PER_LIST = 256
+ROWS_PER_FILE = 65_536
+# Questions searched exactly to choose probes, and the recall these must reach: some above 0.9, for other questions.
+CALIBRATION_QUERIES = 256
+CALIBRATION_RECALL = 0.93
 
 
 def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("vector").isNotNull() & (F.col("norm2") > 0))
 
 
-def train_lists(chunks: DataFrame, n_lists: int = 64, seed: int = 42) -> np.ndarray:
-    """Unit centres of ``n_lists`` clusters of chunk vectors.
+def train_lists(chunks: DataFrame, n_lists: int | None = None, seed: int = 42) -> np.ndarray:
+    """Unit centres of ``n_lists`` clusters of chunk vectors, by default the root of their number.
 
-    Centres are learnt from a sample of fixed expected size, distinct vectors
+    Centres are learnt from a sample that grows with the lists, distinct vectors
     only, so that copies do not pull them; every chunk is assigned afterwards.
     """
     usable = _usable(chunks).select("vector", "norm2")
-    share = min(1.0, n_lists * TRAINING_ROWS_PER_LIST / max(1, usable.count()))
+    n_rows = usable.count()
+    n_lists = n_lists or max(2, math.ceil(math.sqrt(n_rows)))
+    share = min(1.0, n_lists * TRAINING_ROWS_PER_LIST / max(1, n_rows))
     sample = usable.sample(share, seed).dropDuplicates(["vector"])
     units = sample.select(array_to_vector(unit_vector(F.col("vector"), F.col("norm2"))).alias("features"))
     model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", initMode="random").fit(units)
@@ -49,11 +56,12 @@ def nearest_list(centres: np.ndarray):
     return assign
 
 
-def write_lists(chunks: DataFrame, centres: np.ndarray, path: str, files_per_list: int = 8) -> None:
-    """Store the vectors with one folder per list; a full list spans several files."""
+def write_lists(chunks: DataFrame, centres: np.ndarray, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Store the vectors with one folder per list; a list spans as many files as its counted rows need."""
     assigned = _usable(chunks).select(*CHUNK_KEY, "vector", "norm2", nearest_list(centres)("vector").alias("list"))
-    spread = F.pmod(F.xxhash64(*CHUNK_KEY), F.lit(files_per_list))
-    assigned.repartition("list", spread).write.partitionBy("list").parquet(path)
+    files = assigned.groupBy("list").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))  # one row per list
+    spread = F.pmod(F.xxhash64(*CHUNK_KEY), F.col("_files"))
+    assigned.join(F.broadcast(files), "list").repartition("list", spread).drop("_files").write.partitionBy("list").parquet(path)
 
 
 def approximate_search(
@@ -80,6 +88,22 @@ def approximate_search(
     return no_hits(queries, lists) if found is None else found
 
 
+def choose_probes(queries: DataFrame, chunks: DataFrame, lists: DataFrame, centres: np.ndarray, limit: int, recall: float = CALIBRATION_RECALL) -> int:
+    """The fewest probes that find ``recall`` of the exact hits, as measured on questions of least hash."""
+    asked = queries.filter(F.col("norm2") > 0).orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION_QUERIES)
+    exact = dense_search(asked, chunks, limit).filter("score IS NOT NULL").select("query_id", *CHUNK_KEY)
+    hits = lists.select(*CHUNK_KEY, "list").join(F.broadcast(exact), CHUNK_KEY).select("query_id", "list").collect()
+    order = {r["query_id"]: np.argsort(np.argsort(-(centres @ np.array(r["vector"], np.float64)), kind="stable")) for r in asked.select("query_id", "vector").collect()}
+    places: dict = {}
+    for r in hits:
+        places.setdefault(r["query_id"], []).append(order[r["query_id"]][r["list"]])
+    found = np.zeros(len(centres))
+    for each in places.values():
+        found += np.bincount(each, minlength=len(centres)) / len(each)
+    enough = np.flatnonzero(np.cumsum(found) >= recall * len(places) - 1e-9)
+    return int(enough[0]) + 1 if places and len(enough) else len(centres)
+
+
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """(query_id, n_exact, n_found, recall): how much of the exact hits was found."""
     found = approximate.select("query_id", *CHUNK_KEY, F.lit(1).alias("hit"))

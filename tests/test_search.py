@@ -314,6 +314,22 @@ def test_approximate_search(spark, corpus, tmp_path):
     assert approximate.approximate_search(asked.limit(0), lists, centres, 5).count() == 0
 
 
+def test_probes_are_chosen_for_recall(spark, corpus, tmp_path):
+    _, table, _, queries = corpus
+    asked = embedding.hashing(32)(queries)
+    many = table.withColumn("document_id", F.col("document_id") * 100).crossJoin(spark.range(100)).withColumn("document_id", F.col("document_id") + F.col("id")).drop("id")
+    assert 60 < len(approximate.train_lists(many.withColumn("vector", F.transform("vector", lambda v: (v + F.rand(1) * 4).cast("float"))))) <= 80
+    centres = approximate.train_lists(table)
+    approximate.write_lists(table, centres, str(tmp_path / "lists"), rows_per_file=3)
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    assert lists.count() == table.filter("norm2 > 0").count()
+    exact = dense.dense_search(asked, table, 5).filter("score is not null")
+    recall = lambda probes: approximate.recall_against(exact, approximate.approximate_search(asked, lists, centres, 5, probes=probes)).agg(F.avg("recall")).first()[0]
+    probes = approximate.choose_probes(asked, table, lists, centres, 5)
+    assert recall(probes) >= 0.9 and (probes == 1 or recall(probes - 1) < approximate.CALIBRATION_RECALL)
+    assert approximate.choose_probes(asked, table, lists, centres, 5, recall=1.0) <= len(centres) and recall(len(centres)) == 1.0
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_skew_join(spark, how):
     left = spark.range(3000).select(
