@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundspark.llm import itq, langid, linededup, lm, minhash, mixing, packing, pivots, secrets, token_files
+from groundspark.llm import itq, langid, linededup, lm, merkle, minhash, mixing, packing, phrases, pivots, secrets, token_counts, token_files
 
 
 # An upsampled source is read at most this often.
@@ -67,7 +67,23 @@ def op10_pivot_search(spark: SparkSession, folder: str) -> DataFrame:
     return pivots.exact_search(table(spark, folder, "embeddings"), every=20, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op8_window_scoring, op9_language_id, op10_pivot_search)
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(table(spark, folder, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"), least=100, top=2_000)
+
+
+OPERATORS = (
+    op1_secret_scan, op2_token_files, op3_packing, op4_mixing, op5_minhash_dedup, op6_itq_dedup, op7_line_dedup, op8_window_scoring, op9_language_id, op10_pivot_search,
+    op11_merkle_manifest, op12_token_counts, op13_phrase_mining,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.oracle(MAX_REPEATS), "op7_line_dedup": linededup.oracle(), "op11_merkle_manifest": merkle.oracle(), "op13_phrase_mining": phrases.oracle(least=100, top=2_000),
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.oracle(MAX_REPEATS), "op7_line_dedup": linededup.oracle()}
