@@ -126,18 +126,45 @@ def schedule(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: f
     return uses.select("doc_key", "text_md5", "doc_id", "source", "tokens", "epoch", place.alias("place"))
 
 
+# Extra copies of one row that one task writes.
+COPIES = 1_000
+
+
 def mix(docs: DataFrame, **limits) -> DataFrame:
-    """``docs`` with every row as often as its schedule uses it; only slim rows are scheduled."""
-    uses = schedule(docs, **limits)
-    # Equal rows share a key: their uses are counted together and dealt back evenly.
-    uses = uses.groupBy("doc_key", "text_md5").agg(F.count("*").alias("_uses"))
-    key = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_key"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"), F.struct("*").alias("row"))
-    same = key.groupBy("doc_key", "text_md5").agg(F.count("*").alias("_same"))
-    times = uses.join(same, ["doc_key", "text_md5"])
-    single = key.join(times, ["doc_key", "text_md5"])
-    copies = F.floor(F.col("_uses") / F.col("_same")).cast("int")
-    repeated = single.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
-    return repeated.select("row.*")
+    """``docs`` with every row as often as its schedule uses it; only slim rows are scheduled.
+
+    Rows of one id, source and text share their uses: each has the whole part of its
+    share, and what remains goes to the first by a hash of all their columns. Rows that
+    are equal in every column are counted, not numbered, so any number of them may be
+    equal. A null id, source or text is a value of its own; an empty table stays empty.
+    """
+    key = ["_key", "source", "text_md5"]
+    uses = schedule(docs, **limits).withColumnRenamed("doc_key", "_key").groupBy(*key).agg(F.count("*").alias("_uses"))
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"), F.xxhash64(*docs.columns).alias("_row"), F.struct("*").alias("row"),
+    )
+    # Slim rows: one for each distinct content, with how many rows have it.
+    contents = rows.groupBy(*key, "_row").agg(F.count("*").alias("_same"))
+    every = Window.partitionBy(*key)
+    before = F.coalesce(F.sum("_same").over(every.orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    contents = contents.withColumn("_all", F.sum("_same").over(every)).withColumn("_before", before).join(uses, key)
+    left = F.pmod(F.col("_uses"), F.col("_all")) - F.col("_before")
+    extra = F.greatest(F.lit(0), F.least(left, F.col("_same")))
+    contents = contents.select(*key, "_row", F.floor(F.col("_uses") / F.col("_all")).alias("_copies"), extra.alias("_extra"), "_same")
+    found = rows.join(contents, [*key, "_row"])
+    # All rows of a content get one more, or none do; else the extra ones are copies of one of them.
+    alike = F.col("_extra").isin(0) | (F.col("_extra") == F.col("_same"))
+    copies = F.col("_copies") + F.when(F.col("_extra") == F.col("_same"), 1).otherwise(0)
+    out = found.withColumn("_times", copies.cast("int")).filter("_times > 0").select("row", F.explode(F.expr("sequence(1, _times)"))).select("row.*")
+    some = contents.filter(~alike)
+    if not some.isEmpty():
+        one = found.filter(~alike).dropDuplicates([*key, "_row"])
+        blocks = F.explode(F.expr(f"sequence(0, (_extra - 1) div {COPIES})"))
+        spread = one.withColumn("_block", blocks).repartition("_row", "_block")
+        times = F.least(F.lit(COPIES), F.col("_extra") - F.col("_block") * COPIES).cast("int")
+        out = out.unionByName(spread.withColumn("_times", times).select("row", F.explode(F.expr("sequence(1, _times)"))).select("row.*"))
+    return out
 
 
 def oracle(max_repeats: float) -> str:

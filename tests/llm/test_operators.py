@@ -193,6 +193,21 @@ def test_an_epoch_is_a_permutation(spark, monkeypatch):
     assert mixing.schedule(docs, seed=1).orderBy("source", "place").first()["doc_id"] is not None
 
 
+def test_mix_repeats_rows_as_scheduled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 2)
+    text = "four words in here"
+    rows = [(1, text, "small", k) for k in (1, 1)] + [(1, text, "big", 1)] + [(2, text, "small", k) for k in (1, 2, 3)] + [(None, None, None, 1)] * 5
+    rows += [(3, "five words are in here", "small", 7)] * 9 + [(k, text * 4, "big", k) for k in range(10, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(4)
+    for repeats in (1.0, 1.5, 2.0, 3.5, 7.3):
+        want = Counter((r["doc_id"], r["source"], r["tokens"]) for r in mixing.schedule(docs, max_repeats=repeats).collect())
+        mixed = mixing.mix(docs, max_repeats=repeats).collect()
+        assert Counter((r["doc_id"], r["source"] or "", len((r["text"] or "").split())) for r in mixed) == want
+        # Rows that share id, source and text are used alike, up to one use.
+        of = Counter(r["n_chars"] for r in mixed if r["doc_id"] == 2)
+        assert max(of.values()) - min(of.values()) <= 1 and len(of) == 3
+
+
 def test_mixing_odd_documents(spark, odd_docs, no_docs):
     mixed = mixing.mix(odd_docs, max_repeats=1.0)
     assert mixed.columns == odd_docs.columns
