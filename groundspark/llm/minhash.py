@@ -231,9 +231,11 @@ def weighted_sets(docs: DataFrame, wanted: DataFrame, idf: np.ndarray) -> DataFr
 
 
 def compare(members: DataFrame, sets: DataFrame, key: list[str], similarity: float) -> DataFrame:
-    """Links (a, b) between the ``left`` and the other rows of each group of ``members`` (key, left, class).
+    """Links (a, b) of components from each group of ``members`` (key, left, class, component).
 
-    A group is at most two blocks. Of its links only a spanning forest is given.
+    The ``left`` classes of a group, at most a block, are compared with the others, at
+    most one more. A link is given only where it joins two components that nothing in
+    the group has joined so far.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,10 +244,10 @@ def compare(members: DataFrame, sets: DataFrame, key: list[str], similarity: flo
         def links() -> Iterator[pa.RecordBatch]:
             left = [(c, s) for is_left, c, s in held if is_left]
             right = [(c, s) for is_left, c, s in held if not is_left]
-            if not left or not right:
+            root = {c: c for c, _ in left + right}
+            if not left or not right or len(root) < 2:
                 return
             near = similarities([s for _, s in left], [s for _, s in right]) >= similarity
-            root = {c: c for c, _ in left + right}
 
             def find(c: bytes) -> bytes:
                 while root[c] != c:
@@ -264,19 +266,27 @@ def compare(members: DataFrame, sets: DataFrame, key: list[str], similarity: flo
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(len(key) + 1)]
-            classes, elems, weights = (batch.column(len(key) + 1 + k) for k in range(3))
+            named, elems, weights = (batch.column(len(key) + 1 + k) for k in range(3))
             for row in range(batch.num_rows):
                 name = tuple(c[row] for c in columns[:-1])
                 if name != names:
                     yield from links()
                     names, held = name, []
-                held.append((columns[-1][row], classes[row].as_py(), (np.frombuffer(elems[row].as_py(), np.uint64), np.frombuffer(weights[row].as_py(), "<f4").astype(np.float64))))
+                held.append((columns[-1][row], named[row].as_py(), (np.frombuffer(elems[row].as_py(), np.uint64), np.frombuffer(weights[row].as_py(), "<f4").astype(np.float64))))
         yield from links()
 
-    rows = members.join(sets, "class").select(*key, "left", "class", "elements", "weights")
+    rows = members.join(sets, "class").select(*key, "left", "component", "elements", "weights")
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a binary, b binary")
 
 
+def further(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """Labels (node, component) after components were joined, given as (component, further)."""
+    moved = labels.join(joined, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    # A component that had no link before is a node of its own.
+    fresh = joined.join(labels, joined["component"] == labels["node"], "left_anti").select(F.col("component").alias("node"), F.col("further").alias("component"))
+    return moved.unionByName(fresh)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id, kept, and keys of the row.
 
@@ -303,23 +313,33 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     star = star.withColumn("block", F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK).cast("long")))
     star = star.select("hub", "block", F.lit(False).alias("left"), "class")
     star = star.union(star.select("hub", "block").distinct().select("hub", "block", F.lit(True), F.col("hub").alias("class")))
-    first_links = write_table(compare(star, sets, ["hub", "block"], similarity), "links")
-    labels = components(first_links)
+    labels = components(write_table(compare(star.withColumn("component", F.col("class")), sets, ["hub", "block"], similarity), "links"))
 
     # What is still apart from the hub of its bucket meets the whole bucket.
     named = member.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     named = named.join(of_hub, "hub", "left").withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub"))
-    named = write_table(named.select("band", "value", "size", "class", "hub", "apart"), "named")
     open_buckets = named.filter("apart").select("band", "value").distinct()
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     rest = named.join(open_buckets, ["band", "value"]).filter("class <> hub").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class"), blocks))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    grid = rest.filter("apart").select("band", "value", F.col("mine").alias("i"), every.alias("j"), F.lit(True).alias("left"), "class")
-    taken = grid.select("band", "value", "i").distinct()
-    others = rest.select("band", "value", F.col("mine").alias("j"), "class").join(taken, ["band", "value"]).select("band", "value", "i", "j", F.lit(False).alias("left"), "class")
-    last_links = compare(grid.union(others), sets, ["band", "value", "i", "j"], similarity)
-    labels = components(write_table(last_links.union(first_links), "links"))
+    rest = write_table(rest.select("band", "value", "class", "component", "apart", "blocks", "mine"), "rest")
+
+    def within(rest: DataFrame, same_block: bool) -> DataFrame:
+        """Links between the components of a bucket, from classes of one block or of two."""
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        meets = F.col("i") == F.col("j") if same_block else F.col("i") != F.col("j")
+        grid = rest.filter("apart").select("band", "value", F.col("mine").alias("i"), every.alias("j"), F.lit(True).alias("left"), "class", "component").filter(meets)
+        taken = rest.filter("apart").select("band", "value", F.col("mine").alias("i")).distinct()
+        others = rest.select("band", "value", F.col("mine").alias("j"), "class", "component").join(taken, ["band", "value"]).filter(meets)
+        others = others.select("band", "value", "i", "j", F.lit(False).alias("left"), "class", "component")
+        links = compare(grid.union(others), sets, ["band", "value", "i", "j"], similarity)
+        return write_table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+    # First inside each block: then a group that belongs together has one component a block, and two blocks one link at most.
+    for same_block in (True, False):
+        joined = components(within(rest, same_block)).select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = write_table(further(labels, joined), "labels")
+        rest = rest.join(joined, "component", "left").withColumn("component", F.coalesce("further", "component")).drop("further")
 
     named = signed.select("doc_key", "text_key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
     # A row without class is its own group.
