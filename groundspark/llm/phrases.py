@@ -34,10 +34,10 @@ from groundspark.runtime import skew_join, write_table
 LONGEST = 5
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
-BLOCK_BYTES = 8 * 1024 * 1024
+BLOCK_BYTES = 4 * 1024 * 1024
 # A container of more entries bursts; a trie of more spills.
 BURST = 4_096
-TRIE_ENTRIES = 1_000_000
+TRIE_ENTRIES = 500_000
 # Bit tables have eight bits a key, within these bounds: 64 MB at most.
 FEWEST_BITS, MOST_BITS = 16, 29
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
