@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,11 +17,13 @@ SEQUENCE_STEP = 1_000_000
 
 @dataclass(frozen=True)
 class Upsert:
-    """``actions``: one row per arrival; ``changed``: arrivals written; ``snapshot``: the new table."""
+    """``actions``: one row per arrival; ``changed``: arrivals written; ``written``: rows that
+    replace or join those of the table, one a key; ``snapshot``: the new table."""
 
     actions: DataFrame
     changed: DataFrame
     snapshot: DataFrame
+    written: DataFrame
 
 
 def split_keyless(records: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -54,37 +57,30 @@ def classify(arrivals: DataFrame, existing: DataFrame | None, key: str, step: in
     return joined.select(key, "seq", dedup_action(before, F.col("content_hash")).alias("action"))
 
 
-def latest(arrivals: DataFrame, key: str) -> DataFrame:
-    """The last arrival of each key; only (key, seq) is grouped, rows are picked by both."""
-    last = arrivals.groupBy(key).agg(F.max("seq").alias("seq"))
-    return arrivals.join(last, [key, "seq"], "left_semi")
-
-
-def merge_rows(written: DataFrame, existing: DataFrame | None, key: str, now: Column) -> DataFrame:
-    """Snapshot after writing one row per key of ``written`` over ``existing``.
-
-    Rows of ``existing`` that are not written pass through by an anti join, which
-    moves none of them when the batch is small; written rows keep the creation
-    time of the row they replace.
-    """
-    rows = written.drop("seq")
-    if existing is None:
-        return rows.withColumn("created_at", now).withColumn("updated_at", now)
-    replaced = narrow(existing.select(key, "created_at"), rows, key)
-    fresh = rows.join(replaced, key, "left").withColumn("created_at", F.coalesce("created_at", now)).withColumn("updated_at", now)
-    return without_keys(existing, rows, key).select(*fresh.columns).unionByName(fresh)
-
-
-def upsert(arrivals: DataFrame, existing: DataFrame | None, key: str, now: Column | None = None) -> Upsert:
+def upsert(
+    arrivals: DataFrame, existing: DataFrame | None, key: str, now: Column | None = None, finish: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> Upsert:
     """Apply a batch: unchanged arrivals write nothing, the last change of a key wins.
 
-    The slim action table is written out, so that the rows it selects are not
-    classified again by every use of the result.
+    ``finish`` adds what only rows that are written need.
+
+    All decisions are made on slim rows and written out; they then select the
+    arrivals to write, which are read once. Rows of ``existing`` that are not
+    replaced pass through by an anti join, which moves none of them when the
+    batch is small.
     """
     actions = write_table(classify(arrivals, existing, key), "actions")
-    changed = arrivals.join(actions.filter(F.col("action") != "unchanged").select(key, "seq"), [key, "seq"], "left_semi")
-    snapshot = merge_rows(latest(changed, key), existing, key, now if now is not None else F.current_timestamp())
-    return Upsert(actions, changed, snapshot)
+    changes = actions.filter(F.col("action") != "unchanged").select(key, "seq")
+    changed = arrivals.join(changes, [key, "seq"], "left_semi")
+    last = write_table(changes.groupBy(key).agg(F.max("seq").alias("seq")), "last-changes")
+    now = now if now is not None else F.current_timestamp()
+    if existing is None:
+        written = finish(arrivals.join(last, [key, "seq"], "left_semi").drop("seq")).withColumn("created_at", now).withColumn("updated_at", now)
+        return Upsert(actions, changed, written, written)
+    # Creation times of replaced rows meet the slim decisions, not the rows.
+    created = narrow(existing.select(key, F.col("created_at").alias("_created")), last, key)
+    written = finish(arrivals.join(last.join(created, key, "left"), [key, "seq"]).drop("seq")).withColumn("created_at", F.coalesce("_created", now)).withColumn("updated_at", now).drop("_created")
+    return Upsert(actions, changed, without_keys(existing, last, key).select(*written.columns).unionByName(written), written)
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
@@ -119,12 +115,8 @@ def resolve_linked_trials(publications: DataFrame, trials: DataFrame) -> DataFra
 
 
 def link_publications(publications: DataFrame, trials: DataFrame) -> DataFrame:
-    """Publications with ``linked_trial_id`` resolved against the trials now stored."""
+    """Publications, one a pmid, with ``linked_trial_id`` resolved against the trials now stored."""
     links = resolve_linked_trials(publications.drop("linked_trial_id"), trials)
-    if "seq" in publications.columns:  # several arrivals of one pmid may name different trials
-        numbered = publications.select(F.col("seq").cast("string").alias("pmid"), "linked_nct_ids")
-        links = resolve_linked_trials(numbered, trials).select(F.col("pmid").cast("bigint").alias("seq"), "linked_trial_id")
-        return publications.drop("linked_trial_id").join(links, "seq", "left")
     return publications.drop("linked_trial_id").join(links, "pmid", "left")
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.operators.upsert import Upsert, document_rows, link_publications, split_keyless, upsert
-from groundspark.runtime import write_table
+from groundspark.runtime import running_starts, write_table
 from groundspark.sources.articles import ARRIVAL, normalize_publications, publication_document_text, read_articles
 from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
 from groundspark.sources.studies import normalize_trials, read_study_pages, take_first, trial_document_text
@@ -24,8 +24,15 @@ class Ingested:
 
 
 def number_arrivals(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add ``seq``, unique and rising in the given order; a range sort, no single task."""
-    return rows.sort(*order).withColumn("seq", F.monotonically_increasing_id())
+    """Add ``seq``, unique and rising in the given order, of which the last column is the place in its file or block.
+
+    Only the extent of each file or block is put in order and summed up, one slim row
+    each; the rows themselves stay where they are.
+    """
+    *groups, place = order
+    extent = rows.groupBy(*groups).agg(F.min(place).cast("long").alias("_first"), (F.max(place) - F.min(place) + 1).cast("long").alias("_extent"))
+    starts = write_table(running_starts(extent, groups, "_extent", "extents").select(*groups, (F.col("start") - F.col("_first")).alias("_shift")), "arrival-starts")
+    return rows.join(starts, groups).withColumn("seq", F.col("_shift") + F.col(place)).drop("_shift")
 
 
 def trial_documents(trials: DataFrame) -> DataFrame:
@@ -38,39 +45,58 @@ def publication_documents(publications: DataFrame) -> DataFrame:
     return publications.select(*document_rows("publication", F.col("pmid"), F.col("source_url"), F.col("title"), text), "seq")
 
 
-def ingest_trials(
-    studies: DataFrame, trials: DataFrame | None, documents: DataFrame | None, now: Column | None = None
-) -> Ingested:
-    """Upsert a batch of (seq, study) and the documents of the trials it changed.
+def upsert_trials(normalized: DataFrame, trials: DataFrame | None, documents: DataFrame | None, now: Column | None = None) -> Ingested:
+    """Upsert normalized trials with ``seq``, and the documents of those it changed.
 
-    A document keeps its title and text unless its key:text hash changed.
+    ``normalized`` is a written table. A document keeps its title and text unless its
+    key:text hash changed.
     """
-    normalized = write_table(normalize_trials(studies, keep=("seq",)), "trial-batch")
     rows, rejected = split_keyless(normalized, "nct_id")
     records = upsert(rows, trials, "nct_id", now)
-    return Ingested(records, upsert(trial_documents(records.changed), documents, "document_id", now), rejected)
+    changed = write_table(trial_documents(records.changed), "document-batch")
+    return Ingested(records, upsert(changed, documents, "document_id", now), rejected)
 
 
-def ingest_publications(
-    articles: DataFrame,
+def ingest_trials(
+    studies: DataFrame, trials: DataFrame | None, documents: DataFrame | None, now: Column | None = None
+) -> Ingested:
+    """Upsert a batch of (seq, study) and the documents of the trials it changed."""
+    return upsert_trials(write_table(normalize_trials(studies, keep=("seq",)), "trial-batch"), trials, documents, now)
+
+
+def upsert_publications(
+    normalized: DataFrame,
     publications: DataFrame | None,
     trials: DataFrame,
     documents: DataFrame | None,
     now: Column | None = None,
     relink: bool = False,
 ) -> Ingested:
-    """Upsert a batch of (seq, pmid, article_xml) and its documents.
+    """Upsert normalized publications with ``seq``, and the documents of those it changed.
 
     Only changed publications are linked again; ``relink`` resolves the links of
     the whole table against the trials now stored.
     """
-    normalized = write_table(normalize_publications(articles, keep=("seq",)), "publication-batch")
     rows, keyless = split_keyless(normalized.filter("parsed").drop("parsed"), "pmid")
     rejected = normalized.filter(~F.col("parsed")).drop("parsed").unionByName(keyless)
-    records = upsert(link_publications(rows, trials), publications, "pmid", now)
+    records = upsert(rows, publications, "pmid", now, lambda written: link_publications(written, trials))
     if relink:
-        records = Upsert(records.actions, records.changed, link_publications(records.snapshot, trials))
-    return Ingested(records, upsert(publication_documents(records.changed), documents, "document_id", now), rejected)
+        records = replace(records, snapshot=link_publications(records.snapshot, trials))
+    changed = write_table(publication_documents(records.changed), "document-batch")
+    return Ingested(records, upsert(changed, documents, "document_id", now), rejected)
+
+
+def ingest_publications(
+    articles: DataFrame,
+    publications: DataFrame | None,
+    trials: DataFrame,
+    documents: DataFrame | None,
+    now: Column | None = None,
+    relink: bool = False,
+) -> Ingested:
+    """Upsert a batch of (seq, pmid, article_xml) and its documents."""
+    normalized = write_table(normalize_publications(articles, keep=("seq",)), "publication-batch")
+    return upsert_publications(normalized, publications, trials, documents, now, relink)
 
 
 def seed_corpus(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A side is broadcast only when its text was measured to be below this.
@@ -83,12 +83,28 @@ def narrow(rows: DataFrame, keys: DataFrame, key: str, limit_rows: int = BROADCA
     return rows.join(F.broadcast(wanted), key, "left_semi") if rows_fit(wanted, limit_rows) else rows
 
 
-def without_keys(rows: DataFrame, keys: DataFrame, key: str, limit_rows: int = BROADCAST_KEYS) -> DataFrame:
+def without_keys(rows: DataFrame, keys: DataFrame, key: str | list[str], limit_rows: int = BROADCAST_KEYS) -> DataFrame:
     """``rows`` whose key is not in ``keys``; few keys are broadcast, more are shuffled."""
-    wanted = keys.select(key).distinct()
+    wanted = keys.select(*([key] if isinstance(key, str) else key)).distinct()
     return rows.join(F.broadcast(wanted) if rows_fit(wanted, limit_rows) else wanted, key, "left_anti")
 
 
+def running_starts(rows: DataFrame, order: list[str], amount: str, name: str = "starts") -> DataFrame:
+    """``rows`` with ``start``: the sum of ``amount`` over all rows before each in the given order.
+
+    Rows are dealt by ranges of the order and summed inside each part; only one total
+    a part, as many as tasks, is summed in one place. ``rows`` should be slim.
+    """
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = write_table(dealt, name)
+    parts = dealt.groupBy("_part").agg(F.sum(amount).alias("_total"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(parts), "_part").withColumn("start", F.col("_before") + F.col("_inside")).drop("_part", "_before", "_inside")
+
+
 def skew_join(
     left: DataFrame,
     right: DataFrame,

@@ -2,87 +2,120 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from groundspark.operators.chunking import apply_index_diff, chunk_documents, diff_chunks
-from groundspark.plans.ingest import Ingested, ingest_publications, ingest_trials, number_arrivals
+from groundspark.operators.chunking import CHUNK_KEY, chunk_documents, diff_chunks
+from groundspark.plans.ingest import Ingested, number_arrivals, upsert_publications, upsert_trials
 from groundspark.plans.retrieval import enrich_chunks
-from groundspark.runtime import write_table
+from groundspark.runtime import narrow, write_table
 from groundspark.schemas import empty
-from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles
-from groundspark.sources.snapshots import current_version, read_snapshot, write_snapshot
+from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles, normalize_publications
+from groundspark.sources.snapshots import DELETED, Changes, SnapshotConflict, apply_changes, current_version, read_buckets, touched_buckets
 from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
-from groundspark.sources.studies import only_readable, split_pages
+from groundspark.sources.studies import normalize_trials, only_readable, split_pages
+
 
+def refresh_index(documents: DataFrame, stored: DataFrame | None, enrich) -> DataFrame:
+    """Changed chunks of re-chunked documents: created and updated ones, and removals of those gone.
 
-def refresh_index(documents: DataFrame, touched: DataFrame, stored: DataFrame | None, enrich) -> DataFrame:
-    """Chunk table after re-chunking the documents named in ``touched``."""
-    fresh = chunk_documents(documents.join(touched, "document_id", "left_semi"))
+    ``stored`` holds the chunks of these documents, at least.
+    """
+    fresh = chunk_documents(documents)
     if stored is None:
-        return enrich(fresh)
-    current = stored.join(touched, "document_id", "left_semi")
-    renewed = apply_index_diff(diff_chunks(fresh, current), current, enrich)
-    return stored.join(touched, "document_id", "left_anti").unionByName(renewed.select(*stored.columns))
-
-
-def store_batch(spark: SparkSession, root: str, base: int, name: str, done: Ingested, tables: dict[str, DataFrame], config: str) -> None:
-    """Re-index the documents a batch changed and make all its tables current together."""
-    touched = write_table(done.documents.changed.select("document_id").distinct(), "touched")
-    documents = write_table(done.documents.snapshot, "documents")
-    chunks = refresh_index(documents, touched, tables.get("chunks"), enrich_chunks(config=config))
-    write_snapshot(
-        spark, root, {name: done.records.snapshot, "documents": documents, "chunks": chunks}, {"documents": ["source_type"]}, base
+        return enrich(fresh).withColumn(DELETED, F.lit(False))
+    current = narrow(stored, documents, "document_id").join(documents.select("document_id"), "document_id", "left_semi")
+    diff = write_table(diff_chunks(fresh, current.select(*CHUNK_KEY, "content_hash")), "chunk-diff")
+    changed = enrich(diff.filter(F.col("action").isin("created", "updated")).drop("action")).withColumn(DELETED, F.lit(False))
+    gone = diff.filter(F.col("action") == "deleted").select(*CHUNK_KEY).withColumn(DELETED, F.lit(True))
+    return changed.unionByName(gone, allowMissingColumns=True)
+
+
+def store_batch(spark: SparkSession, root: str, base: int, name: str, key: str, done: Ingested, chunks: Callable[[DataFrame], DataFrame | None], config: str) -> None:
+    """Re-index the documents a batch changed and make the changes of all its tables current together."""
+    documents = write_table(done.documents.written, "documents")
+    if documents.isEmpty() and done.records.written.isEmpty():
+        return
+    renewed = refresh_index(documents, chunks(documents), enrich_chunks(config=config))
+    apply_changes(
+        spark, root,
+        {
+            name: Changes(done.records.written, (key,)),
+            "documents": Changes(documents, ("document_id",)),
+            "chunks": Changes(renewed, tuple(CHUNK_KEY), ("document_id",)),
+        },
+        base,
     )
 
 
+def stored_rows(spark: SparkSession, root: str, base: int, name: str, keys: DataFrame) -> DataFrame | None:
+    """Rows of the buckets that ``keys`` fall into, or None where the table is new."""
+    return read_buckets(spark, root, base, name, touched_buckets(spark, root, base, name, keys))
+
+
 def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> None:
     """Upsert one batch of (page_file, value) study pages into the tables under ``root``.
 
-    A key is compared by hash, so running a batch again leaves the tables as they are.
-    A page that cannot be read fails the batch; nothing of it is stored.
+    Only buckets that hold a key of the batch are read and written. A key is compared
+    by hash, so running a batch again leaves the tables as they are. A page that cannot
+    be read fails the batch; nothing of it is stored.
     """
     spark = pages.sparkSession
     base = current_version(spark, root)
-    tables = read_snapshot(spark, root)
     studies = number_arrivals(only_readable(split_pages(pages)), STUDY_ARRIVAL)
-    done = ingest_trials(studies, tables.get("trials"), tables.get("documents"), F.current_timestamp())
-    store_batch(spark, root, base, "trials", done, tables, config)
+    normalized = write_table(normalize_trials(studies, keep=("seq",)), "trial-batch")
+    ids = normalized.filter("nct_id <> ''").select("nct_id", F.concat(F.lit("trial:"), "nct_id").alias("document_id"))
+    trials, documents = (stored_rows(spark, root, base, n, ids) for n in ("trials", "documents"))
+    done = upsert_trials(normalized, trials, documents, F.current_timestamp())
+    store_batch(spark, root, base, "trials", "nct_id", done, lambda d: stored_rows(spark, root, base, "chunks", d), config)
 
 
 def apply_article_batch(articles: DataFrame, root: str, config: str = "english") -> None:
     """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
     spark = articles.sparkSession
     base = current_version(spark, root)
-    tables = read_snapshot(spark, root)
-    trials = tables["trials"] if "trials" in tables else empty(spark, "trials")
-    done = ingest_publications(
-        number_arrivals(articles, ARRIVAL), tables.get("publications"), trials, tables.get("documents"), F.current_timestamp()
-    )
-    store_batch(spark, root, base, "publications", done, tables, config)
-
-
-def _run(rows: DataFrame, apply, root: str, checkpoint: str) -> StreamingQuery:
+    normalized = write_table(normalize_publications(number_arrivals(articles, ARRIVAL), keep=("seq",)), "publication-batch")
+    ids = normalized.select("pmid", F.concat(F.lit("publication:"), "pmid").alias("document_id"))
+    publications, documents = (stored_rows(spark, root, base, n, ids) for n in ("publications", "documents"))
+    named = normalized.select(F.explode("linked_nct_ids").alias("nct_id"))
+    trials = stored_rows(spark, root, base, "trials", named)
+    done = upsert_publications(normalized, publications, empty(spark, "trials") if trials is None else trials, documents, F.current_timestamp())
+    store_batch(spark, root, base, "publications", "pmid", done, lambda d: stored_rows(spark, root, base, "chunks", d), config)
+
+
+def until_stored(apply: Callable[[], None], tries: int = 20) -> None:
+    """Run a batch, and again when another writer changed what it read; its upserts then start from the new tables."""
+    for left in range(tries - 1, -1, -1):
+        try:
+            return apply()
+        except SnapshotConflict:
+            if not left:
+                raise
+
+
+def _run(rows: DataFrame, apply, root: str, checkpoint: str, config: str) -> StreamingQuery:
     return (
-        rows.writeStream.foreachBatch(lambda batch, number: apply(batch, root))
+        rows.writeStream.foreachBatch(lambda batch, number: until_stored(lambda: apply(batch, root, config)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def stream_studies(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
+def stream_studies(spark: SparkSession, landing: str, root: str, checkpoint: str, config: str = "english", files_per_batch: int = 10_000) -> StreamingQuery:
     """Ingest every study page not seen before, then stop; start again at any time."""
     pages = (
-        spark.readStream.schema("value string").option("wholetext", True).text(landing)
+        spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(landing)
         .select(F.col("_metadata.file_path").alias("page_file"), "value")
     )
-    return _run(pages, apply_study_batch, root, checkpoint)
+    return _run(pages, apply_study_batch, root, checkpoint, config)
 
 
-def stream_articles(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
+def stream_articles(spark: SparkSession, landing: str, root: str, checkpoint: str, config: str = "english", files_per_batch: int = 10_000) -> StreamingQuery:
     """Ingest every article set not seen before, then stop; start again at any time."""
-    pieces = spark.readStream.schema("value string").option("lineSep", ARTICLE_END).text(landing)
+    pieces = spark.readStream.schema("value string").option("lineSep", ARTICLE_END).option("maxFilesPerTrigger", files_per_batch).text(landing)
     placed = pieces.select("value", F.col("_metadata.file_path").alias("page_file"), F.col("_metadata.file_block_start").alias("page_block"))
-    return _run(placed, lambda batch, target: apply_article_batch(cut_articles(batch), target), root, checkpoint)
+    return _run(placed, lambda batch, target, how: apply_article_batch(cut_articles(batch), target, how), root, checkpoint, config)

@@ -384,3 +384,117 @@ def test_incremental_articles(spark, tmp_path):
     assert {r.document_id for r in tables["chunks"].collect()} == {"trial:NCT00000001", "publication:1", "publication:2"}
     # The title alone changed between the two copies, so the document kept the first one.
     assert tables["documents"].filter("source_identifier = '1'").first().title == "Old"
+
+
+def test_a_reader_never_sees_half_a_version(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path / "tables"), spark.range(3)
+    snapshots.write_snapshot(spark, root, {"a": rows})
+    real, seen = snapshots._publish, []
+
+    def watched(session, place, version, entry):
+        seen.append((snapshots.current_version(session, place), sorted(snapshots.read_snapshot(session, place))))
+        return real(session, place, version, entry)
+
+    monkeypatch.setattr(snapshots, "_publish", watched)
+    snapshots.write_snapshot(spark, root, {"b": rows})
+    assert seen == [(1, ["a"])]
+    # A crash before the rename leaves the version before it, and its number free.
+    monkeypatch.setattr(snapshots, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        snapshots.write_snapshot(spark, root, {"a": rows.limit(1)})
+    monkeypatch.setattr(snapshots, "_publish", real)
+    assert snapshots.current_version(spark, root) == 2 and snapshots.read_snapshot(spark, root)["a"].count() == 3
+    assert not [p for p in (tmp_path / "tables" / "_log").iterdir() if p.name.startswith(".") and p.suffix != ".crc"]
+    assert not real(spark, root, 2, {"version": 2, "tables": {}, "changed": {}})
+
+
+def test_writers_of_different_tables_and_buckets_both_commit(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    keyed = spark.createDataFrame([(f"k{k}", k) for k in range(50)], "key string, value long")
+    snapshots.write_snapshot(spark, root, {"whole": keyed})
+    base = snapshots.apply_changes(spark, root, {"t": snapshots.Changes(keyed, ("key",), buckets=16)}, 1)
+    # Both start from the same version; the first changes another table, then the buckets of other keys.
+    snapshots.write_snapshot(spark, root, {"other": keyed}, base=base)
+    place = {r["key"]: r["b"] for r in keyed.select("key", snapshots.bucket_of(["key"], 16).alias("b")).collect()}
+    one = next(k for k in place if place[k] != place["k0"])
+    first, second = (keyed.filter(F.col("key") == k).withColumn("value", F.lit(v)) for k, v in (("k0", 1000), (one, 2000)))
+    snapshots.apply_changes(spark, root, {"t": snapshots.Changes(first, ("key",))}, base)
+    snapshots.apply_changes(spark, root, {"t": snapshots.Changes(second, ("key",))}, base)
+    now = {r.key: r.value for r in snapshots.read_snapshot(spark, root)["t"].collect()}
+    assert now == {f"k{k}": k for k in range(50)} | {"k0": 1000, one: 2000}
+    with pytest.raises(snapshots.SnapshotConflict):
+        snapshots.apply_changes(spark, root, {"t": snapshots.Changes(first, ("key",))}, base)
+    with pytest.raises(snapshots.SnapshotConflict):
+        snapshots.write_snapshot(spark, root, {"other": keyed}, base=base)
+    assert snapshots.read_snapshot(spark, root, base)["t"].filter("value > 900").count() == 0
+
+
+def test_keyed_tables_keep_the_latest_row_through_compaction(spark, tmp_path):
+    root, rng, want = str(tmp_path / "tables"), random.Random(5), {}
+    base, shape = 0, "key string, part int, value long, _deleted boolean"
+    for batch in range(11):
+        rows = {(f"k{rng.randrange(12)}", rng.randrange(2)): (rng.randrange(1000), rng.random() < 0.2) for _ in range(1 if batch % 3 else 12)}
+        changes = spark.createDataFrame([(k, p, v, d) for (k, p), (v, d) in rows.items()], shape)
+        before = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"].get("t", {"held": {}})["held"]
+        version = snapshots.apply_changes(spark, root, {"t": snapshots.Changes(changes, ("key", "part"), ("key",), 8)}, base)
+        base = snapshots.current_version(spark, root)
+        for key, (value, gone) in rows.items():
+            want.pop(key, None)
+            if not gone:
+                want[key] = value
+        table = snapshots._entry(spark, root, version)["tables"]["t"]
+        changed = {b for b in table["held"] if table["held"][b] != before.get(b)}
+        assert changed == {str(b) for b in snapshots.touched_buckets(spark, root, version, "t", changes)}  # other buckets stay as they are
+        found = snapshots.read_snapshot(spark, root)["t"]
+        assert found.columns == ["key", "part", "value"] and {(r.key, r.part): r.value for r in found.collect()} == want
+        some = snapshots.touched_buckets(spark, root, base, "t", changes)
+        part = {(r.key, r.part): r.value for r in snapshots.read_buckets(spark, root, base, "t", some).collect()}
+        assert part.items() <= want.items() and {k: v for k, v in want.items() if k in rows} == {k: v for k, v in part.items() if k in rows}
+    held = snapshots._entry(spark, root, base)["tables"]["t"]["held"]
+    assert any(level for runs in held.values() for _, level in runs)  # something was merged
+    assert all(sum(1 for _, own in runs if own == level) < snapshots.TIER for runs in held.values() for level in {own for _, own in runs})
+
+
+def test_a_small_batch_writes_only_its_buckets(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    pages = lambda *s: spark.createDataFrame([("p1.json", json.dumps({"studies": list(s)}))], "page_file string, value string")
+    incremental.apply_study_batch(pages(*[study(f"NCT{k:08d}", f"T{k}", f"words of study {k}") for k in range(40)]), root, "simple")
+    first = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
+    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")
+    second = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
+    for name in ("trials", "documents", "chunks"):
+        assert sum(second[name]["held"][b] != first[name]["held"].get(b) for b in second[name]["held"]) == 1
+    tables = snapshots.read_snapshot(spark, root)
+    assert tables["chunks"].count() == 40 and tables["chunks"].filter("text = 'other words'").count() == 1
+    version = snapshots.current_version(spark, root)
+    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")  # nothing new: nothing written
+    assert snapshots.current_version(spark, root) == version
+
+
+def test_a_stream_outlives_a_conflict(spark, tmp_path, monkeypatch):
+    root, landing = str(tmp_path / "tables"), tmp_path / "landing"
+    landing.mkdir()
+    incremental.apply_study_batch(spark.createDataFrame([("p0.json", json.dumps({"studies": [study("NCT00000001", "One", "alpha")]}))], "page_file string, value string"), root, "simple")
+    (landing / "p1.json").write_text(json.dumps({"studies": [study("NCT00000001", "Two", "beta")]}))
+    real, calls = incremental.apply_changes, []
+
+    def raced(session, place, changes, base):
+        calls.append(base)
+        if len(calls) == 1:  # another writer is faster
+            real(session, place, {"documents": snapshots.Changes(snapshots.read_snapshot(session, place)["documents"].withColumn("title", F.lit("raced")), ("document_id",))}, base)
+        return real(session, place, changes, base)
+
+    monkeypatch.setattr(incremental, "apply_changes", raced)
+    incremental.stream_studies(spark, str(landing), root, str(tmp_path / "checkpoint"), "simple").awaitTermination(120)
+    assert len(calls) == 2 and snapshots.read_snapshot(spark, root)["chunks"].first().text == "beta"
+
+
+def test_arrival_numbers_follow_the_order_without_moving_rows(spark):
+    rows = [(n, f"f{n}-{b}", p * 3, f"{n}-{b}-{p}") for n in (2, 0, 1) for b in range(3) for p in range(4)]
+    frame = spark.createDataFrame(rows, "page_number long, page_file string, position long, raw string").repartition(5)
+    numbered = ingest.number_arrivals(frame, ["page_number", "page_file", "position"])
+    got = [r.raw for r in numbered.orderBy("seq").collect()]
+    assert got == [r[3] for r in sorted(rows)] and numbered.select("seq").distinct().count() == len(rows)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert ingest.number_arrivals(frame.limit(0), ["page_number", "page_file", "position"]).count() == 0
