@@ -585,7 +585,7 @@ def r11_fusion(spark, folder):
 def _search(mode, top_k=settings.SEARCH_TOP_K):
     def run(spark, folder):
         return retrieval.search(
-            inputs.questions(spark, folder), inputs.index(spark, folder), inputs.documents(spark, folder), mode, top_k, config="simple"
+            inputs.questions(spark, folder), inputs.index(spark, folder), inputs.documents(spark, folder), mode, top_k, config="simple", postings=_postings(spark, folder)
         )
 
     return run
@@ -847,14 +847,16 @@ def _labelled(spark, folder):
     return inputs.labelled_questions(spark, folder, truth), truth
 
 
-def _results(mode):
-    def run(spark, folder):
-        asked, truth = _labelled(spark, folder)
-        return evaluation.run_evaluation(
-            asked, truth, inputs.index(spark, folder), inputs.documents(spark, folder), mode, config="simple", expected=None
-        )
+def _all_results(spark, folder):
+    """All modes in one evaluation, searched through the inverted index."""
+    asked, truth = _labelled(spark, folder)
+    return evaluation.evaluate_modes(
+        asked, truth, inputs.index(spark, folder), inputs.documents(spark, folder), config="simple", expected=None, postings=_postings(spark, folder)
+    )
+
 
-    return lambda spark, folder: _once(spark, folder, f"results-{mode}", run)
+def _results(mode):
+    return lambda spark, folder: _once(spark, folder, "results", _all_results).filter(F.col("mode") == mode).drop("mode")
 
 
 def e1_question_problems(spark, folder):
@@ -949,8 +951,7 @@ def e13_cited_identifiers(spark, folder):
 
 
 def e14_mode_sweep(spark, folder):
-    runs = [_results(mode)(spark, folder).withColumn("mode", F.lit(mode)) for mode in settings.MODES]
-    return _rounded(evaluation.summarize(reduce(DataFrame.unionByName, runs), ["mode"]), "mode")
+    return _rounded(evaluation.summarize(_once(spark, folder, "results", _all_results), ["mode"]), "mode")
 
 
 def e15_report_lines(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark import settings
+from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.operators.grounding import (
     ANSWER_REQUEST,
     EVIDENCE_FIELDS,
@@ -14,7 +15,7 @@ from groundspark.operators.grounding import (
     finalize_answers,
     scripted_answer,
 )
-from groundspark.runtime import skew_join
+from groundspark.runtime import narrow, skew_join, write_table
 
 DEFAULT_QUESTION = "How do the design, population and outcomes of these two trials differ?"
 NO_SIDE_EVIDENCE = "(nothing was found for this trial)"
@@ -27,29 +28,24 @@ COMPARISON_SYSTEM_TEXT = (
 )
 
 
-def trial_chunks(documents: DataFrame, chunks: DataFrame, limit: int = settings.MAX_CHUNKS_PER_TRIAL) -> DataFrame:
-    """First ``limit`` chunks of each trial: (nct_id, place, evidence fields).
+def trial_chunks(documents: DataFrame, chunks: DataFrame, limit: int = settings.MAX_CHUNKS_PER_TRIAL, wanted: DataFrame | None = None) -> DataFrame:
+    """First ``limit`` chunks of each trial, or of those ``wanted`` (nct_id): (nct_id, place, evidence fields).
 
-    Chunks are cut per document before any join, so a long document never
-    reaches one task whole.
+    Chunks are picked by their keys alone, per document and then per trial; text
+    joins what was picked.
     """
-    in_document = Window.partitionBy("document_id").orderBy("chunk_index")
-    heads = (
-        chunks.select("document_id", "chunk_index", F.col("text").alias("excerpt"))
-        .withColumn("_n", F.row_number().over(in_document))
-        .filter(F.col("_n") <= limit)
-        .drop("_n")
-    )
     trials = documents.filter(F.col("source_type") == "trial").select(
         F.col("source_identifier").alias("nct_id"), "document_id", "source_type", "source_identifier", "source_url", "title"
     )
-    in_trial = Window.partitionBy("nct_id").orderBy("document_id", "chunk_index")
-    return (
-        trials.join(heads, "document_id")
-        .withColumn("place", F.row_number().over(in_trial))
-        .filter(F.col("place") <= limit)
-        .select("nct_id", "place", *EVIDENCE_FIELDS)
-    )
+    if wanted is not None:
+        trials = narrow(trials, wanted, "nct_id").join(wanted.select("nct_id").distinct(), "nct_id", "left_semi")
+    trials = write_table(trials, "wanted-trials")
+    in_document, in_trial = Window.partitionBy("document_id").orderBy("chunk_index"), Window.partitionBy("nct_id").orderBy("document_id", "chunk_index")
+    heads = narrow(chunks.select(*CHUNK_KEY), trials, "document_id").withColumn("_n", F.row_number().over(in_document)).filter(F.col("_n") <= limit)
+    picked = heads.join(trials.select("nct_id", "document_id"), "document_id").withColumn("place", F.row_number().over(in_trial)).filter(F.col("place") <= limit)
+    picked = write_table(picked.select("nct_id", "place", *CHUNK_KEY), "picked-chunks")
+    texts = narrow(chunks.select(*CHUNK_KEY, F.col("text").alias("excerpt")), picked, "document_id").join(picked, CHUNK_KEY)
+    return texts.join(trials, ["nct_id", "document_id"]).select("nct_id", "place", *EVIDENCE_FIELDS)
 
 
 def trial_states(trials: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.stemming import stem
-from groundspark.functions.text import bind
 
 # English stop words of the Snowball project.
 STOPWORDS = (
@@ -78,27 +79,44 @@ def with_lexemes(rows: DataFrame, config: str = "english", text_column: str = "t
     return kept.withColumn("lexemes", lexemes).withColumn("positions", F.col("_kept.position")).drop("_kept")
 
 
-def lexeme_entries(lexemes: Column, positions: Column) -> Column:
-    """array<struct<lexeme, tf, positions>> of one row, as runs of its sorted occurrences."""
-    occurrences = F.sort_array(F.arrays_zip(lexemes.alias("lexeme"), positions.alias("position")))
-
-    def runs(found: Column) -> Column:
-        places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-        first = F.filter(
-            places, lambda i: (i == 0) | (F.get(found, i)["lexeme"] != F.get(found, i - 1)["lexeme"])
-        )
+ENTRIES = pa.list_(pa.struct([("lexeme", pa.string()), ("tf", pa.int32()), ("positions", pa.list_(pa.int32()))]))
+ENTRIES_DDL = "array<struct<lexeme:string,tf:int,positions:array<int>>>"
+
+
+def count_entries(lexemes: pa.ListArray, positions: pa.ListArray) -> pa.ListArray:
+    """Entries of each row in order of lexemes; rows are counted together, as sorted codes."""
+    sizes = pc.fill_null(pc.list_value_length(lexemes), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lexemes)), sizes)
+    coded = lexemes.flatten().dictionary_encode()
+    words = coded.dictionary
+    # Codes in order of the words' bytes.
+    by_bytes = pc.array_sort_indices(words.cast(pa.binary())).to_numpy()
+    rank = np.empty(len(words), np.int64)
+    rank[by_bytes] = np.arange(len(words))
+    word = rank[coded.indices.to_numpy(zero_copy_only=False)] if len(row) else np.zeros(0, np.int64)
+    place = positions.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((place, word, row))
+    row, word, place = row[order], word[order], place[order]
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+    ends = np.append(first, len(row)).astype(np.int32)
+    entries = pa.StructArray.from_arrays(
+        [words.take(pa.array(by_bytes[word[first]])), pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32)))],
+        fields=list(ENTRIES.value_type),
+    )
+    held = np.zeros(len(lexemes) + 1, np.int32)
+    np.cumsum(np.bincount(row[first], minlength=len(lexemes)), out=held[1:])
+    return pa.ListArray.from_arrays(pa.array(held), entries)
 
-        def entries(starts: Column) -> Column:
-            def entry(start: Column, i: Column) -> Column:
-                tf = F.coalesce(F.get(starts, i + 1), F.size(found)) - start
-                at = F.transform(F.slice(found, start + 1, tf), lambda o: o["position"])
-                return F.struct(F.get(found, start)["lexeme"].alias("lexeme"), tf.alias("tf"), at.alias("positions"))
 
-            return F.transform(starts, entry)
+def lexeme_entries(lexemes: Column, positions: Column) -> Column:
+    """array<struct<lexeme, tf, positions>> of one row: its distinct lexemes in order."""
 
-        return bind(first, entries)
+    @F.arrow_udf(ENTRIES_DDL)
+    def entries(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for words, places in batches:
+            yield count_entries(words, places)
 
-    return bind(occurrences, runs)
+    return entries(lexemes, positions)
 
 
 def postings(chunks: DataFrame) -> DataFrame:

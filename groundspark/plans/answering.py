@@ -62,7 +62,8 @@ def compare(
     trials = documents.filter(F.col("source_type") == "trial").select(F.col("source_identifier").alias("nct_id"))
     requests = write_table(check_pairs(pairs, trials), "requests")
     accepted = requests.filter(F.col("status") == "ok")
-    evidence = write_table(pair_evidence(accepted, trial_chunks(documents, chunks, limit)), "pair-evidence")
+    named = accepted.select(F.explode(F.array("nct_a", "nct_b")).alias("nct_id"))
+    evidence = write_table(pair_evidence(accepted, trial_chunks(documents, chunks, limit, named)), "pair-evidence")
     answers = generate_comparisons(accepted, evidence, texts)
     numbered = evidence.withColumnRenamed("pair_id", "query_id")
     sides = accepted.select(F.col("pair_id").alias("query_id"), "nct_a", "nct_b")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from groundspark import settings
 from groundspark.operators.grounding import citation_rows, generate_answers
-from groundspark.operators.metrics import confusion_columns, document_order, question_problems
-from groundspark.plans.retrieval import Provider, search
+from groundspark.operators.metrics import confusion_columns, document_order, ordered_list, question_problems
+from groundspark.plans.retrieval import Provider, search_modes
 from groundspark.runtime import write_table
 
 SCRIPTED_NOTE = "The responder was scripted, so citation figures show its rules, not a model."
@@ -24,6 +24,8 @@ def question_results(questions: DataFrame, truth: DataFrame, retrieved: DataFram
     source_identifier), answers (query_id, status). Everything is counted, so a
     question may have any number of true documents. A metric is null where it
     has no meaning: recall and rank without truth, citations without an answer.
+    ``retrieved`` and ``cited`` keep their sources in order; they are as long as the
+    evidence at most. True sources may be any number and stay rows of ``truth``.
     """
     true = truth.select(F.col("id").alias("query_id"), "source_identifier").distinct().withColumn("_true", F.lit(True))
     pair = ["query_id", "source_identifier"]
@@ -40,6 +42,8 @@ def question_results(questions: DataFrame, truth: DataFrame, retrieved: DataFram
         .join(n_true, "query_id", "left")
         .join(found, "query_id", "left")
         .join(citations, "query_id", "left")
+        .join(ordered_list(retrieved, "place", "source_identifier", "retrieved"), "query_id", "left")
+        .join(ordered_list(cited, "place", "source_identifier", "cited"), "query_id", "left")
         .fillna(0, ["n_true", "found_in_5", "n_cited", "n_cited_true"])
     )
     n_true_, n_cited, n_right = F.col("n_true"), F.col("n_cited"), F.col("n_cited_true")
@@ -56,6 +60,8 @@ def question_results(questions: DataFrame, truth: DataFrame, retrieved: DataFram
         F.when(n_true_ > 0, F.coalesce(F.lit(1.0) / F.col("first_place"), F.lit(0.0))).alias("reciprocal_rank"),
         F.when(answered, F.coalesce(F.try_divide(n_right, n_cited), nothing_cited)).alias("citation_correctness"),
         F.when(answered, F.coalesce(F.try_divide(n_right, n_true_), F.lit(1.0))).alias("citation_completeness"),
+        F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"),
+        F.coalesce("cited", F.array().cast("array<string>")).alias("cited"),
     )
 
 
@@ -65,8 +71,8 @@ def cited_identifiers(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return document_order(cited)
 
 
-def check_questions(questions: DataFrame, truth: DataFrame, documents: DataFrame, expected: tuple[int, int, int]) -> None:
-    """Raise with the first problems of the question set, if it has any."""
+def check_questions(questions: DataFrame, truth: DataFrame, documents: DataFrame, expected: tuple[int, int, int] | None) -> None:
+    """Raise with the first problems of the question set, if it has any; without ``expected`` it may have any size."""
     problems = write_table(question_problems(questions, truth, documents, expected), "question-problems")
     found = problems.limit(20).collect()
     if found:
@@ -75,24 +81,40 @@ def check_questions(questions: DataFrame, truth: DataFrame, documents: DataFrame
 
 
 def run_evaluation(
+    questions: DataFrame, truth: DataFrame, index: DataFrame, documents: DataFrame, mode: str = "hybrid", **options
+) -> DataFrame:
+    """Per-question results of one mode, for all questions in one job; options as for ``evaluate_modes``."""
+    return evaluate_modes(questions, truth, index, documents, (mode,), **options).drop("mode")
+
+
+def evaluate_modes(
     questions: DataFrame,
     truth: DataFrame,
     index: DataFrame,
     documents: DataFrame,
-    mode: str = "hybrid",
+    modes: tuple[str, ...] = settings.MODES,
     texts: DataFrame | None = None,
     provider: Provider | None = None,
     config: str = "english",
     expected: tuple[int, int, int] | None = settings.EXPECTED_QUESTIONS,
+    postings: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-question results of one mode, for all questions in one job."""
-    if expected is not None:
-        check_questions(questions, truth, documents, expected)
+    """Per-question results of several retrieval modes, with a ``mode`` column.
+
+    The question set is checked once, each ranking made once, and the evidence of all
+    modes loaded and written once. ``postings`` is the inverted index to search by.
+    """
+    check_questions(questions, truth, documents, expected)
     asked = questions.select(F.col("id").alias("query_id"), F.col("question").alias("text"))
-    hits = search(asked, index, documents, mode, settings.ANSWER_TOP_K, provider=provider, config=config)
-    evidence = write_table(hits, "evidence")
-    answers = generate_answers(asked, evidence, texts)
-    return question_results(questions, truth, document_order(evidence), cited_identifiers(answers, evidence), answers)
+    hits = search_modes(asked, index, documents, modes, settings.ANSWER_TOP_K, provider=provider, config=config, postings=postings)
+    every = write_table(hits, "evidence")
+    runs = []
+    for mode in modes:
+        evidence = every.filter(F.col("mode") == mode).drop("mode")
+        answers = generate_answers(asked, evidence, texts)
+        results = question_results(questions, truth, document_order(evidence), cited_identifiers(answers, evidence), answers)
+        runs.append(results.withColumn("mode", F.lit(mode)))
+    return reduce(DataFrame.unionByName, runs)
 
 
 def summarize(results: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -110,16 +132,6 @@ def summarize(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def evaluate_modes(
-    questions: DataFrame, truth: DataFrame, index: DataFrame, documents: DataFrame, modes=settings.MODES, **options
-) -> DataFrame:
-    """Per-question results of several retrieval modes, with a ``mode`` column."""
-    runs = [
-        run_evaluation(questions, truth, index, documents, mode, **options).withColumn("mode", F.lit(mode)) for mode in modes
-    ]
-    return reduce(DataFrame.unionByName, runs)
-
-
 def evaluation_notes(mode: str, scripted: bool) -> list[str]:
     notes = [SCRIPTED_NOTE] if scripted else []
     if mode != "hybrid":

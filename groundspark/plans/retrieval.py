@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from groundspark.operators.embedding import hashing
 from groundspark.operators.fulltext import fulltext_from_postings, fulltext_search
 from groundspark.operators.fusion import matched_by, reciprocal_rank_fusion
 from groundspark.operators.lexemes import with_lexemes
-from groundspark.runtime import rows_fit
+from groundspark.runtime import rows_fit, text_fits_broadcast, write_table
 
 Provider = Callable[[DataFrame], DataFrame]
 BROADCAST_HITS = 200_000
@@ -45,45 +46,42 @@ def check_search(mode: str, top_k: int, max_k: int = settings.SEARCH_MAX_K) -> N
         raise ValueError(f"top_k must be between 1 and {max_k}")
 
 
-def fused_hits(
-    queries: DataFrame,
-    index: DataFrame,
-    mode: str,
-    top_k: int,
-    pool: int,
-    rrf_k: int,
-    provider: Provider | None,
-    config: str,
-    postings: DataFrame | None = None,
-) -> DataFrame:
-    """Fused ranking of chunk keys with the names of the lists that found them."""
+def ranked_lists(
+    queries: DataFrame, index: DataFrame, modes: tuple[str, ...], pool: int, provider: Provider | None, config: str, postings: DataFrame | None
+) -> dict[str, DataFrame]:
+    """The rankings that ``modes`` are fused from: ``fulltext``, ``dense`` or both."""
     asked = queries.filter(strip(F.col("text")) != "").select("query_id", "text")
-    rankings, labels = [], []
-    if mode in ("hybrid", "fulltext"):
+    lists = {}
+    if {"hybrid", "fulltext"} & set(modes):
         keywords = with_lexemes(asked, config)
-        rankings.append(
-            fulltext_search(keywords, index, pool) if postings is None else fulltext_from_postings(keywords, postings, pool)
-        )
-        labels.append("fulltext")
-    if mode in ("hybrid", "dense"):
-        rankings.append(dense_search((provider or hashing())(asked), index, pool))
-        labels.append("dense")
-    fused = reciprocal_rank_fusion(rankings, CHUNK_KEY, rrf_k, top_k)
+        lists["fulltext"] = fulltext_search(keywords, index, pool) if postings is None else fulltext_from_postings(keywords, postings, pool)
+    if {"hybrid", "dense"} & set(modes):
+        lists["dense"] = dense_search((provider or hashing())(asked), index, pool)
+    return lists
+
+
+def fuse(lists: dict[str, DataFrame], mode: str, top_k: int, rrf_k: int) -> DataFrame:
+    """Fused ranking of chunk keys in one mode, with the names of the lists that found them."""
+    labels = [name for name in lists if mode in ("hybrid", name)]
+    fused = reciprocal_rank_fusion([lists[name] for name in labels], CHUNK_KEY, rrf_k, top_k)
     return fused.withColumn("matched_by", matched_by(F.col("source_ranks"), labels))
 
 
 def load_results(hits: DataFrame, index: DataFrame, documents: DataFrame, few_hits: bool) -> DataFrame:
     """Hits with their text and source fields; hits whose chunk is gone are left out.
 
-    Text is joined only after the cut. ``few_hits`` says the hits were found to be
-    few enough to broadcast; then neither table is shuffled.
+    ``few_hits`` says the hits were found to be few enough to broadcast. Source fields
+    join first, and text last: the chunk table is then only scanned, as long as the
+    hits' own fields are measured to fit a broadcast.
     """
-    small = F.broadcast if few_hits else (lambda df: df)
-    texts = index.select(*CHUNK_KEY, F.col("text").alias("excerpt"))
+    extra = [c for c in hits.columns if c not in ("query_id", "rank", "score", "matched_by", "source_ranks", *CHUNK_KEY)]
+    slim = hits.select("query_id", *extra, "rank", *CHUNK_KEY, "score", "matched_by")
     sources = documents.select("document_id", "source_type", "source_identifier", "source_url", "title")
-    with_text = texts.join(small(hits), CHUNK_KEY)
-    return sources.join(small(with_text), "document_id").select(
-        "query_id", "rank", *CHUNK_KEY, "source_type", "source_identifier", "source_url", "title",
+    known = write_table(sources.join(F.broadcast(slim) if few_hits else slim, "document_id"), "hits")
+    texts = index.select(*CHUNK_KEY, F.col("text").alias("excerpt"))
+    fits = few_hits and text_fits_broadcast(known.select(F.concat_ws("", "source_url", "title", "source_identifier").alias("fields")), "fields")
+    return texts.join(F.broadcast(known) if fits else known, CHUNK_KEY).select(
+        "query_id", *extra, "rank", *CHUNK_KEY, "source_type", "source_identifier", "source_url", "title",
         "excerpt", "score", "matched_by",
     )
 
@@ -107,10 +105,33 @@ def search(
     the lexeme column of the chunks.
     """
     check_search(mode, top_k)
-    hits = fused_hits(queries, index, mode, top_k, pool, rrf_k, provider, config, postings)
+    hits = fuse(ranked_lists(queries, index, (mode,), pool, provider, config, postings), mode, top_k, rrf_k)
     return load_results(hits, index, documents, rows_fit(queries, BROADCAST_HITS // top_k))
 
 
+def search_modes(
+    queries: DataFrame,
+    index: DataFrame,
+    documents: DataFrame,
+    modes: tuple[str, ...] = settings.MODES,
+    top_k: int = settings.SEARCH_TOP_K,
+    pool: int = settings.CANDIDATE_POOL,
+    rrf_k: int = settings.RRF_K,
+    provider: Provider | None = None,
+    config: str = "english",
+    postings: DataFrame | None = None,
+) -> DataFrame:
+    """The rows of ``search`` in several modes, with a ``mode`` column.
+
+    Each ranking is made once and written, and text is joined once for all modes.
+    """
+    for mode in modes:
+        check_search(mode, top_k)
+    lists = {n: write_table(r, f"{n}-ranking") for n, r in ranked_lists(queries, index, modes, pool, provider, config, postings).items()}
+    hits = reduce(DataFrame.unionByName, [fuse(lists, mode, top_k, rrf_k).drop("source_ranks").withColumn("mode", F.lit(mode)) for mode in modes])
+    return load_results(hits, index, documents, rows_fit(queries, BROADCAST_HITS // (top_k * len(modes))))
+
+
 def search_response(queries: DataFrame, results: DataFrame, mode: str) -> DataFrame:
     """One row per question: (query_id, query, mode, results in rank order)."""
     fields = [c for c in results.columns if c not in ("query_id", "rank")]
