@@ -433,6 +433,8 @@ one AS (SELECT n.doc_id, min(t) AS t FROM named n JOIN documents d ON d.doc_id =
 SELECT CAST(d.doc_id AS VARCHAR) AS pmid, {nct('t')} AS linked_trial_id FROM documents d LEFT JOIN one USING (doc_id) WHERE d.doc_id % 2 = 1""",
     "d6_upsert_documents": f"""WITH {STUDIES}, {SECOND} SELECT nct_id AS source_identifier, CASE WHEN f.body IS NULL OR f.body <> s.body THEN s.brief_title ELSE f.brief_title END AS title, md5(coalesce(s.body, f.body)) AS text_md5,
   CASE WHEN f.nct_id IS NULL THEN '{SECOND_BATCH}' ELSE '{FIRST_BATCH}' END AS created_at, CASE WHEN s.nct_id IS NOT NULL AND (f.nct_id IS NULL OR s.body <> f.body) THEN '{SECOND_BATCH}' ELSE '{FIRST_BATCH}' END AS updated_at
+FROM second s FULL JOIN first f USING (nct_id)""",
+    "x1_stream_ingest": f"""WITH {STUDIES}, {SECOND} SELECT nct_id AS source_identifier, CASE WHEN f.body IS NULL OR f.body <> s.body THEN s.brief_title ELSE f.brief_title END AS title, md5(coalesce(s.body, f.body)) AS text_md5
 FROM second s FULL JOIN first f USING (nct_id)""",
     "d7_keyless_records": f"WITH {STUDIES} SELECT doc_id AS seq, brief_title FROM studies WHERE nct_id = ''",
     "d8_action_counts": "SELECT count_if(lang <> 'en') AS new, count_if(lang = 'en' AND doc_id % 3 = 0) AS updated, count_if(lang = 'en' AND doc_id % 3 <> 0) AS unchanged FROM documents",
@@ -468,6 +470,7 @@ SELECT lexeme, count(DISTINCT (document_id, chunk_index)) AS n_chunks, count(*)
     "r8_fulltext_words": f"""WITH RECURSIVE {CHUNKS}, asked AS (SELECT DISTINCT w AS query_id, w AS text FROM (SELECT unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[\\p{{L}}]{{4,}}')) AS w FROM pages)),
 {CHUNK_LEXEMES}, {QUESTION_LEXEMES}, {fulltext_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 6) AS score, rank FROM ft""",
     "r9_dense": f"WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {CHUNK_VECTORS}, {QUESTION_VECTORS}, {dense_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 9) AS score, rank FROM de",
+    "r10_all_lists": f"WITH RECURSIVE {CHUNKS}, {QUESTIONS}, {CHUNK_VECTORS}, {QUESTION_VECTORS}, {dense_cte(settings.CANDIDATE_POOL)} SELECT query_id, document_id, chunk_index, round(score, 9) AS score, rank FROM de WHERE score IS NOT NULL",
     "r11_fusion": """WITH ranks AS (SELECT doc_id // 40 AS query_id, doc_id AS item, 0 AS source, n_chars % 97 + 1 AS rank FROM documents UNION ALL SELECT doc_id // 40, doc_id % 50, 1, doc_id % 211 + 1 FROM documents),
 firsts AS (SELECT query_id, item, min(rank) FILTER (source = 0) AS rank_0, min(rank) FILTER (source = 1) AS rank_1 FROM ranks GROUP BY ALL)
 SELECT query_id, item, round(coalesce(1.0::DOUBLE / (60 + rank_0), 0) + coalesce(1.0::DOUBLE / (60 + rank_1), 0), 9) AS score, rank_0, rank_1 FROM firsts""",
@@ -483,7 +486,7 @@ FROM asked a LEFT JOIN found f USING (query_id) GROUP BY a.query_id""",
     "g2_prompts": f"""WITH {ANSWERS}, b AS (SELECT query_id, count(*) AS n, array_to_string(list({block('rank', 'excerpt', "source_type || ':' || source_identifier")} ORDER BY rank), {BREAK}) AS blocks FROM evidence GROUP BY ALL)
 SELECT query_id, coalesce(n, 0) AS n_evidence, md5(coalesce(blocks, '') || {BREAK} || 'Question: ' || query || {BREAK} || {quoted(gr.ANSWER_REQUEST)}) AS prompt_md5 FROM answers LEFT JOIN b USING (query_id)""",
     "g3_comparison_prompts": f"""WITH RECURSIVE {DOCS}, {CHUNKS}, {PAIRS}, b AS (SELECT pair_id, count(*) AS n, array_to_string(list({block('rank', 'excerpt', None)} ORDER BY rank) FILTER (side = 'A'), {BREAK}) AS a, array_to_string(list({block('rank', 'excerpt', None)} ORDER BY rank) FILTER (side = 'B'), {BREAK}) AS b FROM numbered GROUP BY ALL)
-SELECT pair_id, coalesce(n, 0) AS n_evidence, md5('## Trial A (' || nct_a || ')' || {BREAK} || coalesce(a, {quoted(cmp.NO_SIDE_EVIDENCE)}) || {BREAK} || '## Trial B (' || nct_b || ')' || {BREAK} || coalesce(b.b, {quoted(cmp.NO_SIDE_EVIDENCE)}) || {BREAK} || 'Comparison request: ' || question || {BREAK} || {quoted(gr.ANSWER_REQUEST)}) AS prompt_md5
+SELECT pair_id, coalesce(n, 0) AS n_evidence, md5({quoted(cmp.SIDE_HEADING.format("A"))} || nct_a || {BREAK} || coalesce(a, {quoted(cmp.NO_SIDE_EVIDENCE)}) || {BREAK} || {quoted(cmp.SIDE_HEADING.format("B"))} || nct_b || {BREAK} || coalesce(b.b, {quoted(cmp.NO_SIDE_EVIDENCE)}) || {BREAK} || {quoted(cmp.REQUEST_LINE)} || question || {BREAK} || {quoted(gr.ANSWER_REQUEST)}) AS prompt_md5
 FROM checked_pairs LEFT JOIN b USING (pair_id)""",
     "g4_system_texts": "SELECT item_id, true AS answer_marker, true AS comparison_marker FROM benchmark",
     "g5_citation_indices": f"WITH {ANSWERS}, {CITED} SELECT query_id, array_to_string(cited, ',') AS cited FROM cited",

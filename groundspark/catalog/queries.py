@@ -16,6 +16,7 @@ from groundspark.operators import grouping, integrity, lexemes, metrics, upsert
 from groundspark.plans import answering, evaluation, ingest, retrieval
 from groundspark.runtime import shared_folder, spread_input, write_table
 from groundspark.sources import articles, questions, snapshots, studies
+from groundspark.streaming import incremental
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -52,13 +53,7 @@ def _joined(values: Column, separator: str = "|") -> Column:
 def s1_study_pages(spark, folder):
     """Land result pages of the studies, then scan them in arrival order."""
     path = _fresh_path(spark, "study-pages")
-    page = F.expr(f"doc_id div {2 * inputs.STUDIES_PER_PAGE}").alias("page")
-    listed = inputs.raw_studies(spark, folder).groupBy(page).agg(
-        F.array_sort(F.collect_list(F.struct("doc_id", "raw"))).alias("studies")
-    )
-    body = F.array_join(F.transform("studies", lambda s: s["raw"]), ",")
-    landed = listed.select(F.format_string('{"studies":[%s],"nextPageToken":"%d"}', body, F.col("page") + 1).alias("value"))
-    landed.write.option("maxRecordsPerFile", 1).text(path)
+    _land_pages(inputs.raw_studies(spark, folder), path)
     scanned = studies.read_study_pages(spark, path)
     return scanned.select(
         F.try_variant_get("study", "$.protocolSection.identificationModule.briefTitle", "string").alias("brief_title"),
@@ -78,6 +73,15 @@ def s1_rejected_studies(spark, folder):
     return rejected.groupBy(F.col("position").cast("bigint").alias("position"), "reason").agg(F.count_distinct("page_file").alias("n_pages"))
 
 
+def _land_pages(raw, path):
+    """Studies (doc_id, raw) as result pages of some hundred, one file a page, beside those already landed."""
+    page = F.expr(f"doc_id div {2 * inputs.STUDIES_PER_PAGE}").alias("page")
+    listed = raw.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))).alias("studies"))
+    body = F.array_join(F.transform("studies", lambda s: s["raw"]), ",")
+    landed = listed.select(F.format_string('{"studies":[%s],"nextPageToken":"%d"}', body, F.col("page") + 1).alias("value"))
+    landed.write.option("maxRecordsPerFile", 1).mode("append").text(path)
+
+
 def _trials(spark, folder):
     return _once(spark, folder, "trial-rows", lambda s, f: studies.normalize_trials(inputs.parsed_studies(s, f), keep=("seq",)))
 
@@ -133,8 +137,7 @@ def s5_question_set(spark, folder):
 def s6_seed_corpus(spark, folder):
     """Land both kinds of files and run the whole ingest on them."""
     study_path, article_path = _fresh_path(spark, "seed-studies"), _fresh_path(spark, "seed-articles")
-    pages = inputs.raw_studies(spark, folder).groupBy(F.expr("doc_id div 400").alias("page")).agg(F.sort_array(F.collect_list("raw")).alias("raws"))
-    pages.select(F.format_string('{"studies":[%s]}', F.array_join("raws", ",")).alias("value")).write.option("maxRecordsPerFile", 1).text(study_path)
+    _land_pages(inputs.raw_studies(spark, folder), study_path)
     inputs.raw_articles(spark, folder).select(F.concat(F.lit("<PubmedArticleSet>"), "article_xml", F.lit("</PubmedArticleSet>")).alias("value")).write.text(article_path)
     trials, publications = ingest.seed_corpus(spark, study_path, article_path, _when(FIRST_BATCH))
     return trials.documents.snapshot.unionByName(publications.documents.snapshot).select(
@@ -279,7 +282,7 @@ def _first_ingest(spark, folder):
     return _stored[key]
 
 
-def _second_studies(spark, folder):
+def _second_raw(spark, folder):
     """Every third study recruits again; every fifth has a new title and text."""
     raw = inputs.raw_studies(spark, folder)
     key = F.col("doc_id")
@@ -287,7 +290,11 @@ def _second_studies(spark, folder):
     retitled = F.when(key % 5 == 0, F.regexp_replace(reopened, '"briefTitle":"', '"briefTitle":"New ')).otherwise(reopened)
     rewritten = F.when(key % 15 == 0, F.regexp_replace(retitled, '"detailedDescription":"', '"detailedDescription":"Amended. ')).otherwise(retitled)
     renamed = F.when(key % 8 == 0, F.regexp_replace(rewritten, '"nctId":"NCT0', '"nctId":"NCT9')).otherwise(rewritten)
-    return raw.select(key.alias("seq"), F.parse_json(renamed).alias("study"))
+    return raw.select("doc_id", renamed.alias("raw"))
+
+
+def _second_studies(spark, folder):
+    return _second_raw(spark, folder).select(F.col("doc_id").alias("seq"), F.parse_json("raw").alias("study"))
 
 
 def _second_trial_ingest(spark, folder):
@@ -301,6 +308,16 @@ def d3_upsert_trials(spark, folder):
     return merged.select("nct_id", "brief_title", "overall_status", _day(F.col("created_at")).alias("created_at"), _day(F.col("updated_at")).alias("updated_at"))
 
 
+def x1_stream_ingest(spark, folder):
+    """Two landings of study pages, streamed one after the other into keyed tables: the documents they leave."""
+    landing, root, checkpoint = (_fresh_path(spark, name) for name in ("landing", "stream-tables", "stream-checkpoint"))
+    for raw in (inputs.raw_studies(spark, folder), _second_raw(spark, folder)):
+        _land_pages(raw, landing)
+        incremental.stream_studies(spark, landing, root, checkpoint, config="simple").awaitTermination()
+    documents = snapshots.read_snapshot(spark, root)["documents"]
+    return documents.select("source_identifier", "title", F.md5("text").alias("text_md5"))
+
+
 def d4_upsert_publications(spark, folder):
     """Second batch changes every third article; only those are linked again."""
     trials, _ = _first_ingest(spark, folder)
@@ -570,6 +587,14 @@ def r10_approximate(spark, folder):
     return approximate.recall_against(dense.dense_search(asked, index, 10), found)
 
 
+def r10_all_lists(spark, folder):
+    """The approximate search with every list probed: the exact hits and scores."""
+    asked = embedding.hashing()(inputs.questions(spark, folder))
+    lists, centres = _lists(spark, folder)
+    hits = approximate.approximate_search(asked, lists, centres, settings.CANDIDATE_POOL, probes=len(centres))
+    return hits.select("query_id", "document_id", "chunk_index", F.round("score", 9).alias("score"), "rank")
+
+
 def r11_fusion(spark, folder):
     """Forty documents to a query, ranked by length and by id, the second list with repeats."""
     docs = table(spark, folder, "documents").select(F.expr("doc_id div 40").alias("query_id"), F.col("doc_id").alias("item"), "n_chars")
@@ -974,5 +999,5 @@ def evidence_for_questions(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     name: value
     for name, value in list(globals().items())
-    if callable(value) and name[0] in "sndrgpe" and name[1:2].isdigit()
+    if callable(value) and name[0] in "sndrgpex" and name[1:2].isdigit()
 }

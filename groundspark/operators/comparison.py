@@ -18,6 +18,8 @@ from groundspark.operators.grounding import (
 from groundspark.runtime import narrow, skew_join, write_table
 
 DEFAULT_QUESTION = "How do the design, population and outcomes of these two trials differ?"
+SIDE_HEADING = "Evidence on side {}, registered as "
+REQUEST_LINE = "To be compared: "
 NO_SIDE_EVIDENCE = "(nothing was found for this trial)"
 NO_PAIR_WARNING = "no evidence was found for either trial"
 COMPARISON_SYSTEM_TEXT = (
@@ -108,11 +110,11 @@ def build_comparison_prompts(pairs: DataFrame, numbered: DataFrame) -> DataFrame
     )
 
     def section(side: str, key: str, blocks: str) -> list[Column]:
-        return [F.lit(f"## Trial {side} ("), F.col(key), F.lit(")\n\n"), F.coalesce(blocks, F.lit(NO_SIDE_EVIDENCE)), F.lit("\n\n")]
+        return [F.lit(SIDE_HEADING.format(side)), F.col(key), F.lit("\n\n"), F.coalesce(blocks, F.lit(NO_SIDE_EVIDENCE)), F.lit("\n\n")]
 
     prompt = F.concat(
         *section("A", "nct_a", "blocks_a"), *section("B", "nct_b", "blocks_b"),
-        F.lit("Comparison request: "), F.col("question"), F.lit("\n\n" + ANSWER_REQUEST),
+        F.lit(REQUEST_LINE), F.col("question"), F.lit("\n\n" + ANSWER_REQUEST),
     )
     return pairs.join(grouped, "pair_id", "left").select(
         "pair_id", "question", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), prompt.alias("prompt")

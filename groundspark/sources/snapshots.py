@@ -42,12 +42,19 @@ class SnapshotConflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Changes:
-    """Rows of a batch, one a key; rows with ``_deleted`` true remove theirs."""
+    """Rows of a batch, one a key; rows with ``_deleted`` true remove theirs.
+
+    ``clustered`` sorts each run by the key, for readers that look up few keys. A table
+    that is ``derived`` follows from others of the same batch: where those meet no other
+    writer, it meets none.
+    """
 
     rows: DataFrame
     key: tuple[str, ...]
     bucket_by: tuple[str, ...] = ()
     buckets: int = BUCKETS
+    clustered: bool = False
+    derived: bool = False
 
 
 def _folder(spark: SparkSession, root: str):
@@ -160,7 +167,9 @@ def bucket_of(columns: Iterable[str], buckets: int) -> Column:
 
 def _write_run(spark: SparkSession, rows: DataFrame, table: dict, path: str) -> list[int]:
     """Write one run; returns the buckets it has. Large buckets become several files."""
-    placed = rows.withColumn(BUCKET, bucket_of(table["bucket_by"], table["buckets"])).hint("rebalance", BUCKET)
+    placed = rows.withColumn(BUCKET, bucket_of(table["bucket_by"], table["buckets"]))
+    order = [BUCKET, *table["key"]]
+    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order) if table["clustered"] else placed.hint("rebalance", BUCKET)
     writer = placed.write.partitionBy(BUCKET)
     for column in table["key"]:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -225,17 +234,18 @@ def apply_changes(spark: SparkSession, root: str, changes: dict[str, Changes], b
     Only the buckets that have changed rows are written. ``base`` is the version the
     changes were made from.
     """
-    current, added, changed = _entry(spark, root, base)["tables"], {}, {}
+    current, added, changed, met = _entry(spark, root, base)["tables"], {}, {}, {}
     for name, change in changes.items():
         rows = change.rows if DELETED in change.rows.columns else change.rows.withColumn(DELETED, F.lit(False))
         table = current.get(name) or {
-            "key": list(change.key), "bucket_by": list(change.bucket_by or change.key), "buckets": change.buckets,
+            "key": list(change.key), "bucket_by": list(change.bucket_by or change.key), "buckets": change.buckets, "clustered": change.clustered,
             "schema": T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]).jsonValue(), "paths": {}, "held": {},
         }
         rows = rows.select(*[f["name"] for f in table["schema"]["fields"]])
         run = uuid.uuid4().hex
         path = f"{root}/{name}/run-{run}"
         changed[name] = _write_run(spark, rows, table, path)
+        met[name] = [] if change.derived else changed[name]
         added[name] = (table, run, path)
 
     def make(tables: dict) -> None:
@@ -245,7 +255,7 @@ def apply_changes(spark: SparkSession, root: str, changes: dict[str, Changes], b
             for bucket in changed[name]:
                 own["held"].setdefault(str(bucket), []).append([run, 0])
 
-    version = commit(spark, root, base, changed, make)
+    version = commit(spark, root, base, met, make)
     for name in changes:
         try:
             compact(spark, root, name)

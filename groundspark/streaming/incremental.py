@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from groundspark.operators.chunking import CHUNK_KEY, chunk_documents, diff_chunks
+from groundspark.operators.lexemes import postings
 from groundspark.plans.ingest import Ingested, number_arrivals, upsert_publications, upsert_trials
 from groundspark.plans.retrieval import enrich_chunks
 from groundspark.runtime import narrow, write_table
@@ -34,18 +35,33 @@ def refresh_index(documents: DataFrame, stored: DataFrame | None, enrich) -> Dat
     return changed.unionByName(gone, allowMissingColumns=True)
 
 
+def changed_postings(renewed: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Changes of the inverted index that follow from changed chunks and the chunks they replace."""
+    fresh = postings(renewed.filter(~F.col(DELETED))).withColumn(DELETED, F.lit(False))
+    if stored is None:
+        return fresh
+    keys = renewed.select(*CHUNK_KEY)
+    before = narrow(stored, keys, "document_id").join(keys, CHUNK_KEY, "left_semi")
+    held = before.select(F.explode(F.array_distinct("lexemes")).alias("lexeme"), *CHUNK_KEY)
+    gone = held.join(fresh.select("lexeme", *CHUNK_KEY), ["lexeme", *CHUNK_KEY], "left_anti").withColumn(DELETED, F.lit(True))
+    return fresh.unionByName(gone, allowMissingColumns=True)
+
+
 def store_batch(spark: SparkSession, root: str, base: int, name: str, key: str, done: Ingested, chunks: Callable[[DataFrame], DataFrame | None], config: str) -> None:
     """Re-index the documents a batch changed and make the changes of all its tables current together."""
     documents = write_table(done.documents.written, "documents")
     if documents.isEmpty() and done.records.written.isEmpty():
         return
-    renewed = refresh_index(documents, chunks(documents), enrich_chunks(config=config))
+    stored = chunks(documents)
+    renewed = write_table(refresh_index(documents, stored, enrich_chunks(config=config)), "renewed-chunks")
     apply_changes(
         spark, root,
         {
             name: Changes(done.records.written, (key,)),
             "documents": Changes(documents, ("document_id",)),
             "chunks": Changes(renewed, tuple(CHUNK_KEY), ("document_id",)),
+            # One run a batch: a segment of the index, sorted by lexeme, that later ones override.
+            "postings": Changes(changed_postings(renewed, stored), ("lexeme", *CHUNK_KEY), buckets=1, clustered=True, derived=True),
         },
         base,
     )

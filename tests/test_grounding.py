@@ -127,7 +127,7 @@ def test_comparison(spark, two_trials):
     numbered = comparison.pair_evidence(accepted, comparison.trial_chunks(documents, chunks, 2))
     assert [(r.side, r["rank"], r.excerpt) for r in numbered.filter("pair_id = 0").orderBy("rank").collect()] == [("A", 1, "one-0"), ("A", 2, "one-1"), ("B", 3, "two-0")]
     prompts = {r.pair_id: r for r in comparison.build_comparison_prompts(accepted, numbered).collect()}
-    assert prompts[0].prompt.index("## Trial A (NCT00000001)") < prompts[0].prompt.index("one-1") < prompts[0].prompt.index("## Trial B") < prompts[0].prompt.index("two-0")
+    assert prompts[0].prompt.index("side A, registered as NCT00000001") < prompts[0].prompt.index("one-1") < prompts[0].prompt.index("side B, registered") < prompts[0].prompt.index("two-0")
     assert prompts[1].prompt.count(comparison.NO_SIDE_EVIDENCE) == 1 and prompts[2].prompt.count(comparison.NO_SIDE_EVIDENCE) == 2
     answers = {r.query_id: r for r in comparison.generate_comparisons(accepted, numbered).collect()}
     assert answers[0].cited == [1, 2, 3] and answers[2].status == "insufficient_evidence" and answers[2].warnings == [comparison.NO_PAIR_WARNING]

@@ -12,6 +12,7 @@ from groundspark import runtime, schemas
 from groundspark.operators import integrity, upsert
 from groundspark.plans import ingest
 from groundspark.plans.retrieval import build_index
+from groundspark.operators import fulltext, lexemes
 from groundspark.sources import articles, questions, snapshots, studies
 from groundspark.streaming import incremental
 
@@ -462,9 +463,17 @@ def test_a_small_batch_writes_only_its_buckets(spark, tmp_path):
     first = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
     incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")
     second = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
-    for name in ("trials", "documents", "chunks"):
+    for name in ("trials", "documents", "chunks", "postings"):
         assert sum(second[name]["held"][b] != first[name]["held"].get(b) for b in second[name]["held"]) == 1
     tables = snapshots.read_snapshot(spark, root)
+    # The index has one more segment, of the changed chunk alone, and reads like one built anew.
+    (old, _), (new, _) = second["postings"]["held"]["0"]
+    assert [old, 0] in first["postings"]["held"]["0"] and spark.read.parquet(second["postings"]["paths"][new]).count() < 10
+    built = lexemes.postings(tables["chunks"])
+    assert sorted(map(str, tables["postings"].select(*built.columns).collect())) == sorted(map(str, built.collect()))
+    asked = lexemes.with_lexemes(spark.createDataFrame([(1, "other"), (2, "study"), (3, "7")], "query_id long, text string"), "simple")
+    found = fulltext.fulltext_from_postings(asked, tables["postings"], 100).groupBy("query_id").count()
+    assert {r["query_id"]: r["count"] for r in found.collect()} == {1: 1, 2: 39}
     assert tables["chunks"].count() == 40 and tables["chunks"].filter("text = 'other words'").count() == 1
     version = snapshots.current_version(spark, root)
     incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")  # nothing new: nothing written
