@@ -11,7 +11,8 @@ know what is frequent from a bit table of bounded size, in which a rare one can
 for frequent; that costs work, and the counts, which are exact, then remove it.
 
 Word ids are 64-bit hashes of language and word, checked for collisions over all
-words counted and drawn anew if there is one.
+words counted and drawn anew if there is one. The most frequent words, as many as fit
+a bounded table, are coded by their rank instead, which keeps the runs small.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BURST = 4_096
 TRIE_ENTRIES = 500_000
 # Bit tables have eight bits a key, within these bounds: 64 MB at most.
 FEWEST_BITS, MOST_BITS = 16, 29
+# Words coded by rank: a table of 16 bytes each that every task is given.
+RANKED_WORDS = 1_000_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,11 +111,41 @@ class HatTrie:
 
 
 def word_ids(langs: np.ndarray, words: np.ndarray, seed: int) -> np.ndarray:
-    """Ids of words of a language: odd 64-bit numbers, so never 0."""
+    """Ids of words of a language: 64-bit numbers with the highest bit set, so never 0 or a rank."""
     key = f"phrases-{seed:08d}"
     own, lang = (pd.util.hash_array(a.astype(object), hash_key=key, categorize=False) for a in (words, langs))
     mixed = (own ^ (lang * SPREAD)) * SPREAD
-    return (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1)
+    return (mixed ^ (mixed >> np.uint64(29))) | np.uint64(1 << 63)
+
+
+class Ranks:
+    """The ids that are coded by rank, from 1; all others keep their id."""
+
+    def __init__(self, ids: np.ndarray, uses: np.ndarray):
+        order = np.lexsort((ids, -uses))
+        by_id = np.argsort(ids[order], kind="stable")
+        self.ids, self.rank = ids[order][by_id], (by_id + 1).astype(np.uint64)
+
+    def code(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of ids, and which of them are ranks."""
+        if not len(self.ids):
+            return ids, np.zeros(len(ids), bool)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        met = self.ids[at] == ids
+        return np.where(met, self.rank[at], ids), met
+
+
+def rank_words(frequent: DataFrame, most: int) -> Ranks:
+    """Ranks of the words with most uses: all from a power of two of uses on, so that they are at most ``most``."""
+    level = F.floor(F.log2("f")).cast("int").alias("level")
+    least, taken = 63, 0
+    for row in frequent.groupBy(level).count().orderBy(F.col("level").desc()).collect():
+        taken += row["count"]
+        if taken > most:
+            break
+        least = row["level"]
+    found = frequent.filter(F.col("f") >= F.lit(1 << least if least < 63 else (1 << 63) - 1)).select("id", "f").toArrow()
+    return Ranks(found.column("id").to_numpy().view(np.uint64), found.column("f").to_numpy())
 
 
 def cells(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -217,19 +250,37 @@ def count_words(docs: DataFrame, seed: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, seed):
-                ids = pa.array(block.ids[1:].view(np.int64))
-                made = pa.RecordBatch.from_arrays([block.langs.cast(pa.string()), block.words.cast(pa.string()), ids, pa.array(block.uses.astype(np.int64))], ["lang", "word", "id", "f"])
+                made = pa.RecordBatch.from_arrays([block.langs.cast(pa.string()), block.words.cast(pa.string()), pa.array(block.uses.astype(np.int64))], ["lang", "word", "f"])
                 yield made.filter(pa.array(block.is_word))
 
-    return docs.mapInArrow(count, "lang string, word string, id long, f long").groupBy("lang", "word", "id").agg(F.sum("f").alias("f"))
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = word_ids(*(np.array(batch.column(c).to_pylist(), object) for c in ("lang", "word")), seed) if batch.num_rows else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids.view(np.int64))], ["lang", "word", "f", "id"])
+
+    found = docs.mapInArrow(count, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
+    return found.mapInArrow(name, "lang string, word string, f long, id long")
+
+
+def coded(words: DataFrame, ranks: Ranks) -> DataFrame:
+    """``words`` with ``code``, the number they have in runs."""
+    shared = words.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, _ = shared.value.code(batch.column("id").to_numpy().view(np.uint64))
+            yield batch.append_column("code", pa.array(codes.view(np.int64)))
+
+    return words.mapInArrow(run, "lang string, word string, f long, id long, code long")
 
 
-def count_runs(docs: DataFrame, seed: int, tables: list, least: int, longest: int) -> DataFrame:
+def count_runs(docs: DataFrame, seed: int, ranks: Ranks, tables: list, least: int, longest: int) -> DataFrame:
     """Sorted runs of phrases (w1, ..., n) of all tasks, windows of ``least`` to ``longest`` words.
 
-    ``tables`` are bit tables of frequent words and, if given, of frequent pairs.
+    ``ranks`` and the first of ``tables``, which are bit tables, tell frequent words;
+    the second, if given, tells frequent pairs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, tables))
     names = [f"w{k + 1}" for k in range(longest)]
     entries, burst = TRIE_ENTRIES, BURST
 
@@ -245,18 +296,19 @@ def count_runs(docs: DataFrame, seed: int, tables: list, least: int, longest: in
                 held, rows = [], 0
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(longest, burst)
+        trie, (ranks, tables) = HatTrie(longest, burst), shared.value
         for batch in batches:
             for block in blocks(batch, seed):
-                good = known(block.ids[:, None], *shared.value[0])
+                named, good = ranks.code(block.ids)
+                good |= known(block.ids[:, None], *tables[0])
                 code = np.where(good[block.code], block.code, 0)
                 linked = (code[:-1] > 0) & (code[1:] > 0)
-                if len(shared.value) > 1:
+                if len(tables) > 1:
                     at = np.flatnonzero(linked)
-                    linked[at] = known(np.stack([block.ids[code[at]], block.ids[code[at + 1]]], axis=1), *shared.value[1])
+                    linked[at] = known(np.stack([named[code[at]], named[code[at + 1]]], axis=1), *tables[1])
                 found, counts = windows(code, linked, least, longest)
                 for a in range(0, len(found), entries):
-                    ids = block.ids[found[a : a + entries]].astype(">u8")
+                    ids = named[found[a : a + entries]].astype(">u8")
                     firsts = np.flatnonzero(np.diff(ids[:, 0], prepend=np.uint64(0)))
                     rests = np.ascontiguousarray(ids[:, 1:]).view(f"V{8 * (longest - 1)}").ravel().tolist()
                     numbers = counts[a : a + entries].tolist()
@@ -283,21 +335,23 @@ def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, Data
             break
         seed += 1
     frequent = words.filter(F.col("f") >= least)
-    tables = [key_table(frequent.select(F.col("id").alias("w1")), 1)]
-    pairs = count_runs(docs, seed, tables, 2, 2).repartition("w1", "w2").groupBy("w1", "w2").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+    ranks = rank_words(frequent, RANKED_WORDS)
+    frequent = write_table(coded(frequent.select("lang", "word", "f", "id"), ranks), "phrase-frequent")
+    tables = [key_table(frequent.filter("code < 0").select(F.col("id").alias("w1")), 1)]
+    pairs = count_runs(docs, seed, ranks, tables, 2, 2).repartition("w1", "w2").groupBy("w1", "w2").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     pairs = write_table(pairs, "phrase-pairs")
     tables.append(key_table(pairs, 2))
     # A window counts for each of its beginnings, all of which are in the window's own partition.
     none = F.lit(0).cast("long")
     ends = F.array(F.struct(none.alias("w4"), none.alias("w5")), F.struct("w4", none.alias("w5")), F.struct("w4", "w5"))
     ends = F.slice(ends, 1, F.when(F.col("w5") != 0, 3).when(F.col("w4") != 0, 2).otherwise(1))
-    longer = count_runs(docs, seed, tables, 3, LONGEST).repartition("w1", "w2", "w3").select("w1", "w2", "w3", F.inline(ends), "n")
+    longer = count_runs(docs, seed, ranks, tables, 3, LONGEST).repartition("w1", "w2", "w3").select("w1", "w2", "w3", F.inline(ends), "n")
     longer = longer.groupBy("w1", "w2", "w3", "w4", "w5").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
     zero = [none.alias(f"w{k}") for k in (3, 4, 5)]
     found = write_table(pairs.select("w1", "w2", *zero, "a").unionByName(longer), "phrase-counts")
 
-    parts = found.select("a", F.array("w1", "w2", "w3", "w4", "w5").alias("ids")).select("a", "ids", F.posexplode(F.filter("ids", lambda w: w != 0)).alias("pos", "id"))
-    named = skew_join(parts, frequent.select("id", "lang", "word"), "id", "inner", ["ids"])
+    parts = found.select("a", F.array("w1", "w2", "w3", "w4", "w5").alias("ids")).select("a", "ids", F.posexplode(F.filter("ids", lambda w: w != 0)).alias("pos", "code"))
+    named = skew_join(parts, frequent.select("code", "lang", "word"), "code", "inner", ["ids"])
     spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda w: w["word"]), " ")
     phrases = named.groupBy("ids", "a").agg(F.first("lang").alias("lang"), spelt.alias("phrase"), F.count("*").cast("int").alias("size"))
     single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("f").alias("a"))

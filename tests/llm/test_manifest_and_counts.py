@@ -197,6 +197,7 @@ def test_phrases_equal_brute_force(spark, monkeypatch, least, top):
     monkeypatch.setattr(phrases, "BURST", 3)
     monkeypatch.setattr(phrases, "FEWEST_BITS", 6)
     monkeypatch.setattr(phrases, "MOST_BITS", 6)
+    monkeypatch.setattr(phrases, "RANKED_WORDS", 5)
     assert sorted(map(tuple, phrases.collocations(docs, least, top).collect())) == want
 
 
