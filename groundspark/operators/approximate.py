@@ -6,17 +6,26 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.operators.dense import QUERIES_PER_PASS, Block, dense_search, no_hits, score_pass, search_in_blocks
 from groundspark.operators.embedding import unit_vector
+from groundspark.runtime import write_table
 
+# Rows that centres are learnt from: so many a list, and in one cell of lists at most.
 TRAINING_ROWS_PER_LIST = 256
+CELL_ROWS = 65_536
+HASHES = 1 << 40
+ROUNDS = 10
+# From so many lists on, a vector is compared with the lists of its nearest cells alone.
+FLAT_LISTS = 64
+NEAR_CELLS = 3
 ROWS_PER_FILE = 65_536
 # Questions searched exactly to choose probes, and the recall these must reach: some above 0.9, for other questions.
 CALIBRATION_QUERIES = 256
@@ -27,38 +36,94 @@ def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("vector").isNotNull() & (F.col("norm2") > 0))
 
 
+def cluster_units(points: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """Unit centres of at most ``count`` clusters of unit vectors."""
+    places = np.random.default_rng(seed).permutation(len(points))[:count]
+    centres = points[places].astype(np.float64)
+    for _ in range(ROUNDS if len(points) > count else 0):
+        nearest = (points @ centres.T).argmax(axis=1)
+        order = np.argsort(nearest, kind="stable")
+        found, begins = np.unique(nearest[order], return_index=True)
+        sums = np.add.reduceat(points[order].astype(np.float64), begins, axis=0)
+        lengths = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres[found] = np.where(lengths > 0, sums / np.maximum(lengths, 1e-30), centres[found])
+    return centres
+
+
 def train_lists(chunks: DataFrame, n_lists: int | None = None, seed: int = 42) -> np.ndarray:
-    """Unit centres of ``n_lists`` clusters of chunk vectors, by default the root of their number.
+    """Unit centres of at most ``n_lists`` clusters of chunk vectors, by default the root of their number.
 
-    Centres are learnt from a sample that grows with the lists, distinct vectors
-    only, so that copies do not pull them; every chunk is assigned afterwards.
+    Two levels: cells, as many as the root of the lists, and then the lists of each cell
+    in a task of its own, so that no vector is compared with all lists. Both are learnt
+    from the vectors of least hash, a share that grows with the lists; copies of a vector
+    have one hash and count once. Every chunk is assigned afterwards.
     """
     usable = _usable(chunks).select("vector", "norm2")
     n_rows = usable.count()
     n_lists = n_lists or max(2, math.ceil(math.sqrt(n_rows)))
-    share = min(1.0, n_lists * TRAINING_ROWS_PER_LIST / max(1, n_rows))
-    sample = usable.sample(share, seed).dropDuplicates(["vector"])
-    units = sample.select(array_to_vector(unit_vector(F.col("vector"), F.col("norm2"))).alias("features"))
-    model = KMeans(k=n_lists, seed=seed, distanceMeasure="cosine", initMode="random").fit(units)
-    centres = np.array(model.clusterCenters())
-    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
-
-
-def nearest_list(centres: np.ndarray):
-    """Column function: vector to the number of its list."""
+    limit = math.ceil(HASHES * min(1.0, n_lists * TRAINING_ROWS_PER_LIST / max(1, n_rows)))
+    place = F.pmod(F.xxhash64("vector"), F.lit(HASHES))
+    sample = usable.withColumn("place", place).filter(F.col("place") < limit).dropDuplicates(["vector"])
+    sample = write_table(sample.select("place", unit_vector(F.col("vector"), F.col("norm2")).cast("array<float>").alias("unit")), "list-sample")
+    n_cells = max(1, math.ceil(math.sqrt(n_lists)))
+    some = sample.orderBy("place").limit(n_cells * TRAINING_ROWS_PER_LIST).select(array_to_vector("unit").alias("features"))
+    model = KMeans(k=n_cells, seed=seed, distanceMeasure="cosine", initMode="random").fit(some) if n_cells > 1 else None
+    cells = np.array(model.clusterCenters()) if model else np.ones((1, 1))
+    celled = sample.withColumn("cell", nearest_of(cells)("unit") if model else F.lit(0))
+    sized = write_table(celled, "list-cells")
+    counts = sized.groupBy("cell").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("cells")).first()
+    spare = max(0, n_lists - total["cells"])
+    counts = counts.select("cell", (1 + F.floor(F.col("n") * spare / (total["total"] or 1))).cast("int").alias("lists"))
+    first = Window.partitionBy("cell").orderBy("place")
+    bounded = sized.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= CELL_ROWS).join(F.broadcast(counts), "cell")
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values("place")
+        centres = cluster_units(np.stack(ordered["unit"].to_numpy()), int(ordered["lists"].iloc[0]), seed)
+        return pd.DataFrame({"cell": int(ordered["cell"].iloc[0]), "number": np.arange(len(centres)), "centre": list(centres)})
+
+    found = bounded.select("cell", "place", "unit", "lists").groupBy("cell").applyInPandas(split, "cell int, number int, centre array<double>")
+    return np.array([r["centre"] for r in found.orderBy("cell", "number").collect()])
+
+
+def nearest_of(centres: np.ndarray, near: int = NEAR_CELLS):
+    """Column function: vector to the number of its nearest centre.
+
+    Many centres are grouped into cells first, and only those of the ``near`` cells nearest to a vector compared.
+    """
+    cells = member = None
+    if len(centres) > FLAT_LISTS:
+        cells = cluster_units(centres, math.ceil(math.sqrt(len(centres))), 0)
+        member = (centres @ cells.T).argmax(axis=1)
+
+    def nearest(matrix: np.ndarray) -> np.ndarray:
+        if cells is None:
+            return (matrix @ centres.T).argmax(axis=1)
+        best, score = np.zeros(len(matrix), np.int64), np.full(len(matrix), -np.inf)
+        closest = np.argpartition(-(matrix @ cells.T), min(near, len(cells) - 1), axis=1)[:, :near]
+        for cell in np.unique(closest):
+            lists, rows = np.flatnonzero(member == cell), np.flatnonzero((closest == cell).any(axis=1))
+            if len(lists):
+                scores = matrix[rows] @ centres[lists].T
+                top = scores.argmax(axis=1)
+                value = scores[np.arange(len(rows)), top]
+                better = value > score[rows]
+                best[rows[better]], score[rows[better]] = lists[top[better]], value[better]
+        return best
 
     @F.arrow_udf("int")
     def assign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             matrix = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(batch), -1)
-            yield pa.array((matrix @ centres.T).argmax(axis=1).astype(np.int32))
+            yield pa.array(nearest(matrix).astype(np.int32))
 
     return assign
 
 
 def write_lists(chunks: DataFrame, centres: np.ndarray, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
     """Store the vectors with one folder per list; a list spans as many files as its counted rows need."""
-    assigned = _usable(chunks).select(*CHUNK_KEY, "vector", "norm2", nearest_list(centres)("vector").alias("list"))
+    assigned = _usable(chunks).select(*CHUNK_KEY, "vector", "norm2", nearest_of(centres)("vector").alias("list"))
     files = assigned.groupBy("list").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))  # one row per list
     spread = F.pmod(F.xxhash64(*CHUNK_KEY), F.col("_files"))
     assigned.join(F.broadcast(files), "list").repartition("list", spread).drop("_files").write.partitionBy("list").parquet(path)

@@ -337,6 +337,25 @@ def test_violations_and_cascade(spark):
     assert {r.rule for r in broken.select("rule").distinct().collect()} == {
         "trial_key_unique", "doi_unique", "document_one_source", "chunk_range", "citation_chunk_exists",
     }
+    # Changes to clean tables: checking what they touch finds what checking all tables does.
+    pieces = [trials, publications, documents, chunks, citations]
+    names = ["trials", "publications", "documents", "chunks", "citations"]
+    planted = {
+        "trials": ("delete", trials.filter("nct_id = 'N2'")),
+        "publications": ("insert", spark.createDataFrame([("4", "10.1/a", "N9"), ("3", "10.1/z", None)], publications.schema)),
+        "documents": ("insert", spark.createDataFrame([("report:9", "report", "N1", None, "N1"), ("publication:8", "publication", None, "8", "8")], documents.schema)),
+        "chunks": ("delete", chunks.filter("document_id = 'trial:N1'")),
+        "citations": ("insert", spark.createDataFrame([("publication:1:0", "publication:1", "q", 3, 3, 1), ("lost", "x", "q", 4, 0, 1)], citations.schema)),
+    }
+    for several in ([n] for n in names), [names]:
+        for changed in several:
+            after = {n: t for n, t in zip(names, pieces, strict=True)}
+            for n in changed:
+                how, rows = planted[n]
+                after[n] = after[n].exceptAll(rows) if how == "delete" else after[n].unionByName(rows)
+            full = sorted(map(tuple, integrity.violations(**after).collect()))
+            assert full and full == sorted(map(tuple, integrity.violations(**after, touched={n: planted[n][1] for n in changed}).collect()))
+    assert integrity.violations(*pieces, touched={"trials": trials}).count() == 0
     deleted = spark.createDataFrame([("trial", "N1")], "source_type string, source_identifier string")
     left = integrity.cascade_delete(deleted, documents, chunks, citations, publications)
     assert {n: t.count() for n, t in left.items()} == {"publications": 3, "documents": 2, "chunks": 2, "citations": 1}
@@ -461,7 +480,7 @@ def test_a_small_batch_writes_only_its_buckets(spark, tmp_path):
     pages = lambda *s: spark.createDataFrame([("p1.json", json.dumps({"studies": list(s)}))], "page_file string, value string")
     incremental.apply_study_batch(pages(*[study(f"NCT{k:08d}", f"T{k}", f"words of study {k}") for k in range(40)]), root, "simple")
     first = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
-    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")
+    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "amended words")), root, "simple")
     second = snapshots._entry(spark, root, snapshots.current_version(spark, root))["tables"]
     for name in ("trials", "documents", "chunks", "postings"):
         assert sum(second[name]["held"][b] != first[name]["held"].get(b) for b in second[name]["held"]) == 1
@@ -471,12 +490,12 @@ def test_a_small_batch_writes_only_its_buckets(spark, tmp_path):
     assert [old, 0] in first["postings"]["held"]["0"] and spark.read.parquet(second["postings"]["paths"][new]).count() < 10
     built = lexemes.postings(tables["chunks"])
     assert sorted(map(str, tables["postings"].select(*built.columns).collect())) == sorted(map(str, built.collect()))
-    asked = lexemes.with_lexemes(spark.createDataFrame([(1, "other"), (2, "study"), (3, "7")], "query_id long, text string"), "simple")
+    asked = lexemes.with_lexemes(spark.createDataFrame([(1, "amended"), (2, "study"), (3, "7")], "query_id long, text string"), "simple")
     found = fulltext.fulltext_from_postings(asked, tables["postings"], 100).groupBy("query_id").count()
     assert {r["query_id"]: r["count"] for r in found.collect()} == {1: 1, 2: 39}
-    assert tables["chunks"].count() == 40 and tables["chunks"].filter("text = 'other words'").count() == 1
+    assert tables["chunks"].count() == 40 and tables["chunks"].filter("text = 'amended words'").count() == 1
     version = snapshots.current_version(spark, root)
-    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "other words")), root, "simple")  # nothing new: nothing written
+    incremental.apply_study_batch(pages(study("NCT00000007", "T7", "amended words")), root, "simple")  # nothing new: nothing written
     assert snapshots.current_version(spark, root) == version
 
 
