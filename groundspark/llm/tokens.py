@@ -24,16 +24,21 @@ JOINED_WORDS = 2_000
 
 
 def row_blocks(texts: pa.Array, limit_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``limit_bytes`` of text each; a longer text stands alone."""
+    """Row ranges of about ``limit_bytes`` of text each; a longer text stands alone.
+
+    What Arrow holds on to is given back after each block, as workers live on between stages.
+    """
     sizes = np.maximum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), 1)
     begin, held = 0, 0
     for row, size in enumerate(sizes.tolist()):
         if held and held + size > limit_bytes:
             yield begin, row
+            pa.default_memory_pool().release_unused()
             begin, held = row, 0
         held += size
     if begin < len(sizes):
         yield begin, len(sizes)
+        pa.default_memory_pool().release_unused()
 
 
 class WordEncoder:
