@@ -7,12 +7,14 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from groundspark.llm import mixing
 from groundspark.llm.queries import ORACLE_SQL, QUERIES
+from groundspark.runtime import write_table
 from tests.compare import compare
 from tests.llm.test_operators import jaccard, roots, weighted
 
@@ -106,3 +108,23 @@ def test_pipeline_stages(spark, tmp_path):
     packed = {r["doc_id"] for r in kept["packing"]}
     several = [ids for text, ids in copies.items() if len(ids) > 1 and (text or "").strip()]
     assert several and all(len(ids & packed) <= 1 for ids in several)
+
+
+def test_pipeline_of_odd_documents(spark, odd_docs, no_docs):
+    """Odd rows among ordinary ones, with columns named like those of the stages."""
+    plain = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clash = [c for c in odd_docs.columns if c not in plain.columns]
+    typed = odd_docs.select(*[F.col(c).cast(plain.schema[c].dataType) for c in plain.columns], *clash)
+    ordinary = plain.select((F.col("doc_id") + 1000).alias("doc_id"), *plain.columns[1:], *[F.lit(None).cast(odd_docs.schema[c].dataType).alias(c) for c in clash])
+    docs = typed.unionByName(ordinary)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = write_table(stage(spark, docs, FOLDER), name.replace(" ", "-"))
+        assert name == "packing" or docs.columns == columns
+        if name == "language ID":  # without a letter there is no language
+            assert not [r for r in docs.collect() if not any(c.isalpha() for c in r["text"] or "")]
+        if name == "MinHash near-dedup":
+            ids = [r["doc_id"] for r in docs.collect()]
+            assert len(set(ids) & {1, 2, 3}) <= 1 and ids.count(9) <= 1
+    packed = {r["doc_id"] for r in docs.collect()}
+    assert len(packed & {r["doc_id"] + 1000 for r in plain.collect()}) > 100
