@@ -3,9 +3,11 @@
 A text is lower-cased, everything but letters becomes a blank, and its character
 n-grams (blanks mark word ends) are hashed into rows of an embedding table. The
 mean row goes through a linear softmax. Both are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows; a temperature fitted on
-rows held back makes the score a probability, and the score below which hardly
-any of those rows fall is the rejection threshold.
+descent in numpy on a bounded sample of labelled rows, in which every language has
+a least number of rows. A temperature fitted on rows held back makes the score a
+probability. Two thresholds, set from the whole texts held back, reject: one on the
+score, and one on how common the n-grams of a text are among those learned from,
+since a language or script that was never learnt can still score high in a known one.
 
 Averaging and the linear layer commute, so a trained model is one table of
 per-bucket logits, a few hundred kilobytes that every task gets.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from functools import cache
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from groundspark.llm.sampling import hash_sample
+from groundspark.llm.sampling import hash_sample_by
 from groundspark.llm.tokens import row_blocks
 
 UNKNOWN = "und"
@@ -35,6 +37,8 @@ MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263)
 # The documented bounds of the training sample, in rows and in characters of a row.
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 20_000
+# Rows of a language that the sample holds at least, if there are so many; languages beyond sample / least are left out, rarest first.
+LEAST_ROWS = 30
 # A text longer than this many characters is scored in several passes and summed.
 PASS_CHARS = 1_000_000
 
@@ -76,6 +80,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    familiar: np.ndarray  # log share of each bucket among the n-grams learned from, float32
+    least_familiar: float
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -87,7 +93,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     """Fit table, softmax, temperature and threshold.
 
     Every fifth row is held back for calibration. Besides its whole text each row
-    gives one slice of a few words, so that short texts are known as well.
+    gives one slice of a few words, so that short texts are known as well. Both
+    thresholds lie below the ``rejected`` quantile of the whole texts held back: that
+    of the score by one nat of odds, that of familiarity by one standard deviation.
     """
     languages = sorted(set(langs))
     draw = np.random.default_rng(seed)
@@ -127,30 +135,39 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.5
     losses = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(check)), wanted], 1e-12)).mean() for t in ladder] if len(check) else [0]
     temperature = float(ladder[int(np.argmin(losses))])
     scores = _softmax(z / temperature).max(axis=1) if len(check) else np.zeros(1)
-    # Whole texts alone set the threshold.
-    whole = scores[check % 2 == 0] if len(check) else scores
-    threshold = float(min(np.quantile(whole, rejected), 0.5)) * 0.9 if len(whole) else 0.0
-    return Model(languages, logits.astype(np.float32), bias, temperature, threshold)
+    # Whole texts alone set the thresholds.
+    whole = check % 2 == 0
+    low = float(np.clip(np.quantile(scores[whole], rejected), 1e-9, 1 - 1e-9)) if whole.any() else 0.5
+    threshold = 1 / (1 + np.e * (1 - low) / low) if whole.any() else 0.0
+    seen = np.zeros(1 << BUCKET_BITS)
+    for i in order[order % 2 == 0]:
+        seen[examples[i][0]] += examples[i][1]
+    # Texts weigh alike; a bucket never seen counts as a hundredth of an even share.
+    familiar = np.log(seen / max(seen.sum(), 1.0) + 0.01 / len(seen)).astype(np.float32)
+    means = np.array([examples[i][1] @ familiar[examples[i][0]] for i in check[whole]])
+    least = float(np.quantile(means, rejected) - means.std()) if len(means) else -np.inf
+    return Model(languages, logits.astype(np.float32), bias, temperature, float(threshold), familiar, least)
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Train on at most ``sample_rows`` rows of ``labelled`` (doc_id, text, lang), those of least hash.
 
-    Rows without text or lang, or above ``SAMPLE_CHARS`` characters, are not drawn.
+    Each language gives ``LEAST_ROWS`` rows and a share of the rest by its size. Rows
+    without text or lang, or above ``SAMPLE_CHARS`` characters, are not drawn.
     Without any labelled row the model knows no language and predicts ``und``.
     """
     usable = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = hash_sample(usable, ["doc_id", "lang"], sample_rows).collect()
+    rows = hash_sample_by(usable, "lang", ["doc_id"], sample_rows, LEAST_ROWS).collect()
     rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
     if not rows:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, np.zeros(1 << BUCKET_BITS, np.float32), 0.0)
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def logits_of(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean logits of each text and whether it has a letter."""
-    sums, sizes = np.zeros((len(texts), len(model.languages)), np.float64), np.zeros(len(texts), np.int64)
-    lettered, table = np.zeros(len(texts), bool), model.logits.astype(np.float64)
+def logits_of(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the mean logits, the mean familiarity of its n-grams, and whether it has a letter."""
+    sums, sizes = np.zeros((len(texts), len(model.languages) + 1), np.float64), np.zeros(len(texts), np.int64)
+    lettered, table = np.zeros(len(texts), bool), np.column_stack([model.logits, model.familiar]).astype(np.float64)
     for at, text in enumerate(texts):
         points = padded(text)
         lettered[at] = bool((points != 32).any())
@@ -161,19 +178,21 @@ def logits_of(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = buckets(points[begin : begin + PASS_CHARS + max(ORDERS) - 1], PASS_CHARS)
             sums[at] += np.bincount(found, minlength=1 << BUCKET_BITS) @ table
             sizes[at] += len(found)
-    return sums / np.maximum(sizes, 1)[:, None] + model.bias, lettered
+    means = sums / np.maximum(sizes, 1)[:, None]
+    return means[:, :-1] + model.bias, means[:, -1], lettered
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred, score and lang_accepted added, after ``prefix`` (columns of these names are replaced).
 
+    Accepted is a text whose score and familiarity reach the model's thresholds.
     A null text, one without letters, and every text under a model that knows no
     language is ``und`` with score 0 and not accepted. Repeated rows are predicted
     alike; other columns, nulls among them, pass through.
     """
     added = [prefix + name for name in ("lang_pred", "score", "lang_accepted")]
     kept = docs.drop(*added)
-    share = docs.sparkSession.sparkContext.broadcast((model.languages, model.logits, model.bias, model.temperature, model.threshold))
+    share = docs.sparkSession.sparkContext.broadcast(astuple(model))
     text_at = next(k for k, c in enumerate(kept.columns) if c.lower() == "text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +201,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
             for a, b in row_blocks(whole.column(text_at)):
                 batch = whole.slice(a, b - a)
                 texts = [t or "" for t in batch.column(text_at).to_pylist()]
-                mean, lettered = logits_of(known, texts)
+                mean, common, lettered = logits_of(known, texts)
                 if known.languages:
                     shares = _softmax(mean / known.temperature)
                     best, top = shares.argmax(axis=1), shares.max(axis=1)
@@ -190,7 +209,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
                     top = np.where(lettered, top, 0.0)
                 else:
                     names, top = [UNKNOWN] * len(texts), np.zeros(len(texts))
-                accepted = lettered & (top >= known.threshold) & bool(known.languages)
+                accepted = lettered & (top >= known.threshold) & (common >= known.least_familiar) & bool(known.languages)
                 columns = [*batch.columns, pa.array(names, pa.string()), pa.array(top), pa.array(accepted)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *added])
 
@@ -205,6 +224,10 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Learn from the folds other than 2 and predict every row; adds held_out as well."""
+    """Learn from the folds other than 2 and predict every row; adds held_out as well.
+
+    Null and empty texts are ``und``, repeated rows are predicted alike, a null doc_id
+    is in fold 0, and an empty table gives no rows.
+    """
     model = fit(docs.filter(fold() != 2), sample_rows)
     return predict(docs.withColumn("held_out", fold() == 2), model)

@@ -235,10 +235,26 @@ def test_language_model_learns_and_rejects(spark, odd_docs, no_docs):
         lettered = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] != "und") == lettered and (lettered or (r["score"], r["lang_accepted"]) == (0.0, False))
     assert langid.identify(no_docs).count() == 0
+    strange = spark.createDataFrame([(1, "день прошёл в городе"), (2, "xqzt wvkk pqrz jjyw"), (3, "babeba bibo boba"), (4, "kukoki kikeku")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_accepted"] for r in langid.predict(strange, model).collect()} == {1: False, 2: False, 3: True, 4: True}
     unlabelled = langid.identify(odd_docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_a_rare_language_is_learnt(spark):
+    many = [(k, t, lang) for k, (t, lang) in enumerate(corpus(100))]
+    docs = spark.createDataFrame([*many, *[(1000 + k, f"zozu zizo zuzu{k}", "zz") for k in range(8)], (5, None, "aa"), (6, "", None)], "doc_id long, text string, lang string")
+    usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL")
+    drawn = sampling.hash_sample_by(usable, "lang", ["doc_id"], 60, 15).collect()
+    assert len(drawn) <= 60 and Counter(r["lang"] for r in drawn)["zz"] == 8
+    assert sorted(drawn) == sorted(sampling.hash_sample_by(usable.repartition(7), "lang", ["doc_id"], 60, 15).collect())
+    assert {r["lang"] for r in sampling.hash_sample_by(usable, "lang", ["doc_id"], 60, 30).collect()} == {"aa", "cc"}
+    assert sampling.hash_sample_by(usable.limit(0), "lang", ["doc_id"], 60, 15).count() == 0
+    model = langid.fit(usable, 100)
+    told = langid.predict(spark.createDataFrame([(1, "zuzu zozu zizo")], "doc_id long, text string"), model).first()
+    assert told["lang_pred"] == "zz"
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     model = langid.train(*map(list, zip(*corpus(), strict=True)))
     text = " ".join(t for t, _ in corpus(60))
