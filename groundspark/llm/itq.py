@@ -3,7 +3,8 @@
 Rotations learned on a bounded sample turn centred unit vectors into balanced binary
 codes. A table is a run of bits of the code, about as many as the table of vectors
 needs to spread; two vectors are retrieved if in some table their runs differ in at
-most one bit. Retrieved pairs are reranked by cosine of the original vectors.
+most one bit. Longer runs take more tables, so that retrieval does not fall with the
+number of vectors. Retrieved pairs are reranked by cosine of the original vectors.
 
 Equal vectors are one class with a size. Buckets are split into blocks; blocks of
 equal or neighbouring buckets meet as groups of bounded size, which give counts of
@@ -25,7 +26,9 @@ from groundspark.llm.sampling import hash_sample
 from groundspark.runtime import write_table
 
 COSINE = 0.93
+# Tables at least, and the share of pairs at the threshold that all tables together are to retrieve.
 TABLES = 6
+RETRIEVED = 0.97
 MIN_BITS, MAX_BITS = 8, 24
 # The documented bound of the sample that rotations are learned on, rows of least hash.
 SAMPLE_ROWS = 10_000
@@ -33,6 +36,14 @@ ITERATIONS = 30
 BLOCK = 256
 
 
+def tables_for(bits: int, cosine: float) -> int:
+    """Tables needed for ``RETRIEVED``: a bit differs with the angle as a share of a half turn, as for random planes."""
+    differs = np.arccos(np.clip(cosine, -1, 1)) / np.pi
+    hit = (1 - differs) ** bits + bits * differs * (1 - differs) ** (bits - 1)
+    missed = max(1 - hit, 1e-12)
+    return max(TABLES, int(np.ceil(np.log(1 - RETRIEVED) / np.log(missed)))) if hit > 0 else TABLES
+
+
 def learn_rotation(centred: np.ndarray, bits: int, seed: int, iterations: int = ITERATIONS) -> np.ndarray:
     """Iterative quantisation: principal axes, then alternately signs and the best rotation to them."""
     _, _, axes = np.linalg.svd(centred, full_matrices=False) if len(centred) else (0, 0, np.eye(centred.shape[1]))
@@ -91,7 +102,7 @@ def class_links(classes: DataFrame, width: int, cosine: float = COSINE) -> tuple
     sample = np.zeros((len(drawn), width))
     for at, row in enumerate(drawn):
         sample[at, : len(row["embedding"])] = row["embedding"]
-    mean, projection = learn(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300), bits)
+    mean, projection = learn(sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300), bits, tables_for(bits, cosine))
 
     def dense(column: pa.Array) -> np.ndarray:
         out = np.zeros((len(column), width))
