@@ -1,10 +1,12 @@
 """Exact top-k inner products by elimination with a table of pivot distances.
 
-Components become integers. Distances of every vector to many pivots give, by the
-triangle inequality, a lower bound of the distance of query and candidate and so
-an upper bound of their inner product, (|q|^2 + |x|^2 - bound^2) / 2. Candidates
-are evaluated in the order of these bounds until no bound left reaches the k-th
-score, so the result is exact.
+Components become integers. The distances of a vector to many pivots place it as the
+apex of a simplex over them: its coordinates in the space of the pivots, and its height
+over that space. The distance of two apexes on the same side is a lower bound of the
+distance of query and candidate, never below what the triangle inequality gives from any
+pivot, and so there is an upper bound of their inner product, (|q|^2 + |x|^2 - bound^2) / 2.
+Candidates are evaluated in the order of these bounds until no bound left reaches the
+k-th score, so the result is exact.
 
 Queries and candidates meet in blocks: each pair of blocks is one group of bounded
 size, and only the k best of a block leave it.
@@ -20,14 +22,17 @@ from pyspark.sql import functions as F
 from groundspark.llm.sampling import hash_sample
 from groundspark.runtime import write_table
 
-PIVOTS = 32
+# Pivots for each hundred components: they leave little height, so that the bounds come near the products.
+PIVOTS_PER_HUNDRED = 80
 # Rows, of least hash, from which pivots are chosen, each time the farthest from those before.
 PIVOT_SAMPLE = 2_000
 QUERY_BLOCK = 1_024
 CANDIDATE_BLOCK = 16_384
 FIRST_TRIED = 256
-# Below this, sums of products of doubles are exact integers.
-EXACT = float(1 << 52)
+# Below this, sums of products of doubles are exact integers; below the second, those of long integers.
+EXACT, WIDE = float(1 << 52), float(1 << 62)
+# A pivot closer to the space of those before it than this share of the farthest adds nothing.
+FLAT = 1e-3
 
 
 def matrix(vectors: pa.Array | list, width: int) -> np.ndarray:
@@ -40,17 +45,22 @@ def matrix(vectors: pa.Array | list, width: int) -> np.ndarray:
     return np.floor(64 * out)
 
 
-def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Farthest-first from the vector farthest from the mean."""
+def choose_pivots(sample: np.ndarray, count: int | None = None) -> np.ndarray:
+    """From the vector farthest from the mean on, each time the one farthest from the space of those before."""
     if not len(sample):
         return sample
+    count = max(2, sample.shape[1] * PIVOTS_PER_HUNDRED // 100) if count is None else count
     chosen = [int(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).argmax())]
-    nearest = np.full(len(sample), np.inf)
+    left = sample - sample[chosen[0]]
+    farthest = (left**2).sum(axis=1).max()
     while len(chosen) < min(count, len(sample)):
-        nearest = np.minimum(nearest, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
-        if nearest.max() <= 0:
+        heights = (left**2).sum(axis=1)
+        at = int(heights.argmax())
+        if heights[at] <= FLAT**2 * farthest:
             break
-        chosen.append(int(nearest.argmax()))
+        chosen.append(at)
+        axis = left[at] / np.sqrt(heights[at])
+        left = left - (left @ axis)[:, None] * axis
     return sample[chosen]
 
 
@@ -59,20 +69,26 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
+def apexes(to_pivots: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Coordinates over the pivots and, last, the height, from distances to the pivots alone."""
+    edges = pivots[1:] - pivots[0]
+    squares = to_pivots**2
+    base, corner = np.linalg.qr(edges.T) if len(edges) else (None, np.zeros((0, 0)))
+    # x . edge = (d(x, first)^2 - d(x, pivot)^2 + |edge|^2) / 2 with the first pivot as origin.
+    along = (squares[:, :1] - squares[:, 1:] + (edges**2).sum(axis=1)[None]) / 2
+    flat = np.linalg.solve(corner.T, along.T).T if len(edges) else along
+    height = np.sqrt(np.maximum(squares[:, :1] - (flat**2).sum(axis=1, keepdims=True), 0))
+    return np.concatenate([flat, height], axis=1)
+
+
 def upper_bounds(queries: np.ndarray, candidates: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Upper bounds of all inner products, with room for rounding."""
-    of_queries, of_candidates = distances(queries, pivots).astype(np.float32), distances(candidates, pivots).T.astype(np.float32)
-    low = np.zeros((len(queries), len(candidates)), np.float32)
-    gap = np.empty(len(candidates), np.float32)
-    for row in range(len(queries)):
-        for p in range(len(of_candidates)):
-            np.subtract(of_candidates[p], of_queries[row, p], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(low[row], gap, out=low[row])
     sizes = (queries**2).sum(axis=1)[:, None] + (candidates**2).sum(axis=1)[None]
-    # Single precision is off by less than a part in a million of the distances.
-    room = np.float32(4e-6) * (of_queries.max(axis=1, initial=0)[:, None] + of_candidates.max(axis=0, initial=0)[None]) + np.float32(1e-3)
-    return (sizes - np.maximum(low - room, 0) ** 2) / 2
+    q, c = (apexes(distances(rows, pivots), pivots) for rows in (queries, candidates))
+    low = (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None] - 2 * q @ c.T
+    # Rounding is off by less than a part in a million of the squares (edges are at least FLAT apart).
+    room = 1e-6 * (sizes + (q**2).sum(axis=1)[:, None] + (c**2).sum(axis=1)[None]) + 1e-3
+    return (sizes - low + room) / 2
 
 
 def best_of_block(query: np.ndarray, candidates: np.ndarray, names: np.ndarray, allowed: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -99,15 +115,27 @@ def best_of_block(query: np.ndarray, candidates: np.ndarray, names: np.ndarray,
     return places, scores, tried
 
 
+def saturated_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Products of every row of ``right`` with the vector ``left``, in whole numbers of any size, cut to a long's range."""
+    whole = [int(x) for x in left]
+    at = [i for i, x in enumerate(whole) if x]
+    sums = (sum(whole[i] * int(row[i]) for i in at) for row in right)
+    return np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in sums], np.int64)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
     """The ``k`` best rows of ``vectors`` (row, vec_id, embedding) for each of ``queries`` (the same columns).
 
     Gives query_id, rank, vec_id, score. A row is no candidate of the query with its
     own row number. Ties go to the smaller vec_id, then row; a null vec_id is last.
+    A score beyond 64 bits is the largest or smallest long, and ties as such.
     """
     blocks = (max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-vectors.count() // CANDIDATE_BLOCK)))
     sample = hash_sample(vectors, ["vec_id", "row"], PIVOT_SAMPLE).select("embedding").collect()
-    pivots = choose_pivots(matrix([np.array(r["embedding"], float) for r in sample], width))
+    drawn = matrix([np.array(r["embedding"], float) for r in sample], width)
+    with np.errstate(over="ignore"):
+        drawn = drawn[(drawn**2).sum(axis=1) < WIDE]
+    pivots = choose_pivots(drawn) if len(drawn) else np.zeros((1, width))
 
     def dealt(rows: DataFrame, own: str, other: str, count: int, others: int, is_query: bool) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
@@ -125,10 +153,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, width: int) -> DataFra
         q, c = np.flatnonzero(is_query), np.flatnonzero(~is_query)
         c = c[np.argsort(rows[c], kind="stable")]
         out: dict[str, list] = {"query_row": [], "query_id": [], "row": [], "vec_id": [], "score": []}
-        exact = numbers if not len(numbers) or (numbers**2).sum(axis=1).max() < EXACT else numbers.astype(np.int64)
-        bounds = upper_bounds(numbers[q], numbers[c], pivots)
+        with np.errstate(over="ignore"):
+            squares = (numbers**2).sum(axis=1)
+        fits = squares < WIDE
+        usual = np.where(fits[:, None], numbers, 0)
+        exact = usual if squares[fits].max(initial=0) < EXACT else usual.astype(np.int64)
+        of_candidates, huge = exact[c], np.flatnonzero(~fits[c])
+        bounds = upper_bounds(usual[q], usual[c], pivots)
         for at, place in enumerate(q):
-            found, scores, _ = best_of_block(exact[place], exact[c], names[c], rows[c] != rows[place], bounds[at], k)
+            allowed, extra = rows[c] != rows[place], huge if fits[place] else np.arange(len(c))
+            found, scores, _ = best_of_block(exact[place], of_candidates, names[c], allowed & fits[c] & fits[place], bounds[at], k)
+            # Vectors too long for the bounds are compared with all others in whole numbers.
+            extra = extra[allowed[extra]]
+            if len(extra):
+                found = np.concatenate([found, extra])
+                scores = np.concatenate([scores.astype(np.int64), saturated_products(numbers[place], numbers[c[extra]])])
+                order = np.lexsort((found, names[c[found]], -1 - scores))[:k]
+                found, scores = found[order], scores[order]
             out["query_row"] += [int(rows[place])] * len(found)
             out["query_id"] += [ids[place]] * len(found)
             out["row"] += rows[c[found]].tolist()

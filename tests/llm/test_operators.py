@@ -388,6 +388,21 @@ def test_rotation_is_orthogonal_and_balanced():
     assert itq.learn(sample, 8, 6)[1].shape == (16, 48)
 
 
+@pytest.mark.parametrize("bits", [8, 14, 20, 24])
+def test_tables_follow_the_length_of_runs(bits):
+    draw = np.random.default_rng(bits)
+    left = draw.normal(size=(3000, 64))
+    left /= np.linalg.norm(left, axis=1, keepdims=True)
+    off = draw.normal(size=left.shape)
+    off -= (off * left).sum(axis=1, keepdims=True) * left
+    right = itq.COSINE * left + np.sqrt(1 - itq.COSINE**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    tables = itq.tables_for(bits, itq.COSINE)
+    mean, projection = itq.learn(left, bits, tables)
+    a, b = (itq.code_runs(v, mean, projection, bits) for v in (left, right))
+    assert a.shape == (3000, tables) and itq.near_runs(a, b).any(axis=1).mean() >= 0.95
+    assert tables == itq.TABLES if bits <= 14 else tables > itq.TABLES
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(pivots, "QUERY_BLOCK", 8)
     monkeypatch.setattr(pivots, "CANDIDATE_BLOCK", 100)
@@ -417,6 +432,44 @@ def test_elimination_stops_early_and_exactly():
     assert tried < len(candidates) and places.tolist() == np.lexsort((np.arange(len(candidates)), -exact))[:20].tolist() and scores.tolist() == exact[places].tolist()
 
 
+@pytest.mark.parametrize("width", [1, 5, 64])
+def test_bounds_hold_and_eliminate(width):
+    draw = np.random.default_rng(width)
+    centres = draw.normal(size=(40, width))
+    rows = np.floor(64 * (centres[draw.integers(0, 40, 4000)] + 0.3 * draw.normal(size=(4000, width))))
+    rows[:3] = 0
+    chosen = pivots.choose_pivots(rows[::4])
+    near = np.arange(0, 4000, 100)
+    bounds, exact = pivots.upper_bounds(rows[near], rows, chosen), rows[near] @ rows.T
+    assert (bounds >= exact).all()
+    # Never above what the distance to any single pivot allows.
+    left, right = pivots.distances(rows[near], chosen), pivots.distances(rows, chosen)
+    low = np.abs(left[:, None] - right[None]).max(axis=2)
+    sizes = (rows[near] ** 2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None]
+    room = 1e-6 * (sizes + left[:, :1] ** 2 + right[:, 0] ** 2) + 1e-2
+    assert (bounds <= (sizes - low**2) / 2 + room).all()
+    tried = 0
+    for at in range(len(near)):
+        found, scores, n = pivots.best_of_block(rows[near[at]], rows, np.arange(4000), np.ones(4000, bool), bounds[at], 20)
+        assert found.tolist() == np.lexsort((np.arange(4000), -exact[at]))[:20].tolist()
+        tried += n
+    assert tried < 0.3 * len(near) * 4000
+    # Equal rows have one pivot and no height.
+    assert (pivots.upper_bounds(rows[:3], rows[:3], pivots.choose_pivots(np.ones((5, width)))) >= 0).all()
+
+
+def test_huge_components_are_whole_numbers(spark):
+    rows = [(0, [1e30, 1.0]), (20, [1.0, 2.0]), (3, [-1e30, 5.0]), (4, [3.0, 1.0]), (5, [1e300, -1e300]), (6, [2.0**40, 0.0]), (7, None), (40, [2.0**35, 1.0])]
+    table = spark.createDataFrame([(i, v, 1, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, text long, extra string")
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if v}
+    cut = lambda n: min(max(n, -(1 << 63)), (1 << 63) - 1)
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-cut(sum(x * y for x, y in zip(whole[q], w, strict=True))), i) for i, w in whole.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, pivots.exact_search(table).collect())) == sorted(want)
+
+
 # 1: secrets
 
 
