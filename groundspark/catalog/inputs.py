@@ -10,6 +10,7 @@ from groundspark.plans.retrieval import build_index
 from groundspark.runtime import skew_join, spread_input, write_table
 
 STUDIES_PER_PAGE = 200
+STUDIES_PER_LARGE_PAGE = 5_000
 FIRST_BATCH, SECOND_BATCH = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 _indexes: dict[tuple[str, str, str], DataFrame] = {}
 

@@ -388,6 +388,7 @@ diff AS (SELECT document_id, chunk_index, CASE WHEN c.text IS NULL THEN 'created
   FROM fresh f FULL JOIN chunks c USING (document_id, chunk_index))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "s1_page_ranges": "SELECT lang || ' ' || source AS brief_title, n_chars, (doc_id % 10000) // 2 AS position FROM documents WHERE doc_id % 2 = 0",
     "s1_rejected_studies": "SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS position, CASE WHEN doc_id % 3 = 0 THEN 'studies list is cut off' ELSE 'page has no list of studies' END AS reason, count(*) AS n_pages FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY ALL",
     "s1_study_pages": "SELECT lang || ' ' || source AS brief_title, n_chars, (doc_id % 400) // 2 AS position FROM documents WHERE doc_id % 2 = 0",
     "s2_study_filter": f"WITH {STUDIES} SELECT doc_id AS seq, nct_id, overall_status FROM studies WHERE overall_status = 'COMPLETED' AND source LIKE '%src1%' AND doc_id % 3 = 0 AND doc_id % 10 <> 0",

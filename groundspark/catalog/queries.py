@@ -54,8 +54,18 @@ def s1_study_pages(spark, folder):
     """Land result pages of the studies, then scan them in arrival order."""
     path = _fresh_path(spark, "study-pages")
     _land_pages(inputs.raw_studies(spark, folder), path)
-    scanned = studies.read_study_pages(spark, path)
-    return scanned.select(
+    return _scanned(studies.read_study_pages(spark, path))
+
+
+def s1_page_ranges(spark, folder):
+    """Land large pages of many studies, then cut every page by byte ranges."""
+    path = _fresh_path(spark, "large-pages")
+    _land_pages(inputs.raw_studies(spark, folder), path, inputs.STUDIES_PER_LARGE_PAGE)
+    return _scanned(studies.read_study_pages(spark, path, whole_bytes=0))
+
+
+def _scanned(found):
+    return found.select(
         F.try_variant_get("study", "$.protocolSection.identificationModule.briefTitle", "string").alias("brief_title"),
         F.try_variant_get("study", "$.protocolSection.designModule.enrollmentInfo.count", "bigint").alias("n_chars"),
         F.col("position").cast("bigint").alias("position"),
@@ -73,9 +83,9 @@ def s1_rejected_studies(spark, folder):
     return rejected.groupBy(F.col("position").cast("bigint").alias("position"), "reason").agg(F.count_distinct("page_file").alias("n_pages"))
 
 
-def _land_pages(raw, path):
-    """Studies (doc_id, raw) as result pages of some hundred, one file a page, beside those already landed."""
-    page = F.expr(f"doc_id div {2 * inputs.STUDIES_PER_PAGE}").alias("page")
+def _land_pages(raw, path, per_page=inputs.STUDIES_PER_PAGE):
+    """Studies (doc_id, raw) as result pages of ``per_page``, one file a page, beside those already landed."""
+    page = F.expr(f"doc_id div {2 * per_page}").alias("page")
     listed = raw.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("doc_id", "raw"))).alias("studies"))
     body = F.array_join(F.transform("studies", lambda s: s["raw"]), ",")
     landed = listed.select(F.format_string('{"studies":[%s],"nextPageToken":"%d"}', body, F.col("page") + 1).alias("value"))

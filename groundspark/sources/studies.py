@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions.dates import parse_registry_date
 from groundspark.functions.text import canonical_json, sha256_hex
+from groundspark.sources.page_ranges import COMPRESSED, ranged_studies
 
 SPACE = re.compile(r"[ \t\r\n]*")
 STUDY_URL = "https://clinicaltrials.gov/study/"
@@ -20,6 +22,33 @@ OUTCOMES = "array<struct<measure:string,description:string,timeFrame:string>>"
 
 ARRIVAL = ["page_number", "page_file", "position"]
 CUT = "page_file string, position int, raw string, reason string"
+# Pages of more bytes are read by ranges, in several tasks.
+WHOLE_PAGE_BYTES = 64 << 20
+# Studies that a task hands to Spark at once.
+STUDIES_PER_BATCH = 1_000
+
+
+class _Decoder(json.JSONDecoder):
+    """Of a key that an object repeats the last value counts; ``repeats`` tells that one does."""
+
+    def __init__(self) -> None:
+        self.repeats = False
+        super().__init__(object_pairs_hook=self._as_object)
+
+    def _as_object(self, pairs: list) -> dict:
+        made = dict(pairs)
+        self.repeats = self.repeats or len(made) < len(pairs)
+        return made
+
+
+def read_study(text: str) -> tuple[str | None, str | None]:
+    """(study text, reason) of the text of one study."""
+    decoder = _Decoder()
+    try:
+        study = decoder.decode(text)
+    except ValueError as error:
+        return None, str(error)
+    return (json.dumps(study, ensure_ascii=False) if decoder.repeats else text), None
 
 
 def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
@@ -29,15 +58,7 @@ def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
     that a study repeats the last value counts. What cannot be read gives one row
     with a reason at the position where reading ended.
     """
-    repeats: list[str] = []
-
-    def as_object(pairs: list) -> dict:
-        made = dict(pairs)
-        if len(made) < len(pairs):
-            repeats.append("key")
-        return made
-
-    decoder, position = json.JSONDecoder(object_pairs_hook=as_object), 0
+    decoder, position = _Decoder(), 0
 
     def skip(at: int) -> int:
         return SPACE.match(text, at).end()
@@ -56,9 +77,9 @@ def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
             if key == "studies" and text[at : at + 1] == "[":
                 seen, at = True, skip(at + 1)
                 while text[at : at + 1] != "]":
-                    repeats.clear()
+                    decoder.repeats = False
                     study, end = decoder.raw_decode(text, at)
-                    yield position, json.dumps(study, ensure_ascii=False) if repeats else text[at:end], None
+                    yield position, json.dumps(study, ensure_ascii=False) if decoder.repeats else text[at:end], None
                     position, at = position + 1, skip(end)
                     if text[at : at + 1] == ",":
                         at = skip(at + 1)
@@ -78,47 +99,73 @@ def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
         yield position, None, str(error)
 
 
-def split_pages(pages: DataFrame) -> DataFrame:
-    """ARRIVAL, study and reason of every study of (page_file, value) pages.
-
-    ``study`` is a VARIANT, parsed one study at a time; ``reason`` is set where
-    there is none. Pages sort by the last number in their name, then by name.
-    """
+def cut_whole_pages(pages: DataFrame) -> DataFrame:
+    """(page_file, position, raw, reason) of (page_file, value) pages, each cut by one task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, value in zip(batch.column("page_file").to_pylist(), batch.column("value"), strict=True):
-                for position, raw, reason in cut_page(value.as_py() or ""):
-                    columns = [pa.array([file]), pa.array([position], pa.int32()), pa.array([raw], pa.string()), pa.array([reason], pa.string())]
+                found = cut_page(value.as_py() or "")
+                while rows := list(islice(found, STUDIES_PER_BATCH)):
+                    position, raw, reason = zip(*rows, strict=True)
+                    columns = [pa.array([file] * len(rows)), pa.array(position, pa.int32()), pa.array(raw, pa.string()), pa.array(reason, pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, names=["page_file", "position", "raw", "reason"])
 
-    rows = pages.select("page_file", "value").mapInArrow(cut, CUT).withColumn("study", F.try_parse_json("raw"))
+    return pages.select("page_file", "value").mapInArrow(cut, CUT)
+
+
+def typed_studies(rows: DataFrame) -> DataFrame:
+    """ARRIVAL, study and reason of (page_file, position, raw, reason) rows."""
+    rows = rows.withColumn("study", F.try_parse_json("raw"))
     unread = F.when(F.col("study").isNull(), F.coalesce("reason", F.lit("study is not readable")))
     number = F.regexp_extract("page_file", r"(\d+)\D*$", 1).try_cast("decimal(38,0)")
     return rows.select(F.coalesce(number, F.lit(0)).alias("page_number"), "page_file", "position", "study", unread.alias("reason"))
 
 
-def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+def split_pages(pages: DataFrame) -> DataFrame:
+    """ARRIVAL, study and reason of every study of (page_file, value) pages.
+
+    ``study`` is a VARIANT, parsed one study at a time; ``reason`` is set where
+    there is none. Pages sort by the last number in their name, then by name.
+    """
+    return typed_studies(cut_whole_pages(pages))
+
+
+def landed_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page_file"), "value")
 
 
+def split_landed(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_PAGE_BYTES) -> DataFrame:
+    """``split_pages`` of the files at ``path``; those of more than ``whole_bytes`` are cut by many tasks.
+
+    Either way gives the same rows, but for the wording of reasons inside a study.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    large = (F.col("length") > whole_bytes) & ~F.col("path").rlike(COMPRESSED)
+    if files.filter(large).select("length").isEmpty():
+        return split_pages(landed_pages(spark, path))
+    small = (F.col("_metadata.file_size") <= whole_bytes) | F.col("_metadata.file_path").rlike(COMPRESSED)
+    whole = cut_whole_pages(spark.read.text(path, wholetext=True).filter(small).select(F.col("_metadata.file_path").alias("page_file"), "value"))
+    return typed_studies(whole.unionByName(ranged_studies(spark, path, whole_bytes, cut_page, read_study)))
+
+
 def only_readable(rows: DataFrame) -> DataFrame:
     """Studies alone; fails on the first row that could not be read."""
     failure = F.raise_error(F.concat(F.lit("unreadable study page "), "page_file", F.lit(" at "), F.col("position").cast("string"), F.lit(": "), "reason"))
     return rows.filter(F.when(F.col("reason").isNull(), True).otherwise(failure.cast("boolean"))).drop("reason")
 
 
-def read_study_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_study_pages(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_PAGE_BYTES) -> DataFrame:
     """Studies of landed result pages, in arrival order (ARRIVAL); fails on unreadable input.
 
     A page is one file holding a JSON object with a ``studies`` list; a file of no bytes is no page.
     """
-    return only_readable(split_pages(landed_pages(spark, path)))
+    return only_readable(split_landed(spark, path, whole_bytes))
 
 
-def rejected_studies(spark: SparkSession, path: str) -> DataFrame:
+def rejected_studies(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_PAGE_BYTES) -> DataFrame:
     """(page_file, position, reason) of what ``read_study_pages`` fails on."""
-    return split_pages(landed_pages(spark, path)).filter("reason IS NOT NULL").select("page_file", "position", "reason")
+    return split_landed(spark, path, whole_bytes).filter("reason IS NOT NULL").select("page_file", "position", "reason")
 
 
 def take_first(studies: DataFrame, max_results: int | None, order: list[str]) -> DataFrame:

@@ -17,7 +17,10 @@ from groundspark.schemas import empty
 from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles, normalize_publications
 from groundspark.sources.snapshots import DELETED, Changes, SnapshotConflict, apply_changes, current_version, read_buckets, touched_buckets
 from groundspark.sources.studies import ARRIVAL as STUDY_ARRIVAL
-from groundspark.sources.studies import normalize_trials, only_readable, split_pages
+from groundspark.sources.studies import normalize_trials, only_readable, read_study_pages, split_pages
+
+# Columns of a stream of files, as Spark names them; only the path is read.
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def refresh_index(documents: DataFrame, stored: DataFrame | None, enrich) -> DataFrame:
@@ -79,9 +82,24 @@ def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> N
     by hash, so running a batch again leaves the tables as they are. A page that cannot
     be read fails the batch; nothing of it is stored.
     """
-    spark = pages.sparkSession
+    store_studies(only_readable(split_pages(pages)), root, config)
+
+
+def apply_study_files(files: DataFrame, root: str, config: str = "english") -> None:
+    """``apply_study_batch`` of the files named by ``path``, large pages cut by byte ranges.
+
+    The driver holds the names alone, at most as many as a batch may have files.
+    """
+    paths = [row["path"] for row in files.select("path").collect()]
+    if paths:
+        store_studies(read_study_pages(files.sparkSession, paths), root, config)
+
+
+def store_studies(studies: DataFrame, root: str, config: str) -> None:
+    """Upsert read studies (STUDY_ARRIVAL, study) into the tables under ``root``."""
+    spark = studies.sparkSession
     base = current_version(spark, root)
-    studies = number_arrivals(only_readable(split_pages(pages)), STUDY_ARRIVAL)
+    studies = number_arrivals(studies, STUDY_ARRIVAL)
     normalized = write_table(normalize_trials(studies, keep=("seq",)), "trial-batch")
     ids = normalized.filter("nct_id <> ''").select("nct_id", F.concat(F.lit("trial:"), "nct_id").alias("document_id"))
     trials, documents = (stored_rows(spark, root, base, n, ids) for n in ("trials", "documents"))
@@ -123,11 +141,8 @@ def _run(rows: DataFrame, apply, root: str, checkpoint: str, config: str) -> Str
 
 def stream_studies(spark: SparkSession, landing: str, root: str, checkpoint: str, config: str = "english", files_per_batch: int = 10_000) -> StreamingQuery:
     """Ingest every study page not seen before, then stop; start again at any time."""
-    pages = (
-        spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(landing)
-        .select(F.col("_metadata.file_path").alias("page_file"), "value")
-    )
-    return _run(pages, apply_study_batch, root, checkpoint, config)
+    named = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files_per_batch).load(landing)
+    return _run(named.select("path"), apply_study_files, root, checkpoint, config)
 
 
 def stream_articles(spark: SparkSession, landing: str, root: str, checkpoint: str, config: str = "english", files_per_batch: int = 10_000) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Sources, upserts, links, snapshots, integrity and incremental ingest."""
 
 import datetime as dt
+import gzip
 import hashlib
 import json
 import random
@@ -13,7 +14,7 @@ from groundspark.operators import integrity, upsert
 from groundspark.plans import ingest
 from groundspark.plans.retrieval import build_index
 from groundspark.operators import fulltext, lexemes
-from groundspark.sources import articles, questions, snapshots, studies
+from groundspark.sources import articles, page_ranges, questions, snapshots, studies
 from groundspark.streaming import incremental
 
 FULL = {
@@ -107,6 +108,59 @@ def test_a_page_may_be_larger_than_one_value(spark, tmp_path):
     assert studies.read_study_pages(spark, str(tmp_path)).count() == 1_450
 
 
+ODD_PAGES = {
+    "page-1.json": json.dumps({"studies": [study(f"N{k}", summary='a "b" \\\\' + "}]{[" * (k % 7)) for k in range(30)], "nextPageToken": "}"}, indent=1),
+    "page-2.json": json.dumps({"meta": {"studies": [{"x": 1}], "deep": [[{}, []]]}, "studies": [1, "}{", [], {}, [{"a": [1]}], None, {"b": "\\\""}], "other": [{"c": 1}]}),
+    "page-3.json": '{"studies": [{"a": 1}], "n": 1, "studies": [{"a": 1, "a": 2}]}\n \n',
+    "page-4.json": json.dumps({"studies": [study("A"), study("B")]})[:-40],
+    "page-5.json": '{"studies": [{"a": 1}, {"b": 2}',
+    "page-6.json": '{"studies": [{"a": 1}, {"b": tru}, {"c": 1}]}',
+    "page-7.json": '{"studies": [{"a": "open}, {"b": 1}]}',
+    "page-8.json": '[{"studies": [{"a": 1}]}]',
+    "page-9.json": '{"studies": [{"a": 1]}, {"b": 1}]}',
+    "page-10.json": '{"studies": [{"a": "' + "é" * 300 + '"}, 5',
+    "page-11.json": '{"studies": []} {"studies": [{"a": 1}]}',
+    "page-12.json": '{"studies": [{"a": NaN}, {"b": 1}]}',
+    "page-13.json": '{"studies": 5} }}}{{{',
+    "page-14.json": "",
+    "page-15.json": " \n",
+}
+
+
+@pytest.mark.parametrize("segment_bytes, block_bytes", [(1, 400), (1 << 20, 1 << 27)])
+def test_pages_cut_by_ranges_give_the_rows_of_whole_pages(spark, tmp_path, monkeypatch, segment_bytes, block_bytes):
+    monkeypatch.setattr(page_ranges, "SEGMENT_BYTES", segment_bytes)
+    for name, text in ODD_PAGES.items():
+        (tmp_path / name).write_text(text)
+
+    def rows(whole_bytes):
+        found = studies.split_landed(spark, str(tmp_path), whole_bytes).select("page_file", "position", F.col("study").cast("string").alias("study"), F.col("reason").isNull().alias("read"))
+        return sorted((tuple(r) for r in found.collect()), key=lambda r: (r[0], r[1]))
+
+    want, before = rows(1 << 30), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert len(want) > 45
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", 0)
+    try:
+        assert rows(0) == want
+        assert rows(200) == want
+        if block_bytes == 400:
+            page = [r for r in page_ranges.segments(spark, str(tmp_path), 0, False).collect() if r.page_file.endswith("page-1.json")]
+            assert len({r.block for r in page}) > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_rejects_of_ranges_keep_file_and_position(spark, tmp_path):
+    body = ['{"a": %d}' % k for k in range(50)]
+    (tmp_path / "page-0.json").write_text('{"studies": [' + ",".join(body[:30] + ['{"a": oops}'] + body[30:]) + "]}")
+    (tmp_path / "page-1.json.gz").write_bytes(gzip.compress(('{"studies": [' + ",".join(body) + "]}").encode()))
+    rejected = [(r.page_file.rsplit("/", 1)[1], r.position) for r in studies.rejected_studies(spark, str(tmp_path), 0).collect()]
+    assert rejected == [("page-0.json", 30)]
+    assert studies.split_landed(spark, str(tmp_path), 0).filter("reason IS NULL").count() == 30 + 50
+
+
 def test_two_writers_cannot_take_one_version(spark, tmp_path):
     root, rows = str(tmp_path / "t"), spark.range(3)
     base = snapshots.current_version(spark, root)
@@ -517,6 +571,19 @@ def test_a_stream_outlives_a_conflict(spark, tmp_path, monkeypatch):
     assert len(calls) == 2 and snapshots.read_snapshot(spark, root)["chunks"].first().text == "beta"
 
 
+def test_streamed_pages_are_cut_by_ranges(spark, tmp_path, monkeypatch):
+    root, landing = str(tmp_path / "tables"), tmp_path / "landing"
+    landing.mkdir()
+    monkeypatch.setattr(page_ranges, "SEGMENT_BYTES", 300)
+    monkeypatch.setattr(incremental, "read_study_pages", lambda s, paths: studies.read_study_pages(s, paths, whole_bytes=100))
+    (landing / "p1.json").write_text(json.dumps({"studies": [study(f"NCT{k:08d}", "T", f"word {k}") for k in range(20)]}))
+    (landing / "p2.json").write_text(json.dumps({"studies": []}))
+    (landing / "p3.json").write_text(json.dumps({"studies": [study("NCT00000003", "T", "later")]}))
+    incremental.stream_studies(spark, str(landing), root, str(tmp_path / "checkpoint"), "simple").awaitTermination(120)
+    got = {r.document_id: r.text for r in snapshots.read_snapshot(spark, root)["chunks"].collect()}
+    assert got == {f"trial:NCT{k:08d}": "later" if k == 3 else f"word {k}" for k in range(20)}
+
+
 def test_arrival_numbers_follow_the_order_without_moving_rows(spark):
     rows = [(n, f"f{n}-{b}", p * 3, f"{n}-{b}-{p}") for n in (2, 0, 1) for b in range(3) for p in range(4)]
     frame = spark.createDataFrame(rows, "page_number long, page_file string, position long, raw string").repartition(5)
