@@ -106,8 +106,25 @@ def source_type_name(source_type: Column) -> Column:
     return F.when(source_type == "publication", "Publication").otherwise("Registered trial")
 
 
+def fixed_point(value: Column, places: int) -> Column:
+    """``value`` with so many decimals (at most 4), by its binary value and halves to even, as C's printf.
+
+    Java's formatter rounds the shortest decimal that reads as the value, halves up. Values
+    are cut in two parts whose products with 10^places are exact; those that are negative
+    or of 2^17 and more keep Java's rounding.
+    """
+    scale, grid = float(10**places), float(1 << 26)
+    high = F.floor(value * grid) / grid
+    whole = F.floor(high * scale)
+    over_half = (high * scale - whole - 0.5) + (value - high) * scale
+    units = whole + F.when((over_half > 0) | ((over_half == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    base = F.lit(10**places)
+    shown = F.concat(F.floor(units / base).cast("string"), F.lit("."), F.lpad((units % base).cast("string"), places, "0"))
+    return F.when((value >= 0) & (value < 1 << 17), shown).otherwise(F.format_string(f"%.{places}f", value))
+
+
 def format_score(score: Column) -> Column:
-    return F.format_string("%.4f", score)
+    return fixed_point(score, 4)
 
 
 def truncate_excerpt(text: Column, max_length: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark import settings
+from groundspark.functions.text import fixed_point
 from groundspark.operators.grounding import citation_rows, generate_answers
 from groundspark.operators.metrics import confusion_columns, document_order, ordered_list, question_problems
 from groundspark.plans.retrieval import Provider, search_modes
@@ -140,7 +141,7 @@ def evaluation_notes(mode: str, scripted: bool) -> list[str]:
 
 
 def _shown(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value))
+    return F.when(value.isNull(), "n/a").otherwise(fixed_point(value, 3))
 
 
 MEANS = {"recall within 5": "mean_recall_at_5", "first true rank, reciprocal": "mrr", "cited that is true": "mean_citation_correctness", "true that is cited": "mean_citation_completeness", "right to answer or decline": "abstention_accuracy"}

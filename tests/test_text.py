@@ -189,3 +189,13 @@ def test_labels(spark):
     assert evaluate(spark, text.source_label, "trial", "NCT00000001", schema="a string,b string") == "NCT00000001"
     assert one(spark, text.source_type_name, "trial") == "Registered trial"
     assert one(spark, text.format_score, 0.0163934, "double") == "0.0164"
+
+
+def test_exact_halves_are_shown_even(spark):
+    """As C's printf: 1/16 is a half of the third place; 3/80 is below one, though written as one."""
+    values = [k / n for n in range(1, 130) for k in range(n + 1)] + [k / 20_000 for k in range(20_001)] + [123456.0625, 131072.5, -0.25]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (3, 4):
+        got = [tuple(r) for r in rows.select("v", text.fixed_point(F.col("v"), places)).collect()]
+        assert [shown for _, shown in got] == [f"{v:.{places}f}" for v, _ in got]
+    assert one(spark, lambda v: text.fixed_point(v, 3), 1 / 16, "double") == "0.062"
