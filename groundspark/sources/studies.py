@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +25,7 @@ CUT = "page_file string, position int, raw string, reason string"
 WHOLE_PAGE_BYTES = 64 << 20
 # Studies that a task hands to Spark at once.
 STUDIES_PER_BATCH = 1_000
+CHARS_PER_BATCH = 4 << 20
 
 
 class _Decoder(json.JSONDecoder):
@@ -100,16 +100,33 @@ def cut_page(text: str) -> Iterator[tuple[int, str | None, str | None]]:
 
 
 def cut_whole_pages(pages: DataFrame) -> DataFrame:
-    """(page_file, position, raw, reason) of (page_file, value) pages, each cut by one task."""
+    """(page_file, position, raw, reason) of (page_file, value) pages, each cut by one task.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Studies are handed on by number and by length, whichever comes first, those of short pages together.
+    """
+
+    def studies_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for file, value in zip(batch.column("page_file").to_pylist(), batch.column("value"), strict=True):
-                found = cut_page(value.as_py() or "")
-                while rows := list(islice(found, STUDIES_PER_BATCH)):
-                    position, raw, reason = zip(*rows, strict=True)
-                    columns = [pa.array([file] * len(rows)), pa.array(position, pa.int32()), pa.array(raw, pa.string()), pa.array(reason, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["page_file", "position", "raw", "reason"])
+            for file, value in zip(batch.column("page_file"), batch.column("value"), strict=True):
+                name = file.as_py()
+                for study in cut_page(value.as_py() or ""):
+                    yield name, *study
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for row in studies_of(batches):
+            rows.append(row)
+            size += len(row[2] or "")
+            if len(rows) >= STUDIES_PER_BATCH or size >= CHARS_PER_BATCH:
+                yield handed(rows)
+                rows, size = [], 0
+        if rows:
+            yield handed(rows)
+
+    def handed(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.string(), pa.int32(), pa.string(), pa.string()]
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["page_file", "position", "raw", "reason"])
 
     return pages.select("page_file", "value").mapInArrow(cut, CUT)
 
@@ -135,6 +152,19 @@ def landed_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("page_file"), "value")
 
 
+def pack_pages(pages: DataFrame, path: str) -> None:
+    """Land (page_file, value) pages as rows of a Parquet table.
+
+    For pages of a few studies: as files of their own, each would cost its own opening,
+    listing and renaming, most of it in the driver.
+    """
+    pages.select("page_file", "value").write.mode("append").parquet(path)
+
+
+def packed_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.schema("page_file string, value string").parquet(*([path] if isinstance(path, str) else path))
+
+
 def split_landed(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_PAGE_BYTES) -> DataFrame:
     """``split_pages`` of the files at ``path``; those of more than ``whole_bytes`` are cut by many tasks.
 
@@ -165,7 +195,16 @@ def read_study_pages(spark: SparkSession, path: str | list[str], whole_bytes: in
 
 def rejected_studies(spark: SparkSession, path: str | list[str], whole_bytes: int = WHOLE_PAGE_BYTES) -> DataFrame:
     """(page_file, position, reason) of what ``read_study_pages`` fails on."""
-    return split_landed(spark, path, whole_bytes).filter("reason IS NOT NULL").select("page_file", "position", "reason")
+    return _rejected(split_landed(spark, path, whole_bytes))
+
+
+def rejected_of_pages(pages: DataFrame) -> DataFrame:
+    """The same of (page_file, value) pages, as ``packed_pages`` gives them."""
+    return _rejected(split_pages(pages))
+
+
+def _rejected(rows: DataFrame) -> DataFrame:
+    return rows.filter("reason IS NOT NULL").select("page_file", "position", "reason")
 
 
 def take_first(studies: DataFrame, max_results: int | None, order: list[str]) -> DataFrame:

@@ -593,3 +593,28 @@ def test_arrival_numbers_follow_the_order_without_moving_rows(spark):
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan
     assert ingest.number_arrivals(frame.limit(0), ["page_number", "page_file", "position"]).count() == 0
+
+
+def test_packed_pages_give_few_files(spark, tmp_path):
+    """Pages of one study each need no file each; what cannot be read is told per page, as of files."""
+    rows = [(f"page-{i}.json", json.dumps({"studies": [study(f"NCT{i}")]})[: -30 if i % 3 == 0 else None]) for i in range(3_000)]
+    path, files = str(tmp_path / "packs"), tmp_path / "files"
+    studies.pack_pages(spark.createDataFrame(rows, "page_file string, value string"), path)
+    assert len(list((tmp_path / "packs").glob("part-*"))) <= 8
+    packed = studies.rejected_of_pages(studies.packed_pages(spark, path)).collect()
+    assert {r.page_file for r in packed} == {name for name, _ in rows[::3]} and len(packed) == 1_000
+    files.mkdir()
+    for name, text in rows[:60]:
+        (files / name).write_text(text)
+    told = {(r.page_file.rsplit("/", 1)[1], r.position, r.reason) for r in studies.rejected_studies(spark, str(files)).collect()}
+    assert told == {tuple(r) for r in packed if int(r.page_file[5:-5]) < 60}
+
+
+def test_rejected_query_lands_packs(spark, tmp_path, monkeypatch):
+    """The query's landing writes no file per document."""
+    from groundspark.catalog import queries
+
+    spark.range(200).selectExpr("id AS doc_id", "'some text' AS text", "'en' AS lang", "'s' AS source", "9L AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "_fresh_path", lambda spark, name: str(tmp_path / name))
+    found = {(r.position, r.n_pages) for r in queries.s1_rejected_studies(spark, str(tmp_path)).collect()}
+    assert found == {(1, 67), (0, 26)} and len(list((tmp_path / "broken-pages").glob("part-*"))) <= 16
