@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from groundspark import settings
 from groundspark.functions.text import sha256_hex
+from groundspark.runtime import in_slices
 
 SPANS_DDL = "array<struct<text:string,char_start:int,char_end:int>>"
 SPANS = pa.list_(pa.struct([("text", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())]))
@@ -59,8 +60,8 @@ def chunk_documents(
 
     @F.arrow_udf(SPANS_DDL)
     def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([window_spans(t or "", size, overlap) for t in batch.to_pylist()], type=SPANS)
+        for part in in_slices(batches):
+            yield pa.array([window_spans(t or "", size, overlap) for t in part.to_pylist()], type=SPANS)
 
     return (
         documents.select(F.col(id_column).alias("document_id"), F.posexplode(spans(text_column)).alias("chunk_index", "s"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,21 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Likewise for tables of keys alone.
 BROADCAST_KEYS = 500_000
+# Python tasks turn so many bytes of a batch into objects at once.
+SLICE_BYTES = 4 << 20
+
+
+def in_slices(batches: Iterable[pa.Array], limit_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The rows of all batches in parts of about ``limit_bytes``, one row at least.
+
+    Arrow's unused memory is given back after each batch; what a task holds then does
+    not follow the length of Spark's batches.
+    """
+    for batch in batches:
+        rows = max(1, len(batch) * limit_bytes // max(1, batch.nbytes))
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def shared_folder(spark: SparkSession) -> str:
