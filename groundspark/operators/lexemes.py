@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.stemming import stem
+from groundspark.runtime import in_slices
 
 # English stop words of the Snowball project.
 STOPWORDS = (
@@ -23,7 +24,8 @@ STOPWORDS = (
     "there when where why how all any both each few more most other some such no nor not only own "
     "same so than too very s t can will just don should now"
 ).split()
-MAX_CACHED_WORDS = 1_000_000
+# A task keeps the stems of so many words; rare ones are cheap to stem again.
+MAX_CACHED_WORDS = 100_000
 TOKEN = r"[\p{L}\p{N}]+"
 
 
@@ -42,19 +44,25 @@ CONFIGS = {
 
 
 def stem_words(words: Column) -> Column:
-    """Stems of an array of words; a task stems each distinct word once."""
+    """Stems of an array of words; a task stems each distinct word of a slice at most once."""
 
     def stems_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         stems: dict[str, str] = {}
-        for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                for word in row or ():
-                    if word not in stems:
-                        stems[word] = stem(word)
-            yield pa.array([row and [stems[w] for w in row] for row in rows], type=pa.list_(pa.string()))
-            if len(stems) > MAX_CACHED_WORDS:
-                stems.clear()
+
+        def stem_of(word: str | None) -> str | None:
+            known = stems.get(word)
+            if known is None and word is not None:
+                if len(stems) >= MAX_CACHED_WORDS:
+                    stems.clear()
+                known = stems[word] = stem(word)
+            return known
+
+        for part in in_slices(batches):
+            coded = part.flatten().dictionary_encode()
+            found = pa.array([stem_of(word) for word in coded.dictionary.to_pylist()], pa.string())
+            ends = np.zeros(len(part) + 1, np.int32)
+            np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+            yield pa.ListArray.from_arrays(pa.array(ends), found.take(coded.indices), mask=part.is_null())
 
     return F.arrow_udf(stems_of, "array<string>")(words)
 
@@ -113,8 +121,8 @@ def lexeme_entries(lexemes: Column, positions: Column) -> Column:
 
     @F.arrow_udf(ENTRIES_DDL)
     def entries(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for words, places in batches:
-            yield count_entries(words, places)
+        for part in in_slices(pa.StructArray.from_arrays(pair, names=["words", "places"]) for pair in batches):
+            yield count_entries(*part.flatten())
 
     return entries(lexemes, positions)
 
