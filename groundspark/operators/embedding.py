@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark import settings
+from groundspark.runtime import in_slices
 
-MAX_CACHED_TOKENS = 1_000_000
+# A task keeps the slots of so many tokens, of at most that length; rare ones are cheap to hash again.
+MAX_CACHED_TOKENS = 100_000
+MAX_CACHED_LENGTH = 64
 
 
 def hash_counts(dim: int = settings.EMBEDDING_DIM) -> Callable[[Column | str], Column]:
@@ -34,16 +37,18 @@ def hash_counts(dim: int = settings.EMBEDDING_DIM) -> Callable[[Column | str], C
                 if len(slots) >= MAX_CACHED_TOKENS:
                     slots.clear()
                 digest = hashlib.sha256(token.encode("utf-8")).digest()
-                known = slots[token] = int.from_bytes(digest, "big") % (2 * dim)
+                known = int.from_bytes(digest, "big") % (2 * dim)
+                if len(token) <= MAX_CACHED_LENGTH:
+                    slots[token] = known
             return known
 
-        for batch in batches:
-            out = np.zeros((len(batch), dim), dtype=np.int32)
-            for row, text in enumerate(batch.to_pylist()):
+        for part in in_slices(batches):
+            out = np.zeros((len(part), dim), dtype=np.int32)
+            for row, text in enumerate(part.to_pylist()):
                 tokens = [slot(token) for token in (text or "").lower().split()]
                 both = np.bincount(tokens, minlength=2 * dim) if tokens else np.zeros(2 * dim, np.int64)
                 out[row] = both[:dim] - both[dim:]
-            offsets = np.arange(0, len(batch) * dim + 1, dim, dtype=np.int32)
+            offsets = np.arange(0, len(part) * dim + 1, dim, dtype=np.int32)
             yield pa.ListArray.from_arrays(offsets, out.ravel())
 
     return counts

@@ -3,11 +3,13 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from groundspark import runtime
 from groundspark.functions.stemming import stem
 from groundspark.operators import chunking, embedding, lexemes
 from groundspark.plans.retrieval import build_index, enrich_chunks
@@ -155,3 +157,18 @@ def test_index_diff(spark):
     assert chunking.index_totals(diff, documents).first().asDict() == {"documents": 3, "created": 1, "updated": 0, "unchanged": 3, "deleted": 2}
     again = chunking.diff_chunks(fresh, chunking.apply_index_diff(diff, stored, enrich))
     assert {r.action for r in again.collect()} == {"unchanged"}
+
+
+def test_python_work_is_cut_in_slices():
+    """A batch of Spark's, however long, is turned into objects part by part, and all its rows come back in order."""
+    texts = pa.array([f"word{i} " * 2_000 for i in range(1_000)] + [None, ""])
+    parts = list(runtime.in_slices([texts, texts.slice(0, 0)], 1 << 20))
+    assert len(parts) > 10 and max(p.nbytes for p in parts) < 2 << 20 and pa.concat_arrays(parts).equals(texts)
+    assert [len(p) for p in runtime.in_slices([pa.array(["x" * 100] * 3)], 1)] == [1, 1, 1]
+    hashed = list(embedding.hash_counts(4).func(iter([texts])))
+    assert len(hashed) > 2 and sum(map(len, hashed)) == len(texts) and hashed[-1][-1].as_py() == [0] * 4
+
+
+def test_stems_of_null_and_empty_rows(spark):
+    rows = spark.createDataFrame([(["runs", "running", "run"],), (None,), ([],), (["cats"],)], "w array<string>").coalesce(1)
+    assert [r[0] for r in rows.select(lexemes.stem_words(F.col("w"))).collect()] == [["run"] * 3, None, [], ["cat"]]
