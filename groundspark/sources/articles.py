@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions.dates import article_date
 from groundspark.functions.text import extract_nct_ids, sha256_hex, strip
+from groundspark.runtime import in_slices
 
 ARTICLE_URL = "https://pubmed.ncbi.nlm.nih.gov/"
 ARTICLE_END = "</PubmedArticle>"
@@ -126,8 +127,8 @@ def parse_articles(article_xml: Column) -> Column:
     """Leaves struct of each article, every article parsed once."""
 
     def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([parse_article(xml) for xml in batch.to_pylist()], type=PARSED)
+        for part in in_slices(batches):
+            yield pa.array([parse_article(xml) for xml in part.to_pylist()], type=PARSED)
 
     return F.arrow_udf(parse, PARSED_DDL)(article_xml)
 
