@@ -16,7 +16,7 @@ from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.runtime import write_table
 
 QUERIES_PER_PASS = 4096
-SCORES_PER_SLICE = 4_000_000
+SCORES_PER_SLICE = 500_000
 
 
 def best_per_query(hits: DataFrame, limit: int) -> DataFrame:
