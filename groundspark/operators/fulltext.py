@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.operators.dense import best_per_query
-from groundspark.runtime import skew_join, text_fits_broadcast, write_table
+from groundspark.runtime import BROADCAST_KEYS, rows_fit, skew_join, text_fits_broadcast, write_table
 
 # Fixed value: weights are whole billionths, so that sums do not depend on order.
 WEIGHT_UNIT = 1_000_000_000
@@ -95,7 +95,8 @@ def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int)
     Only postings of searched lexemes are read: with up to MAX_PUSHED_LEXEMES of
     them their names are pushed down to the files, which are clustered by lexeme.
     Candidates come from each question's rarest lexeme and then meet the postings
-    of its other lexemes on the whole key.
+    of its other lexemes on the whole key; counted as few they are broadcast, so that
+    the postings are not shuffled.
     """
     wanted, small = _wanted(queries)
     terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"), F.size("wanted").alias("n_wanted"))
@@ -114,8 +115,9 @@ def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int)
     else:
         candidates = skew_join(found, rarest, "lexeme", "inner", CHUNK_KEY).drop("lexeme")
         candidates = skew_join(candidates, terms, "query_id", "inner", CHUNK_KEY)
+    candidates = write_table(candidates.select("query_id", *CHUNK_KEY, "lexeme", "n_wanted"), "candidates")
     hits = (
-        candidates.join(searched, ["lexeme", *CHUNK_KEY])
+        searched.join(F.broadcast(candidates) if rows_fit(candidates, BROADCAST_KEYS) else candidates, ["lexeme", *CHUNK_KEY])
         .groupBy("query_id", *CHUNK_KEY)
         .agg(F.count("*").alias("n_found"), F.first("n_wanted").alias("n_wanted"), F.sum(saturated_weight(F.col("tf"))).alias("units"))
         .filter(F.col("n_found") == F.col("n_wanted"))

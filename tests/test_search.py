@@ -344,3 +344,20 @@ def test_frequent_values(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 400, F.lit(7)).otherwise(F.col("id")).alias("k"))
     found = [r.k for r in frequent_values(rows, "k", 0.1).collect()]
     assert 7 in found and len(found) <= 10
+
+
+def test_few_candidates_do_not_shuffle_the_postings(spark, monkeypatch):
+    """Without broadcasts of Spark's own choice: the postings are scanned, or shuffled if candidates are many, for the same hits."""
+    rows = [(f"w{i % 7}", i // 7, 0, 1 + i % 3, [1]) for i in range(700)]
+    stored = spark.createDataFrame(rows, "lexeme string, document_id long, chunk_index int, tf int, positions array<int>")
+    asked = spark.createDataFrame([(1, ["w1", "w2"]), (2, ["w3", "none"])], "query_id int, lexemes array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = fulltext.fulltext_from_postings(asked, stored, 5)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        monkeypatch.setattr(fulltext, "BROADCAST_KEYS", 1)
+        many = fulltext.fulltext_from_postings(asked, stored, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many)) and len(many) == 5
