@@ -42,14 +42,10 @@ def rarest_lexemes(terms: DataFrame, frequencies: DataFrame) -> DataFrame:
     )
 
 
-def document_frequencies(chunks: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+def document_frequencies(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(lexeme, n): in how many chunks each searched lexeme occurs."""
-    searched = terms.select("lexeme").distinct()
     held = chunks.select(F.explode(F.array_distinct("lexemes")).alias("lexeme"))
-    if small:
-        held = held.join(F.broadcast(searched), "lexeme", "left_semi")
-    counted = held.groupBy("lexeme").agg(F.count("*").alias("n"))
-    return counted if small else counted.join(searched, "lexeme", "left_semi")
+    return held.groupBy("lexeme").agg(F.count("*").alias("n")).join(terms.select("lexeme").distinct(), "lexeme", "left_semi")
 
 
 def _wanted(queries: DataFrame) -> tuple[DataFrame, bool]:
@@ -67,23 +63,21 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
 
     ``queries`` has (query_id, lexemes); one without lexemes matches nothing.
     Candidates are the chunks holding a question's rarest lexeme, and only those
-    are checked for the others, so frequent lexemes never multiply rows. A
-    question table measured as small is broadcast and chunks are not shuffled;
-    a larger one is joined on the lexeme with frequent lexemes spread out.
+    are checked for the others, so frequent lexemes never multiply rows. With a
+    question table measured as small the searched lexemes of the chunks are counted
+    once, as slim postings, and the whole chunks do not move; a larger one is joined
+    on the lexeme with frequent lexemes spread out.
     """
     wanted, small = _wanted(queries)
-    terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"))
-    rarest = rarest_lexemes(terms, document_frequencies(chunks, terms, small))
-    drivers = rarest.join(wanted, "query_id")
     if small:
-        candidates = chunks.select(*CHUNK_KEY, "lexemes", F.explode(F.array_distinct("lexemes")).alias("lexeme")).join(
-            F.broadcast(drivers), "lexeme"
-        )
-    else:
-        slim = chunks.select(*CHUNK_KEY, F.explode(F.array_distinct("lexemes")).alias("lexeme"))
-        candidates = skew_join(slim, drivers, "lexeme", "inner", CHUNK_KEY).join(
-            chunks.select(*CHUNK_KEY, "lexemes"), CHUNK_KEY
-        )
+        searched = wanted.select(F.explode("wanted").alias("lexeme")).distinct()
+        held = chunks.select(*CHUNK_KEY, F.explode("lexemes").alias("lexeme")).join(F.broadcast(searched), "lexeme", "left_semi")
+        counted = held.groupBy("lexeme", *CHUNK_KEY).agg(F.count("*").cast("int").alias("tf"))
+        return _best_of_postings(wanted, small, write_table(counted, "searched-postings"), limit)
+    terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"))
+    drivers = rarest_lexemes(terms, document_frequencies(chunks, terms)).join(wanted, "query_id")
+    slim = chunks.select(*CHUNK_KEY, F.explode(F.array_distinct("lexemes")).alias("lexeme"))
+    candidates = skew_join(slim, drivers, "lexeme", "inner", CHUNK_KEY).join(chunks.select(*CHUNK_KEY, "lexemes"), CHUNK_KEY)
     hits = candidates.filter((F.size("wanted") == 1) | (F.size(F.array_except("wanted", "lexemes")) == 0))
     scored = hits.select("query_id", *CHUNK_KEY, frequency_score(F.col("wanted"), F.col("lexemes")).alias("score"))
     return best_per_query(scored, limit)
@@ -99,14 +93,35 @@ def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int)
     the postings are not shuffled.
     """
     wanted, small = _wanted(queries)
-    terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"), F.size("wanted").alias("n_wanted"))
-    names = [row["lexeme"] for row in terms.select("lexeme").distinct().limit(MAX_PUSHED_LEXEMES + 1).collect()]
+    listed = wanted.select(F.explode("wanted").alias("lexeme")).distinct()
+    names = [row["lexeme"] for row in listed.limit(MAX_PUSHED_LEXEMES + 1).collect()]
     slim = postings.select("lexeme", *CHUNK_KEY, "tf")
     if len(names) <= MAX_PUSHED_LEXEMES:
         searched = slim.filter(F.col("lexeme").isin(names))
     else:
-        listed = terms.select("lexeme").distinct()
         searched = slim.join(F.broadcast(listed), "lexeme", "left_semi") if small else slim
+    return _best_of_postings(wanted, small, searched, limit)
+
+
+def _best_of_postings(wanted: DataFrame, small: bool, searched: DataFrame, limit: int) -> DataFrame:
+    """Best hits of questions (query_id, wanted) from the postings of their lexemes.
+
+    A posting of a question's only lexeme is a hit as it stands; candidates are for the others.
+    """
+    every = wanted.select("query_id", F.explode("wanted").alias("lexeme"), F.size("wanted").alias("n_wanted"))
+    alone, terms = every.filter("n_wanted = 1").select("query_id", "lexeme"), every.filter("n_wanted > 1")
+    hits = None
+    if not alone.isEmpty():
+        found = searched.join(F.broadcast(alone), "lexeme") if small else skew_join(searched, alone, "lexeme", "inner", CHUNK_KEY)
+        hits = found.select("query_id", *CHUNK_KEY, saturated_weight(F.col("tf")).alias("units"))
+    if hits is None or not terms.isEmpty():
+        several = _hits_of_several(terms, small, searched)
+        hits = several if hits is None else hits.unionByName(several)
+    return best_per_query(hits.select("query_id", *CHUNK_KEY, (F.col("units") / F.lit(float(WEIGHT_UNIT))).alias("score")), limit)
+
+
+def _hits_of_several(terms: DataFrame, small: bool, searched: DataFrame) -> DataFrame:
+    """(query_id, document_id, chunk_index, units) of the chunks holding all lexemes of a question."""
     frequencies = searched.groupBy("lexeme").agg(F.count("*").alias("n"))
     rarest = rarest_lexemes(terms, frequencies)
     found = searched.select("lexeme", *CHUNK_KEY)
@@ -116,10 +131,10 @@ def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int)
         candidates = skew_join(found, rarest, "lexeme", "inner", CHUNK_KEY).drop("lexeme")
         candidates = skew_join(candidates, terms, "query_id", "inner", CHUNK_KEY)
     candidates = write_table(candidates.select("query_id", *CHUNK_KEY, "lexeme", "n_wanted"), "candidates")
-    hits = (
+    return (
         searched.join(F.broadcast(candidates) if rows_fit(candidates, BROADCAST_KEYS) else candidates, ["lexeme", *CHUNK_KEY])
         .groupBy("query_id", *CHUNK_KEY)
         .agg(F.count("*").alias("n_found"), F.first("n_wanted").alias("n_wanted"), F.sum(saturated_weight(F.col("tf"))).alias("units"))
         .filter(F.col("n_found") == F.col("n_wanted"))
+        .select("query_id", *CHUNK_KEY, "units")
     )
-    return best_per_query(hits.select("query_id", *CHUNK_KEY, (F.col("units") / F.lit(float(WEIGHT_UNIT))).alias("score")), limit)
