@@ -318,18 +318,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # What is still apart from the hub of its bucket meets the whole bucket.
     named = member.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    named = named.join(of_hub, "hub", "left").withColumn("apart", F.col("component") != F.coalesce("hub_component", "hub"))
-    open_buckets = named.filter("apart").select("band", "value").distinct()
+    named = named.join(of_hub, "hub", "left").withColumn("home", F.coalesce("hub_component", "hub"))
+    open_buckets = named.filter("component <> home").select("band", "value").distinct()
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     rest = named.join(open_buckets, ["band", "value"]).filter("class <> hub").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class"), blocks))
-    rest = write_table(rest.select("band", "value", "class", "component", "apart", "blocks", "mine"), "rest")
+    rest = write_table(rest.select("band", "value", "class", "component", "home", "blocks", "mine"), "rest")
 
     def within(rest: DataFrame, same_block: bool) -> DataFrame:
-        """Links between the components of a bucket, from classes of one block or of two."""
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        """Links between the components of a bucket, from classes of one block or of two.
+
+        Only what is apart from the hub's component by now is compared with the others.
+        """
+        apart = rest.filter("component <> home")
+        met = F.col("mine") if same_block else F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: j != F.col("mine")))
         meets = F.col("i") == F.col("j") if same_block else F.col("i") != F.col("j")
-        grid = rest.filter("apart").select("band", "value", F.col("mine").alias("i"), every.alias("j"), F.lit(True).alias("left"), "class", "component").filter(meets)
-        taken = rest.filter("apart").select("band", "value", F.col("mine").alias("i")).distinct()
+        grid = apart.select("band", "value", F.col("mine").alias("i"), met.alias("j"), F.lit(True).alias("left"), "class", "component")
+        taken = apart.select("band", "value", F.col("mine").alias("i")).distinct()
         others = rest.select("band", "value", F.col("mine").alias("j"), "class", "component").join(taken, ["band", "value"]).filter(meets)
         others = others.select("band", "value", "i", "j", F.lit(False).alias("left"), "class", "component")
         links = compare(grid.union(others), sets, ["band", "value", "i", "j"], similarity)
@@ -339,7 +343,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     for same_block in (True, False):
         joined = components(within(rest, same_block)).select(F.col("node").alias("component"), F.col("component").alias("further"))
         labels = write_table(further(labels, joined), "labels")
-        rest = rest.join(joined, "component", "left").withColumn("component", F.coalesce("further", "component")).drop("further")
+        if same_block:
+            of_home = joined.select(F.col("component").alias("home"), F.col("further").alias("home_further"))
+            moved = rest.join(joined, "component", "left").withColumn("component", F.coalesce("further", "component"))
+            moved = moved.join(of_home, "home", "left").withColumn("home", F.coalesce("home_further", "home"))
+            rest = write_table(moved.select(*rest.columns), "rest")
 
     named = signed.select("doc_key", "text_key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
     # A row without class is its own group.

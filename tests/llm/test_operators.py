@@ -82,6 +82,27 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert got == {d: (c, c == d) for d, c in want.items()} and len(set(want.values())) < 40
 
 
+def test_joined_classes_are_not_compared_between_blocks(spark, monkeypatch):
+    """op5: classes that their block had joined to the hub still met every other block of the bucket."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    # One sample alone: buckets are wide, and hubs reach a part of them.
+    monkeypatch.setattr(minhash, "BANDS", 1)
+    monkeypatch.setattr(minhash, "ROWS", 1)
+    monkeypatch.setattr(minhash, "signature", lambda hashes, weights, drawn=minhash.signature: drawn(hashes, weights, 1))
+    words = sentence(31, 260).split()
+    texts = [" ".join(words[k : k + 150]) for k in range(0, 100, 2)]
+    apart, compare = [], minhash.compare
+
+    def counted(members, stored, key, similarity):
+        if "j" in key:
+            apart.append(members.filter("left").select("band", "value", "class").distinct().count())
+        return compare(members, stored, key, similarity)
+
+    monkeypatch.setattr(minhash, "compare", counted)
+    assert minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    assert len(apart) == 2 and apart[1] < apart[0], apart
+
+
 def test_exact_similarity_of_sets_and_sampling_rate():
     texts = [variant(k, sentence(7, 300) + " " + sentence(7, 30), 3 * k) for k in range(4)] + ["one two", "one two one two one two one two one two"]
     sets, idf = weighted(texts)
