@@ -7,6 +7,7 @@ white space (runs of blanks, tabs, leading blanks) go to the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -51,8 +52,19 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo_words = memo_words
+        self.begins = self._begins()
         self._forget()
 
+    def _begins(self) -> np.ndarray | None:
+        """Which ids stand for bytes that begin with a blank or line feed, if tokens are bytes of the text."""
+        parts = json.loads(self.tokenizer.to_str())
+        if parts["normalizer"] is not None or (parts["pre_tokenizer"] or {}).get("type") != "ByteLevel":
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        begins[[number for token, number in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
+        return begins
+
     def _forget(self) -> None:
         self.memo = pa.array([], pa.string())
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -60,27 +72,36 @@ class WordEncoder:
         self.used = 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def _joined(self, words: pa.StringArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and counts of ids of words that each begin with a blank or line feed and hold more."""
         ids, sizes = [], []
         for at in range(0, len(words), JOINED_WORDS):
-            some = words[at : at + JOINED_WORDS]
-            begins = np.cumsum([0, *map(len, some)])[:-1]
-            encoding = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            some = words.slice(at, JOINED_WORDS)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "")[0].as_py()
+            if self.begins is not None:
+                # Bytes of words make up tokens: each word has one that holds its first byte, and offsets are not needed.
+                found = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                starts = np.flatnonzero(self.begins[found])
+                if len(starts) == len(some):
+                    ids.append(found)
+                    sizes.append(np.diff(starts, append=len(found)))
+                    continue
+            encoding = self.tokenizer.encode(text, add_special_tokens=False)
             ids.append(np.array(encoding.ids, np.uint32))
+            lengths = pc.utf8_length(some).to_numpy(zero_copy_only=False)
             offsets = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids[-1]))
-            sizes.append(np.diff(np.searchsorted(offsets, begins, "left"), append=len(offsets)))
+            sizes.append(np.diff(np.searchsorted(offsets, np.cumsum(lengths) - lengths, "left"), append=len(offsets)))
         return ids, sizes
 
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Remember new words; returns their places."""
-        listed = words.to_pylist()
-        joined = np.fromiter((len(w) > 1 and w[0] in " \n" for w in listed), bool, len(listed))
+        begun = pc.or_(pc.starts_with(words, " "), pc.starts_with(words, "\n"))
+        joined = pc.and_(begun, pc.greater(pc.binary_length(words), 1)).to_numpy(zero_copy_only=False)
         order = np.concatenate([np.flatnonzero(joined), np.flatnonzero(~joined)])
-        arrays, counts = self._joined([w for w, j in zip(listed, joined, strict=True) if j])
-        whole = self._whole([w for w, j in zip(listed, joined, strict=True) if not j])
+        arrays, counts = self._joined(words.take(pa.array(np.flatnonzero(joined))))
+        whole = self._whole(words.take(pa.array(np.flatnonzero(~joined))).to_pylist())
         sizes = np.concatenate([*counts, [len(a) for a in whole]]).astype(np.int64)
         known, total = len(self.memo), self.used + int(sizes.sum())
         self.memo = pa.concat_arrays([self.memo, words.take(pa.array(order))])

@@ -102,3 +102,17 @@ def test_packing_of_odd_documents(spark, odd_docs, no_docs):
     got = sorted(tuple(np.concatenate([i for _, i in sorted(p, key=lambda x: x[0])]).tolist()) for (d, _), p in texts.items() if d not in (9, None, 10))
     assert got == [w for w in want if w in set(got)] and len(got) == len(want) - 2
     assert packing.pack(no_docs, path).count() == 0
+
+
+def test_words_of_a_byte_tokenizer_need_no_offsets():
+    """op2: offsets of every token were made into Python objects to find where words begin."""
+    encoder = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = encoder.tokenizer
+
+    class WithoutOffsets:
+        encode_batch_fast = staticmethod(whole.encode_batch_fast)
+
+    encoder.tokenizer = WithoutOffsets()
+    texts = ["The first line\nholds caf\u00e9 and \u65e5\u672c \u4f60 words", "a b\nc <|endoftext|> \u0120x \U0001f600y 12.5%", "", "x"]
+    found = [ids.tolist() for ids in encoder.encode(pa.array(texts))]
+    assert found == [whole.encode(text, add_special_tokens=False).ids for text in texts]
