@@ -63,17 +63,14 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
 
     ``queries`` has (query_id, lexemes); one without lexemes matches nothing.
     Candidates are the chunks holding a question's rarest lexeme, and only those
-    are checked for the others, so frequent lexemes never multiply rows. With a
-    question table measured as small the searched lexemes of the chunks are counted
-    once, as slim postings, and the whole chunks do not move; a larger one is joined
-    on the lexeme with frequent lexemes spread out.
+    are checked for the others, so frequent lexemes never multiply rows. A question
+    table measured as small goes to the chunks, which are checked as they are read
+    and do not move; a larger one is joined on the lexeme with frequent lexemes
+    spread out.
     """
     wanted, small = _wanted(queries)
     if small:
-        searched = wanted.select(F.explode("wanted").alias("lexeme")).distinct()
-        held = chunks.select(*CHUNK_KEY, F.explode("lexemes").alias("lexeme")).join(F.broadcast(searched), "lexeme", "left_semi")
-        counted = held.groupBy("lexeme", *CHUNK_KEY).agg(F.count("*").cast("int").alias("tf"))
-        return _best_of_postings(wanted, small, write_table(counted, "searched-postings"), limit)
+        return _best_of_rows(wanted, chunks, limit)
     terms = wanted.select("query_id", F.explode("wanted").alias("lexeme"))
     drivers = rarest_lexemes(terms, document_frequencies(chunks, terms)).join(wanted, "query_id")
     slim = chunks.select(*CHUNK_KEY, F.explode(F.array_distinct("lexemes")).alias("lexeme"))
@@ -83,6 +80,45 @@ def fulltext_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFr
     return best_per_query(scored, limit)
 
 
+def _of_lexemes(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` whose lexeme is in the few ``terms``; up to MAX_PUSHED_LEXEMES are looked up by name, without a join."""
+    wanted = terms.select("lexeme").distinct()
+    names = [row["lexeme"] for row in wanted.limit(MAX_PUSHED_LEXEMES + 1).collect()]
+    return rows.filter(F.col("lexeme").isin(names)) if len(names) <= MAX_PUSHED_LEXEMES else rows.join(F.broadcast(wanted), "lexeme", "left_semi")
+
+
+def _best_of_rows(wanted: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """Best hits of few questions (query_id, wanted) from the chunks, of which only lexemes of hits are shuffled.
+
+    The only lexeme of a question is counted as it stands. For the others a chunk is checked
+    where a question's rarest lexeme first occurs in it, and counted when it holds all.
+    """
+    every = wanted.withColumn("n_wanted", F.size("wanted"))
+    alone, several = every.filter("n_wanted = 1").select("query_id", F.get("wanted", F.lit(0)).alias("lexeme")), every.filter("n_wanted > 1")
+    hits = None
+    if not alone.isEmpty():
+        held = _of_lexemes(chunks.select(*CHUNK_KEY, F.explode("lexemes").alias("lexeme")), alone)
+        counted = held.groupBy("lexeme", *CHUNK_KEY).agg(F.count("*").cast("int").alias("tf"))
+        hits = counted.join(F.broadcast(alone), "lexeme").select("query_id", *CHUNK_KEY, saturated_weight(F.col("tf")).alias("units"))
+    if hits is None or not several.isEmpty():
+        terms = several.select("query_id", F.explode("wanted").alias("lexeme"))
+        # Any measure of rarity will do: occurrences are counted, not chunks.
+        occurrences = _of_lexemes(chunks.select(F.explode("lexemes").alias("lexeme")), terms).groupBy("lexeme").agg(F.count("*").alias("n"))
+        drivers = write_table(rarest_lexemes(terms, occurrences).join(several, "query_id"), "rarest-lexemes")
+        placed = chunks.select(*CHUNK_KEY, "lexemes", F.posexplode("lexemes").alias("place", "lexeme"))
+        candidates = _of_lexemes(placed, drivers).join(F.broadcast(drivers), "lexeme").filter(F.array_position("lexemes", F.col("lexeme")) == F.col("place") + 1)
+        found = candidates.filter(F.size(F.array_except("wanted", "lexemes")) == 0)
+        words = found.select("query_id", *CHUNK_KEY, F.explode(F.filter("lexemes", lambda word: F.array_contains("wanted", word))).alias("word"))
+        counted = words.groupBy("query_id", *CHUNK_KEY, "word").agg(F.count("*").cast("int").alias("tf"))
+        both = counted.groupBy("query_id", *CHUNK_KEY).agg(F.sum(saturated_weight(F.col("tf"))).alias("units"))
+        hits = both if hits is None else hits.unionByName(both)
+    return _best_by_units(hits, limit)
+
+
+def _best_by_units(hits: DataFrame, limit: int) -> DataFrame:
+    return best_per_query(hits.select("query_id", *CHUNK_KEY, (F.col("units") / F.lit(float(WEIGHT_UNIT))).alias("score")), limit)
+
+
 def fulltext_from_postings(queries: DataFrame, postings: DataFrame, limit: int) -> DataFrame:
     """The same hits from an inverted index of (lexeme, document_id, chunk_index, tf).
 
@@ -117,7 +153,7 @@ def _best_of_postings(wanted: DataFrame, small: bool, searched: DataFrame, limit
     if hits is None or not terms.isEmpty():
         several = _hits_of_several(terms, small, searched)
         hits = several if hits is None else hits.unionByName(several)
-    return best_per_query(hits.select("query_id", *CHUNK_KEY, (F.col("units") / F.lit(float(WEIGHT_UNIT))).alias("score")), limit)
+    return _best_by_units(hits, limit)
 
 
 def _hits_of_several(terms: DataFrame, small: bool, searched: DataFrame) -> DataFrame:
