@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.runtime import without_keys
+from groundspark.runtime import without_keys, write_table
 
 # Buckets of a keyed table, unless its first batch says otherwise.
 BUCKETS = 64
@@ -169,6 +169,8 @@ def _write_run(spark: SparkSession, rows: DataFrame, table: dict, path: str) ->
     """Write one run; returns the buckets it has. Large buckets become several files."""
     placed = rows.withColumn(BUCKET, bucket_of(table["bucket_by"], table["buckets"]))
     order = [BUCKET, *table["key"]]
+    if table["clustered"]:
+        placed = write_table(placed, "run-rows")  # Ranges are drawn from the rows, which are then read again.
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order) if table["clustered"] else placed.hint("rebalance", BUCKET)
     writer = placed.write.partitionBy(BUCKET)
     for column in table["key"]:

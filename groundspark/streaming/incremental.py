@@ -99,8 +99,8 @@ def store_studies(studies: DataFrame, root: str, config: str) -> None:
     """Upsert read studies (STUDY_ARRIVAL, study) into the tables under ``root``."""
     spark = studies.sparkSession
     base = current_version(spark, root)
-    studies = number_arrivals(studies, STUDY_ARRIVAL)
-    normalized = write_table(normalize_trials(studies, keep=("seq",)), "trial-batch")
+    # Written before it is numbered: numbering reads its rows twice.
+    normalized = number_arrivals(write_table(normalize_trials(studies, keep=tuple(STUDY_ARRIVAL)), "trial-batch"), STUDY_ARRIVAL).drop(*STUDY_ARRIVAL)
     ids = normalized.filter("nct_id <> ''").select("nct_id", F.concat(F.lit("trial:"), "nct_id").alias("document_id"))
     trials, documents = (stored_rows(spark, root, base, n, ids) for n in ("trials", "documents"))
     done = upsert_trials(normalized, trials, documents, F.current_timestamp())
@@ -111,7 +111,7 @@ def apply_article_batch(articles: DataFrame, root: str, config: str = "english")
     """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
     spark = articles.sparkSession
     base = current_version(spark, root)
-    normalized = write_table(normalize_publications(number_arrivals(articles, ARRIVAL), keep=("seq",)), "publication-batch")
+    normalized = number_arrivals(write_table(normalize_publications(articles, keep=tuple(ARRIVAL)), "publication-batch"), ARRIVAL).drop(*ARRIVAL)
     ids = normalized.select("pmid", F.concat(F.lit("publication:"), "pmid").alias("document_id"))
     publications, documents = (stored_rows(spark, root, base, n, ids) for n in ("publications", "documents"))
     named = normalized.select(F.explode("linked_nct_ids").alias("nct_id"))
