@@ -167,6 +167,21 @@ def test_a_line_of_four_shingles_meets_one_of_five(spark, longer):
     assert [r["text"] for r in linededup.dedup_lines(three).orderBy("doc_id").collect()] == ["a b c d e f g", "a b c d e f g h"]
 
 
+def test_common_tokens_come_last_and_links_stay(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "COMMON", 10)
+    monkeypatch.setattr(linededup, "COMMON_TIMES", 0)
+    shared = sentence(900, 30)
+    near = sentence(901, 60)
+    docs = [(k, f"{sentence(k + 1000, 20)} {shared} {sentence(k + 2000, 20)}") for k in range(60)] + [(100, f"{near} {shared} {near}"), (101, f"{near} {shared} {near} end")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    tables = {}
+    real = linededup.write_table
+    monkeypatch.setattr(linededup, "write_table", lambda df, name, *more: tables.setdefault(name, real(df, name, *more)))
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(frame).collect()} == {**dict(docs), 101: ""}
+    # All 60 lines share 26 tokens; none of them is left among the first ones.
+    assert tables["common-lines"].count() >= 60 and tables["shared-tokens"].groupBy("token").count().filter("count > 10").count() == 0
+
+
 def test_line_dedup_of_odd_documents(spark, odd_docs, no_docs):
     got = linededup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns
