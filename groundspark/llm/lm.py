@@ -43,6 +43,8 @@ LISTED = 1 << 18
 PAD = -1
 SIZE = 24
 BATCH = 4_096
+# Logits within this are exponentiated as they are.
+SAFE = 60
 ROUNDS = 1
 RATE = 0.1
 # Sets of parameters averaged in one group.
@@ -71,9 +73,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    words = np.array([re.sub(r"\W+", "", w) for w in coded.dictionary.to_pylist()], dtype=object)
+    words = np.array(coded.dictionary.to_numpy(zero_copy_only=False), dtype=object)
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+    for k in np.flatnonzero(pc.match_substring_regex(coded.dictionary, "[^a-z0-9_]").to_numpy(zero_copy_only=False)):
+        words[k] = re.sub(r"\W+", "", words[k])
     indices = coded.indices.to_numpy(zero_copy_only=False)
     full = np.array([bool(w) for w in words])[indices]
     owner = np.repeat(np.arange(len(texts)), counts)[full]
@@ -172,33 +176,53 @@ def _grouped(numbers: np.ndarray, limit: int) -> np.ndarray:
     return np.argsort(numbers.astype(np.int16 if limit < 1 << 15 else np.int32), kind="stable")
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def _forward(p: dict, target: np.ndarray, context: np.ndarray):
-    hidden = np.tanh(sum(p["context"][k][context[k]] for k in range(2 * SIDE)) + p["hidden"])
+    """Logits of classes and of the words of each target's class; targets come in the order of their classes."""
+    hidden = p["context"][0][context[0]]
+    for k in range(1, 2 * SIDE):
+        hidden += p["context"][k][context[k]]
+    hidden += p["hidden"]
+    np.tanh(hidden, out=hidden)
     side = len(p["class_bias"])
-    classes, inner = target // side, target % side
-    of_class = _log_softmax(hidden @ p["class_out"] + p["class_bias"])
-    order = _grouped(classes, side)
-    cuts = np.searchsorted(classes[order], np.arange(side + 1))
-    logits = np.empty((len(target), side), np.float32)
+    of_class = hidden @ p["class_out"]
+    of_class += p["class_bias"]
+    cuts = np.searchsorted(target, np.arange(side + 1) * side).tolist()
+    of_word = np.empty((len(target), side), hidden.dtype)
     for c in range(side):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if len(rows):
-            logits[rows] = hidden[rows] @ p["word_out"][c] + p["word_bias"][c]
-    of_word = _log_softmax(logits)
-    at = np.arange(len(target))
-    return of_class[at, classes] + of_word[at, inner], hidden, of_class, of_word, order, cuts
+        a, b = cuts[c], cuts[c + 1]
+        if a < b:
+            np.matmul(hidden[a:b], p["word_out"][c], out=of_word[a:b])
+            of_word[a:b] += p["word_bias"][c]
+    return hidden, of_class, of_word, cuts
+
+
+def _in_range(logits: np.ndarray) -> None:
+    """Moves rows in place so that their exponentials neither overflow nor vanish; most need no move."""
+    if logits.max() > SAFE or logits.min() < -SAFE:
+        logits -= logits.max(axis=1, keepdims=True)
+
+
+def _exponentials(logits: np.ndarray) -> np.ndarray:
+    """Turns logits into shares up to a factor, in place, and gives the sum of each row."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 def log_probabilities(flat: np.ndarray, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its context."""
-    p = views(flat)
-    parts = [_forward(p, target[a : a + BATCH], context[:, a : a + BATCH])[0] for a in range(0, len(target), BATCH)]
-    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    p, out = views(flat), np.zeros(len(target), np.float32)
+    side = len(p["class_bias"])
+    for a in range(0, len(target), BATCH):
+        by = _grouped(target[a : a + BATCH], side**2)
+        t = target[a : a + BATCH][by]
+        _, of_class, of_word, _ = _forward(p, t, context[:, a : a + BATCH][:, by])
+        at, each = np.arange(len(t)), np.zeros(len(t), np.float32)
+        for logits, mine in ((of_class, t // side), (of_word, t % side)):
+            _in_range(logits)
+            each += logits[at, mine]
+            each -= np.log(_exponentials(logits))
+        out[a + by] = each
+    return out
 
 
 def learn(flat: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.ndarray) -> None:
@@ -210,34 +234,41 @@ def learn(flat: np.ndarray, memory: np.ndarray, target: np.ndarray, context: np.
         """Only ``rows`` have a slope: all others stay as they are."""
         held = m[name][rows] + slope**2
         m[name][rows] = held
-        p[name][rows] -= np.float32(RATE) * slope / np.sqrt(held + np.float32(1e-10))
+        held += np.float32(1e-10)
+        np.sqrt(held, out=held)
+        np.divide(slope, held, out=held)
+        held *= np.float32(RATE)
+        p[name][rows] -= held
 
+    of_words = np.zeros_like(p["word_out"])
     for a in range(0, len(target), BATCH):
-        t, c = target[a : a + BATCH], context[:, a : a + BATCH]
-        _, hidden, of_class, of_word, order, cuts = _forward(p, t, c)
+        by = _grouped(target[a : a + BATCH], side**2)
+        t, c = target[a : a + BATCH][by], context[:, a : a + BATCH][:, by]
+        hidden, d_class, d_word, cuts = _forward(p, t, c)
         n = np.float32(len(t))
         at = np.arange(len(t))
-        d_class, d_word = np.exp(of_class), np.exp(of_word)
-        d_class[at, t // side] -= 1
-        d_word[at, t % side] -= 1
-        d_class /= n
-        d_word /= n
+        for slope, mine in ((d_class, t // side), (d_word, t % side)):
+            _in_range(slope)
+            slope *= (1 / (n * _exponentials(slope)))[:, None]
+            slope[at, mine] -= 1 / n
         back = d_class @ p["class_out"].T
         step("class_out", ..., hidden.T @ d_class)
         step("class_bias", ..., d_class.sum(axis=0))
-        for k in range(side):
-            rows = order[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                back[rows] += d_word[rows] @ p["word_out"][k].T
-                step("word_out", k, hidden[rows].T @ d_word[rows])
-                step("word_bias", k, d_word[rows].sum(axis=0))
+        used = [k for k in range(side) if cuts[k] < cuts[k + 1]]
+        for k in used:
+            rows = slice(cuts[k], cuts[k + 1])
+            back[rows] += d_word[rows] @ p["word_out"][k].T
+            np.matmul(hidden[rows].T, d_word[rows], out=of_words[k])
+        rows = used if len(used) < side else ...
+        step("word_out", rows, of_words[rows])
+        step("word_bias", rows, np.add.reduceat(d_word, [cuts[k] for k in used], axis=0))
         back *= 1 - hidden**2
         step("hidden", ..., back.sum(axis=0))
         for k in range(2 * SIDE):
-            by = _grouped(c[k], side**2)
-            names = c[k][by]
+            order = _grouped(c[k], side**2)
+            names = c[k][order]
             first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
-            step("context", (k, names[first]), np.add.reduceat(back[by], first, axis=0))
+            step("context", (k, names[first]), np.add.reduceat(back[order], first, axis=0))
 
 
 def train(docs: DataFrame, known: np.ndarray, frequency: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:

@@ -1,7 +1,9 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +325,43 @@ def test_scores_equal_a_plain_forward_pass():
         at += n
 
 
+def test_words_lose_punctuation_of_any_script():
+    texts = ["Plain, it's\u00a0École-9 _x_ ... “Straße”\nçà ١٢", None, "", "!?", "word\u0301 word"]
+    hashes, counts = lm.word_hashes(pa.array(texts))
+    want = [[w for w in (re.sub(r"\W+", "", w) for w in (t or "").lower().split()) if w] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] == [7, 0, 0, 0, 2]
+    assert hashes.tolist() == pd.util.hash_array(np.array(sum(want, []), dtype=object), categorize=False).view(np.int64).tolist()
+
+
+def test_large_logits_and_unused_classes():
+    """Logits beyond what floats can exponentiate; most classes have no target."""
+    ids = np.random.default_rng(3).integers(0, 70, 50)
+    target, context = lm.windows(ids, np.array([50]))
+    flat = lm.start(np.ones(lm.WORDS, np.int64))
+    lm.views(flat)["word_bias"][:] = np.linspace(-300, 300, lm.LEAST_SIDE)
+    lm.views(flat)["class_bias"][:] = np.linspace(400, -400, lm.LEAST_SIDE)
+    p = {k: v.astype(np.float64) for k, v in lm.views(flat).items()}
+    h = np.tanh(sum(p["context"][k][context[k]] for k in range(4)) + p["hidden"])
+    want = 0
+    for z, mine in ((h @ p["class_out"] + p["class_bias"], target // 32), (np.einsum("nd,ndw->nw", h, p["word_out"][target // 32]) + p["word_bias"][target // 32], target % 32)):
+        z -= z.max(axis=1, keepdims=True)
+        want = want + z[np.arange(50), mine] - np.log(np.exp(z).sum(axis=1))
+    assert lm.log_probabilities(flat, target, context) == pytest.approx(want, rel=1e-4, abs=1e-4)
+    before, memory = flat.copy(), np.full(len(flat), 1e-4, np.float32)
+    lm.learn(flat, memory, target, context)
+    assert np.isfinite(flat).all() and (lm.views(flat)["word_out"][3:] == lm.views(before)["word_out"][3:]).all() and (flat != before).any()
+
+
+def test_a_batch_of_many_classes_multiplies_no_whole_logits_twice(monkeypatch):
+    """Safe logits are exponentiated once, without a search for each row's largest."""
+    ids = np.random.default_rng(4).integers(0, lm.WORDS, 200)
+    target, context = lm.windows(ids, np.array([200]))
+    flat, calls, real = lm.start(np.ones(lm.WORDS, np.int64)), [], np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, *more, **named: calls.append(x.size) or real(x, *more, **named))
+    lm.learn(flat, np.full(len(flat), 1e-4, np.float32), target, context)
+    assert sum(calls) == 2 * 200 * lm.LEAST_SIDE
+
+
 def test_slopes_match_differences():
     draw = np.random.default_rng(0)
     ids = draw.integers(0, lm.WORDS, 60)
