@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.runtime import without_keys, write_table
+from groundspark.runtime import freed_shuffles, without_keys, write_table
 
 # Buckets of a keyed table, unless its first batch says otherwise.
 BUCKETS = 64
@@ -152,7 +152,8 @@ def write_snapshot(
         writer = table.write
         if partition_by and name in partition_by:
             writer = writer.partitionBy(*partition_by[name])
-        writer.parquet(path)
+        with freed_shuffles(spark):
+            writer.parquet(path)
         written[name] = {"path": path}
     commit(spark, root, base, dict.fromkeys(written), lambda current: current.update(written))
     return read_snapshot(spark, root)
@@ -175,7 +176,8 @@ def _write_run(spark: SparkSession, rows: DataFrame, table: dict, path: str) ->
     writer = placed.write.partitionBy(BUCKET)
     for column in table["key"]:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    with freed_shuffles(spark):
+        writer.parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     names = [s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
     return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}="))

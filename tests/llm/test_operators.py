@@ -1,6 +1,8 @@
 import math
 import re
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from groundspark import runtime
 from groundspark.llm import graph, itq, langid, linededup, lm, minhash, mixing, pivots, sampling, secrets
 from tests.llm.conftest import WORDS, sentence
 
@@ -184,6 +187,19 @@ def test_common_tokens_come_last_and_links_stay(spark, monkeypatch):
     assert tables["common-lines"].count() >= 60 and tables["shared-tokens"].groupBy("token").count().filter("count > 10").count() == 0
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.name for top in disk.localDirsString() for f in Path(top).rglob("shuffle_*.data")}
+    before, setting = held(), spark.conf.get(runtime.FREE_SHUFFLES, None)
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    tables = [runtime.write_table(frame, "sums") for _ in range(3)]
+    deadline = time.time() + 20  # they are removed in the background
+    while held() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not held() - before and [t.count() for t in tables] == [7, 7, 7]
+    assert spark.conf.get(runtime.FREE_SHUFFLES, None) == setting
+
+
 def test_line_dedup_of_odd_documents(spark, odd_docs, no_docs):
     got = linededup.dedup_lines(odd_docs)
     assert got.columns == odd_docs.columns
