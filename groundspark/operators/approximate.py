@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from groundspark.operators.chunking import CHUNK_KEY
 from groundspark.operators.dense import QUERIES_PER_PASS, Block, dense_search, no_hits, score_pass, search_in_blocks
 from groundspark.operators.embedding import unit_vector
-from groundspark.runtime import write_table
+from groundspark.runtime import freed_shuffles, write_table
 
 # Rows that centres are learnt from: so many a list, and in one cell of lists at most.
 TRAINING_ROWS_PER_LIST = 256
@@ -126,7 +126,8 @@ def write_lists(chunks: DataFrame, centres: np.ndarray, path: str, rows_per_file
     assigned = _usable(chunks).select(*CHUNK_KEY, "vector", "norm2", nearest_of(centres)("vector").alias("list"))
     files = assigned.groupBy("list").agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))  # one row per list
     spread = F.pmod(F.xxhash64(*CHUNK_KEY), F.col("_files"))
-    assigned.join(F.broadcast(files), "list").repartition("list", spread).drop("_files").write.partitionBy("list").parquet(path)
+    with freed_shuffles(assigned.sparkSession):
+        assigned.join(F.broadcast(files), "list").repartition("list", spread).drop("_files").write.partitionBy("list").parquet(path)
 
 
 def approximate_search(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.stemming import stem
-from groundspark.runtime import in_slices
+from groundspark.runtime import freed_shuffles, in_slices
 
 # English stop words of the Snowball project.
 STOPWORDS = (
@@ -139,4 +139,5 @@ def postings(chunks: DataFrame) -> DataFrame:
 def write_postings(table: DataFrame, path: str) -> None:
     """Store postings clustered by lexeme; a frequent lexeme spans many files."""
     order = ["lexeme", "document_id", "chunk_index"]
-    table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    with freed_shuffles(table.sparkSession):
+        table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)

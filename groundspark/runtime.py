@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,8 @@ BROADCAST_KEYS = 500_000
 SLICE_BYTES = 4 << 20
 # Spark's setting (since 4.1) by which a query removes the files of its shuffles when it ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# Tables written since ``scratch_tables`` began.
+_SCRATCH: contextvars.ContextVar[list[tuple[SparkSession, str]] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def in_slices(batches: Iterable[pa.Array], limit_bytes: int = SLICE_BYTES) -> Iterator[pa.Array]:
@@ -65,6 +68,23 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(FREE_SHUFFLES, before)
 
 
+@contextlib.contextmanager
+def scratch_tables() -> Iterator[None]:
+    """Tables that ``write_table`` writes here are removed at the end, and compressed as texts of whole batches need it.
+
+    For work that leaves its result elsewhere: nothing read afterwards may come from these tables.
+    """
+    tables: list[tuple[SparkSession, str]] = []
+    outer = _SCRATCH.set(tables)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(outer)
+        for spark, path in tables:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` under a fresh path of the shared folder and read it back.
 
@@ -76,6 +96,10 @@ def write_table(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    held = _SCRATCH.get()
+    if held is not None:
+        held.append((spark, path))
+        writer = writer.option("compression", "zstd")
     with freed_shuffles(spark):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -27,12 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.runtime import freed_shuffles, without_keys, write_table
+from groundspark.runtime import freed_shuffles, scratch_tables, without_keys, write_table
 
 # Buckets of a keyed table, unless its first batch says otherwise.
 BUCKETS = 64
 # So many runs of one level in a bucket become one of the next level.
 TIER = 4
+# How runs are written: texts repeat much, and a file's filters take as much as its keys need, not a megabyte each.
+RUN_OPTIONS = {"compression": "zstd", "parquet.bloom.filter.adaptive.enabled": "true"}
 DELETED, BUCKET, AT = "_deleted", "_bucket", "_at"
 
 
@@ -166,6 +168,7 @@ def bucket_of(columns: Iterable[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
+@scratch_tables()
 def _write_run(spark: SparkSession, rows: DataFrame, table: dict, path: str) -> list[int]:
     """Write one run; returns the buckets it has. Large buckets become several files."""
     placed = rows.withColumn(BUCKET, bucket_of(table["bucket_by"], table["buckets"]))
@@ -173,9 +176,9 @@ def _write_run(spark: SparkSession, rows: DataFrame, table: dict, path: str) ->
     if table["clustered"]:
         placed = write_table(placed, "run-rows")  # Ranges are drawn from the rows, which are then read again.
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order) if table["clustered"] else placed.hint("rebalance", BUCKET)
-    writer = placed.write.partitionBy(BUCKET)
+    writer = placed.write.partitionBy(BUCKET).options(**RUN_OPTIONS)
     for column in table["key"]:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.candidates.number#{column}", "10")
     with freed_shuffles(spark):
         writer.parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,7 +12,7 @@ from groundspark.operators.chunking import CHUNK_KEY, chunk_documents, diff_chun
 from groundspark.operators.lexemes import postings
 from groundspark.plans.ingest import Ingested, number_arrivals, upsert_publications, upsert_trials
 from groundspark.plans.retrieval import enrich_chunks
-from groundspark.runtime import narrow, write_table
+from groundspark.runtime import narrow, scratch_tables, write_table
 from groundspark.schemas import empty
 from groundspark.sources.articles import ARRIVAL, ARTICLE_END, cut_articles, normalize_publications
 from groundspark.sources.snapshots import DELETED, Changes, SnapshotConflict, apply_changes, current_version, read_buckets, touched_buckets
@@ -75,6 +75,7 @@ def stored_rows(spark: SparkSession, root: str, base: int, name: str, keys: Data
     return read_buckets(spark, root, base, name, touched_buckets(spark, root, base, name, keys))
 
 
+@scratch_tables()
 def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> None:
     """Upsert one batch of (page_file, value) study pages into the tables under ``root``.
 
@@ -85,6 +86,7 @@ def apply_study_batch(pages: DataFrame, root: str, config: str = "english") -> N
     store_studies(only_readable(split_pages(pages)), root, config)
 
 
+@scratch_tables()
 def apply_study_files(files: DataFrame, root: str, config: str = "english") -> None:
     """``apply_study_batch`` of the files named by ``path``, large pages cut by byte ranges.
 
@@ -107,6 +109,7 @@ def store_studies(studies: DataFrame, root: str, config: str) -> None:
     store_batch(spark, root, base, "trials", "nct_id", done, lambda d: stored_rows(spark, root, base, "chunks", d), config)
 
 
+@scratch_tables()
 def apply_article_batch(articles: DataFrame, root: str, config: str = "english") -> None:
     """Upsert one batch of (ARRIVAL, pmid, article_xml) rows; links use the trials stored so far."""
     spark = articles.sparkSession
